@@ -79,7 +79,7 @@ def _searcher(notices: tuple[tuple[str, str], ...], per: int):
 def fuzzy_spans(text: str, notices=NOTICES, per: int = CHARS_PER_EDIT) -> list[tuple[str, int, int, int, int]]:
     """(label, first character, end, edits, notice length) in a normalised text.
 
-    Of the matches of one notice in one place the best is given.
+    Of overlapping matches the best is given.
     """
     seeds, compiled = _searcher(tuple(notices.items()), per)
     if seeds is None or not text:
@@ -107,7 +107,12 @@ def fuzzy_spans(text: str, notices=NOTICES, per: int = CHARS_PER_EDIT) -> list[t
                 if whole:
                     out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice)))
                 at = m.end() if whole else m.start() + 1
-    return sorted(set(out), key=lambda x: (x[1], x[2], x[0], x[3]))
+    # where notices overlap, the one that fits with the smallest share of edits stands
+    kept: list[tuple[str, int, int, int, int]] = []
+    for x in sorted(set(out), key=lambda x: (x[3] / x[4], -x[4], x[1], x[0])):
+        if all(x[2] <= a or z <= x[1] for _, a, z, _, _ in kept):
+            kept.append(x)
+    return sorted(kept, key=lambda x: (x[1], x[2]))
 
 
 def base_places(text: str, phrases=PHRASES) -> list[tuple[int, str]]:
