@@ -108,11 +108,12 @@ def fuzzy_spans(text: str, notices=NOTICES, per: int = CHARS_PER_EDIT) -> list[t
                     out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice)))
                 at = m.end() if whole else m.start() + 1
     # where notices overlap, the one that fits with the smallest share of edits stands
-    kept: list[tuple[str, int, int, int, int]] = []
+    kept: list[tuple[int, int, tuple]] = []
     for x in sorted(set(out), key=lambda x: (x[3] / x[4], -x[4], x[1], x[0])):
-        if all(x[2] <= a or z <= x[1] for _, a, z, _, _ in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: (x[1], x[2]))
+        i = bisect_right(kept, (x[1], x[2], x))
+        if (i == 0 or kept[i - 1][1] <= x[1]) and (i == len(kept) or x[2] <= kept[i][0]):
+            kept.insert(i, (x[1], x[2], x))
+    return [x for _, _, x in kept]
 
 
 def base_places(text: str, phrases=PHRASES) -> list[tuple[int, str]]:
