@@ -1,8 +1,577 @@
-"""Queries over the standard tables, and the same in SQL."""
+"""Queries over the standard tables, and the same in SQL.
 
-QUERIES: dict = {}
+Every query reads whole tables. ``ORACLE_SQL`` has the SQL of those that SQL can
+express; patterns with look-around and the finite-state folds have none and are
+tested against plain Python state machines instead.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import chars
+from .functions.python import prepare
+from .operators import features, grammar, inflect, lexicon, local_checks, morphology, reports, spelling, tokens, words
+from .sources import sinks, texts, vfst, wordlists
+from .streaming import words as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+
+
+def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.word_frequencies(table(spark, sf_dir, "documents"))
+
+
+#: Letter runs in SQL, and the corpus lexicon (words that occur LEAST times or more).
+LEAST = 3
+RUN = f"[{chars.LETTER}]+"
+_RUNS = f"SELECT doc_id, lang, source, unnest(regexp_extract_all(text, '{RUN}')) AS word FROM documents"
+_FREQ = f"SELECT lower(word) AS word, count(*) AS freq FROM ({_RUNS}) GROUP BY 1"
+_LEX = f"freq AS ({_FREQ}), lex AS (SELECT word AS surface, freq FROM freq WHERE freq >= {LEAST}), unk AS (SELECT word FROM freq WHERE freq < {LEAST})"
+
+
+# ---- characters and words --------------------------------------------------------
+
+_CLASSES = {"letters": chars.LETTER, "digits": chars.DIGIT, "spaces": chars.SPACE, "punctuation": chars.PUNCT}
+
+
+def _sql_class(body: str) -> str:
+    return body.replace("'", "''")
+
+
+@query(
+    "SELECT lang, sum(length(text))::BIGINT AS n_chars, "
+    + ", ".join(f"sum(length(regexp_replace(text, '[^{_sql_class(b)}]', '', 'g')))::BIGINT AS n_{n}" for n, b in _CLASSES.items())
+    + ", sum(length(regexp_replace(lower(text), '[^aeiouyäö]', '', 'g')))::BIGINT AS n_vowels FROM documents GROUP BY lang"
+)
+def char_class_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of each class by language."""
+    text = F.col("text")
+    counts = [F.sum(F.length(F.regexp_replace(text, f"[^{b}]", ""))).alias(f"n_{n}") for n, b in _CLASSES.items()]
+    vowels = F.sum(F.length(F.regexp_replace(F.lower(text), f"[^{chars.VOWEL}]", ""))).alias("n_vowels")
+    return _documents(spark, sf_dir).groupBy("lang").agg(F.sum(F.length(text)).alias("n_chars"), *counts, vowels)
+
+
+_CASE_SQL = """CASE WHEN lower(word) = word AND upper(word) = word THEN 'NO_LETTERS' WHEN upper(word) = word THEN 'ALL_UPPER'
+ WHEN lower(word[2:]) <> word[2:] THEN 'COMPLEX' WHEN lower(word[1]) <> word[1] THEN 'FIRST_UPPER' ELSE 'ALL_LOWER' END"""
+
+
+@query(f"SELECT lang, {_CASE_SQL} AS word_case, count(*) AS n, count(DISTINCT word) AS n_distinct FROM ({_RUNS}) GROUP BY 1, 2")
+def case_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case classes of words by language; classified once per distinct word."""
+    runs = lexicon.letter_runs(_documents(spark, sf_dir), keep=["lang"]).groupBy("lang", "word").agg(F.count("*").alias("c"))
+    return runs.groupBy("lang", chars.detect_case(F.col("word")).alias("word_case")).agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"))
+
+
+@query(
+    f"""SELECT word, upper(word[1]) || lower(word[2:]) AS titled, upper(word) AS uppered, lower(word) AS lowered
+    FROM (SELECT DISTINCT word FROM ({_RUNS})) WHERE word NOT SIMILAR TO '.*[ßŉǰΐΰևẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ].*'"""
+)
+def case_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in other cases (without those of letters that two characters stand for in capitals)."""
+    w = lexicon.letter_runs(_documents(spark, sf_dir), keep=[]).distinct().where("not word rlike '[ßŉǰΐΰևẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ]'")
+    c = F.col("word")
+    return w.select("word", *(chars.set_case(c, F.lit(k)).alias(n) for k, n in (("FIRST_UPPER", "titled"), ("ALL_UPPER", "uppered"), ("ALL_LOWER", "lowered"))))
+
+
+def _sql_replace(expr: str, pairs) -> str:
+    for a, b in pairs:
+        expr = f"replace({expr}, '{a.replace(chr(39), 2 * chr(39))}', '{b.replace(chr(39), 2 * chr(39))}')"
+    return expr
+
+
+@query(
+    "SELECT doc_id, md5("
+    + _sql_replace("text", [*chars.compositions(), *chars._SPELLED.items()])
+    + ") AS digest, length("
+    + _sql_replace("text", [*chars.compositions(), *chars._SPELLED.items()])
+    + ") AS n_chars FROM documents"
+)
+def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = chars.normalize(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(n.cast("binary")).alias("digest"), F.length(n).cast("bigint").alias("n_chars"))
+
+
+@query(_FREQ)
+def word_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frequencies(spark, sf_dir)
+
+
+_BAND = "CASE WHEN freq > 1000 THEN 'over 1000' WHEN freq > 500 THEN '501-1000' WHEN freq > 100 THEN '101-500' ELSE 'to 100' END"
+
+
+@query(f"SELECT {_BAND} AS band, count(*) AS n_words, sum(freq)::BIGINT AS n_tokens FROM ({_FREQ}) GROUP BY 1")
+def frequency_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frequencies(spark, sf_dir).groupBy(lexicon.frequency_band(F.col("freq")).alias("band")).agg(F.count("*").alias("n_words"), F.sum("freq").alias("n_tokens"))
+
+
+@query(
+    """SELECT count(*) AS n_pieces, count(*) FILTER (regexp_full_match(w, '[0-9]+')) AS n_integers,
+    count(*) FILTER (regexp_full_match(w, '[0-9]+(\\.[0-9]+)*')) AS n_chapters, count(*) FILTER (regexp_full_match(w, '[ivxIVX]+')) AS n_roman,
+    count(*) FILTER (length(w) = 1 OR regexp_full_match(w, '[0-9]+(\\.[0-9]+)*') OR regexp_full_match(w, '[ivxIVX]+')) AS n_items,
+    count(*) FILTER (regexp_matches(w, '[0-9]')) AS n_with_digit
+    FROM (SELECT unnest(regexp_extract_all(text, '[^ \\n\\t]+')) AS w FROM conversations)"""
+)
+def list_item_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n\t]+"), F.lit(0))).alias("w"))
+    c = F.col("w")
+    tests = {"n_integers": chars.is_integer, "n_chapters": chars.is_chapter_number, "n_roman": chars.is_roman_numeral, "n_items": chars.is_possible_list_item, "n_with_digit": chars.has_digit}
+    return w.agg(F.count("*").alias("n_pieces"), *(F.count_if(t(c)).alias(n) for n, t in tests.items()))
+
+
+@query(
+    r"""SELECT w, length(w) >= 4 AND (regexp_matches(w, '(?s)^[^/]*//(.+\.|\..)') OR regexp_matches(w, '(?s)^[^@]+@.*\.') OR regexp_matches(w, '(?si)^www\..*\.')) AS loose,
+    length(w) >= 4 AND (regexp_matches(w, '(?s)^[^/]*//(.+\.|\..)') OR (regexp_matches(w, '(?s)^[^@]*@[^.].*\.') AND regexp_matches(w, '(?s)^[^@]*@...'))
+      OR (length(w) >= 7 AND regexp_matches(w, '(?s)^www\.[^.].*\.'))) AS strict
+    FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \n\t]+')) AS w FROM documents UNION SELECT DISTINCT url FROM pages)"""
+)
+def nonwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs and addresses, as the speller and as the hyphenator see them."""
+    w = _documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n\t]+"), F.lit(0))).alias("w"))
+    w = w.union(table(spark, sf_dir, "pages").select("url")).distinct()
+    return w.select("w", chars.is_nonword(F.col("w")).alias("loose"), chars.is_nonword_strict(F.col("w")).alias("strict"))
+
+
+# ---- tokens, sentences, paragraphs -------------------------------------------------
+
+
+@query()
+def token_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each type by language."""
+    rows = tokens.tokens(_documents(spark, sf_dir), keep=["lang"], positions=False)
+    return rows.groupBy("lang", "token_type").agg(F.count("*").alias("n"), F.sum("token_len").alias("n_chars"))
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS n_chars, length(text)::BIGINT AS covered, 0::BIGINT AS misplaced FROM documents")
+def token_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens cover a text: their lengths sum to its length and each stands where it says."""
+    rows = tokens.tokens(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("whole")))
+    wrong = F.substring(F.col("whole"), F.col("pos") + 1, F.col("token_len")) != F.col("text")
+    return rows.groupBy("doc_id").agg(F.first(F.length("whole")).cast("bigint").alias("n_chars"), F.sum("token_len").alias("covered"), F.count_if(wrong).alias("misplaced"))
+
+
+@query()
+def url_email_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word tokens that are URLs or e-mail addresses, in texts and page addresses."""
+    both = _documents(spark, sf_dir).select("text").union(table(spark, sf_dir, "pages").select("url"))
+    w = tokens.word_tokens(both)
+    return w.where(F.col("word").contains("@") | F.col("word").rlike("^https?://")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query()
+def sentence_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).select("lang", F.explode(tokens.sentence_array(F.col("text"))).alias("s"))
+    return rows.groupBy("lang", "s.sentence_type").agg(F.count("*").alias("n"), F.sum("s.sentence_len").alias("n_chars"))
+
+
+@query(
+    """SELECT doc_id, (i - 1)::INTEGER AS par_idx, (sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(l) - 1)::INTEGER AS start,
+    md5(regexp_replace(l, '\\r$', '')) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+    QUALIFY regexp_replace(l, '\\r$', '') <> ''"""
+)
+def paragraph_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tokens.paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "par_idx", "start", F.md5(F.col("paragraph").cast("binary")).alias("digest"))
+
+
+# ---- grammar -------------------------------------------------------------------
+
+
+@query()
+def local_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White space, commas and repeated words, JVM only."""
+    rows = local_checks.local_findings(_documents(spark, sf_dir), keep=["lang"])
+    return rows.groupBy("lang", "error_code").agg(F.count("*").alias("n"))
+
+
+@query()
+def grammar_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks that need no lexicon, with their descriptions."""
+    rows = grammar.grammar_errors(_documents(spark, sf_dir), keep=["lang"])
+    counts = rows.groupBy("lang", "error_code").agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(grammar.descriptions(spark)), "error_code", "left")  # 18 rows
+
+
+@query(
+    f"""SELECT lang, count(*) AS n_paragraphs, count(*) FILTER (NOT regexp_matches(p, '[{_sql_class(chars.PUNCT)}]$')) AS n_unfinished
+    FROM (SELECT lang, regexp_replace(unnest(string_split(text, chr(10))), '\\r$', '') AS p FROM documents) WHERE p <> '' GROUP BY lang"""
+)
+def unfinished_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tokens.paragraphs(_documents(spark, sf_dir), keep=["lang"])
+    return p.groupBy("lang").agg(F.count("*").alias("n_paragraphs"), F.count_if(local_checks.unfinished(F.col("paragraph"))).alias("n_unfinished"))
+
+
+_PHRASES = [("of of", "of"), ("in to", "into"), ("the the", "the"), ("de la", "della"), ("und und", "und"), ("is is the", "is the")]
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{RUN}') AS w FROM documents),
+    g AS (SELECT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (VALUES (2), (3)) t(n) WHERE len(w) >= n)),
+    p(incorrect, correct) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _PHRASES)})
+    SELECT doc_id, incorrect, correct, count(*) AS n FROM g JOIN p ON g = incorrect GROUP BY ALL"""
+)
+def autocorrect_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known wrong phrases: word n-grams joined with the replacement table."""
+    p = spark.createDataFrame(_PHRASES, "incorrect string, correct string")
+    w = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(RUN), F.lit(0)).alias("w"))
+    grams = [
+        w.where(F.size("w") >= n).select("doc_id", F.explode(F.expr(f"transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' '))")).alias("g"))
+        for n in sorted({a.count(" ") + 1 for a, _ in _PHRASES})
+    ]
+    every = grams[0]
+    for g in grams[1:]:
+        every = every.union(g)
+    return every.join(F.broadcast(p), F.col("g") == F.col("incorrect")).groupBy("doc_id", "incorrect", "correct").agg(F.count("*").alias("n"))
+
+
+# ---- lexicon, spelling, suggestions -------------------------------------------------
+
+
+@query(f"WITH {_LEX} SELECT lang, count(*) AS n_words, count(*) FILTER (surface IS NOT NULL) AS n_known FROM ({_RUNS}) r LEFT JOIN lex ON lower(r.word) = surface GROUP BY lang")
+def spell_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that are correct by a lexicon of the corpus's repeated words."""
+    docs = _documents(spark, sf_dir)
+    lex = lexicon.corpus_lexicon(lexicon.word_frequencies(docs), LEAST)
+    counted = lexicon.letter_runs(docs, keep=["lang"]).groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("c"))
+    ok = lexicon.spell(counted.select("word").distinct(), lex)
+    return counted.join(ok, "word").groupBy("lang").agg(F.sum("c").alias("n_words"), F.sum(F.when(F.col("ok"), F.col("c")).otherwise(0)).alias("n_known"))
+
+
+@query(f"WITH {_LEX} SELECT word, freq FROM freq ANTI JOIN lex ON word = surface")
+def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    freq = _frequencies(spark, sf_dir)
+    return lexicon.unknown_words(freq, lexicon.corpus_lexicon(freq, LEAST))
+
+
+@query(
+    f"""SELECT word, CASE WHEN list_max(list_transform(string_split(word, ''), lambda c, i: CASE WHEN lower(c) <> c AND i > 1 THEN 2 ELSE 0 END)) = 2 THEN 2
+    WHEN lower(word[1]) <> word[1] THEN 0 ELSE 1 END AS verdict FROM (SELECT DISTINCT word FROM ({_RUNS}))"""
+)
+def structure_case_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How words fit the case pattern of a name (a capital, then small letters)."""
+    w = lexicon.letter_runs(_documents(spark, sf_dir), keep=[]).distinct()
+    pattern = F.concat(F.lit("=i"), F.repeat(F.lit("p"), F.length("word") - 1))
+    return w.select("word", lexicon.structure_verdict(F.col("word"), pattern).cast("int").alias("verdict"))
+
+
+def _candidates(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    freq = _frequencies(spark, sf_dir)
+    lex = lexicon.corpus_lexicon(freq, LEAST)
+    unknown = freq.where(F.col("freq") < LEAST).select("word")
+    found = lexicon.known_candidates(make(unknown), lex)
+    return found.groupBy("word", "candidate").agg(F.min("seq").cast("bigint").alias("seq"), F.max("freq").alias("freq"))
+
+
+def _candidate_sql(rows: str) -> str:
+    return f"WITH {_LEX}, c AS ({rows}) SELECT word, candidate, min(seq)::BIGINT AS seq, max(freq) AS freq FROM c JOIN lex ON lower(candidate) = surface GROUP BY 1, 2"
+
+
+_DELETE = """SELECT word, i AS seq, word[1 : i - 1] || word[i + 1 :] AS candidate FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM unk WHERE length(word) > 1)
+ WHERE i = 1 OR word[i] <> word[i - 1]"""
+_SWAP = """SELECT word, i * 1000 + j AS seq, word[1 : i - 1] || word[j] || word[i + 1 : j - 1] || word[i] || word[j + 1 :] AS candidate
+ FROM (SELECT word, i, unnest(range(i + 1, least(length(word), i + CASE WHEN length(word) <= 8 THEN 10 ELSE 50 // length(word) END) + 1)) AS j
+  FROM (SELECT word, unnest(range(1, length(word))) AS i FROM unk WHERE length(word) > 1))
+ WHERE word[i] <> word[j] AND word[i] || word[j] NOT IN ('aä', 'äa', 'oö', 'öo', 'uy', 'yu')"""
+_INSERT = """SELECT word, (k - 1) * 1000 + i AS seq, word[1 : i - 1] || 'aitesn'[k] || word[i :] AS candidate
+ FROM (SELECT word, k, unnest(range(1, length(word) + 2)) AS i FROM unk, range(1, 7) t(k))
+ WHERE (i > length(word) OR 'aitesn'[k] <> word[i]) AND (i = 1 OR 'aitesn'[k] <> word[i - 1])"""
+_PAIRS = spelling.table(spelling.REPLACEMENTS[1])
+_REPLACE = f"""SELECT word, k * 1000 + i AS seq, word[1 : i - 1] || b || word[i + 1 :] AS candidate
+ FROM (SELECT word, k, a, b, unnest(range(1, length(word) + 1)) AS i FROM unk, (VALUES {", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(_PAIRS))}) p(k, a, b) WHERE contains(word, a))
+ WHERE word[i] = a"""
+_HYPHEN = """SELECT word, i AS seq, word[1 : i] || '-' || word[i + 1 :] AS candidate FROM (SELECT word, unnest(range(2, length(word) - 1)) AS i FROM unk WHERE length(word) >= 4)"""
+_REPEAT = """SELECT word, i AS seq, word[1 : i - 1] || word[i + 2 :] AS candidate FROM (SELECT word, unnest(range(1, length(word) - 2)) AS i FROM unk WHERE length(word) >= 6)
+ WHERE word[i : i + 1] = word[i + 2 : i + 3]"""
+
+
+@query(_candidate_sql(_DELETE))
+def suggest_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir, lexicon.deletions)
+
+
+@query(_candidate_sql(_SWAP))
+def suggest_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir, lexicon.swaps)
+
+
+@query(_candidate_sql(_INSERT))
+def suggest_insertion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir, lexicon.insertions)
+
+
+@query(_candidate_sql(_REPLACE))
+def suggest_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir, lambda u: lexicon.replacements(u, _PAIRS))
+
+
+@query(_candidate_sql(_REPEAT))
+def suggest_repeat_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir, lexicon.repeat_deletions)
+
+
+@query(
+    _candidate_sql(
+        """SELECT word, m AS seq, array_to_string(list_transform(string_split(word, ''), lambda c, i: CASE WHEN list_contains(p, i) AND (m >> (list_position(p, i) - 1)) & 1 = 1
+        THEN translate(c, 'aouäöy', 'äöyaou') ELSE c END), '') AS candidate
+        FROM (SELECT word, p, unnest(range(1, (2 ** len(p))::BIGINT)) AS m FROM (SELECT word, list_filter(range(1, length(word) + 1), lambda i: contains('aouäöy', word[i])) AS p FROM unk)
+        WHERE len(p) BETWEEN 1 AND 7)"""
+    )
+)
+def suggest_vowel_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir, lexicon.vowel_changes)
+
+
+@query(
+    f"""WITH {_LEX}, c AS (SELECT word, i, word[1 : i] AS a, word[i + 1 :] AS b FROM (SELECT word, unnest(range(2, length(word) - 1)) AS i FROM unk WHERE length(word) >= 4))
+    SELECT word, a || ' ' || b AS candidate, x.freq + y.freq AS freq FROM c JOIN lex x ON a = x.surface JOIN lex y ON b = y.surface"""
+)
+def suggest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown words that are two known words: two lexicon joins."""
+    freq = _frequencies(spark, sf_dir)
+    lex = lexicon.corpus_lexicon(freq, LEAST).select("surface", "freq")
+    parts = lexicon.splits(freq.where(F.col("freq") < LEAST).select("word"))
+    one, two = lex.toDF("first_part", "f1"), lex.toDF("second_part", "f2")
+    return parts.join(one, "first_part").join(two, "second_part").select("word", "candidate", (F.col("f1") + F.col("f2")).alias("freq"))
+
+
+@query(
+    f"""WITH {_LEX}, c AS (SELECT word, 2 AS g, seq, candidate FROM ({_REPLACE}) UNION ALL SELECT word, 3, seq, candidate FROM ({_DELETE})
+      UNION ALL SELECT word, 4, seq, candidate FROM ({_HYPHEN}) UNION ALL SELECT word, 8, seq, candidate FROM ({_INSERT}) UNION ALL SELECT word, 9, seq, candidate FROM ({_SWAP})),
+    o AS (SELECT word, candidate, min((g, seq)) AS o FROM c JOIN lex ON lower(candidate) = surface GROUP BY 1, 2)
+    SELECT word, row_number() OVER (PARTITION BY word ORDER BY o, candidate)::INTEGER AS rank, candidate FROM o QUALIFY rank <= 5"""
+)
+def suggest_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every unknown word."""
+    freq = _frequencies(spark, sf_dir)
+    unknown = freq.where(F.col("freq") < LEAST).select("word")
+    made = lexicon.replacements(unknown, _PAIRS)
+    for more in (lexicon.deletions, lexicon.hyphen_insertions, lexicon.insertions, lexicon.swaps):
+        made = made.unionByName(more(unknown))
+    return lexicon.top_suggestions(made, lexicon.corpus_lexicon(freq, LEAST))
+
+
+@query(
+    f"""SELECT array_to_string(list_sort(string_split(word, '')), '') AS letters, count(*) AS n_words, min(word) AS first_word, max(word) AS last_word
+    FROM (SELECT DISTINCT lower(word) AS word FROM ({_RUNS})) GROUP BY 1 HAVING count(*) > 1"""
+)
+def anagram_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.anagrams(_frequencies(spark, sf_dir))
+
+
+# ---- hyphenation and reports ---------------------------------------------------------
+
+
+@query()
+def hyphenated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct word with its breaks and syllables, by the rules for unknown words."""
+    w = lexicon.letter_runs(_documents(spark, sf_dir), keep=[]).distinct().withColumn("pattern", words.hyphenated(F.col("word")))
+    return w.select("word", "pattern", words.insert_hyphens(F.col("word"), F.col("pattern")).alias("hyphenated"), words.syllables(F.col("pattern")).alias("n_syllables"))
+
+
+@query()
+def readability_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.readability(_documents(spark, sf_dir), ["doc_id"])
+
+
+_SCORES_SQL = f"""SELECT lang, source, count(*) AS n_documents, sum(n_words)::BIGINT AS n_words, sum(n_letters)::BIGINT AS n_letters, avg(n_words) AS words_per_document
+ FROM (SELECT doc_id, any_value(lang) AS lang, any_value(source) AS source, count(word) AS n_words, coalesce(sum(length(word)), 0) AS n_letters FROM
+ (SELECT doc_id, lang, source, NULL AS word FROM documents UNION ALL SELECT doc_id, lang, source, word FROM ({_RUNS})) GROUP BY doc_id) GROUP BY CUBE (lang, source)"""
+
+
+@query(_SCORES_SQL)
+def length_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word and letter totals over all groupings of language and source."""
+    found = F.regexp_extract_all("text", F.lit(RUN), F.lit(0))
+    d = _documents(spark, sf_dir).select("lang", "source", F.size(found).alias("w"), F.coalesce(F.length(F.array_join(found, "")), F.lit(0)).alias("l"))
+    return d.cube("lang", "source").agg(F.count("*").alias("n_documents"), F.sum("w").alias("n_words"), F.sum("l").alias("n_letters"), F.avg("w").alias("words_per_document"))
+
+
+_STEMS = ["s", "en", "er", "ing", "ed", "e", "n"]
+
+
+@query(
+    f"""WITH f AS ({_FREQ}), r AS (SELECT word, freq, list_filter([{", ".join(f"CASE WHEN word LIKE '_%{s}' THEN word[1 : length(word) - {len(s)}] END" for s in _STEMS)}], lambda x: x IS NOT NULL) AS b FROM f)
+    SELECT baseform, round(sum(f), 6) AS freq FROM (SELECT unnest(b) AS baseform, freq / len(b) AS f FROM r UNION ALL SELECT NULL, freq::DOUBLE FROM r WHERE len(b) = 0) GROUP BY 1"""
+)
+def baseform_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base forms by equal shares of a word's readings (here: stems without a known ending)."""
+    stems = F.array(*(F.when(F.col("word").like(f"_%{s}"), F.expr(f"substring(word, 1, length(word) - {len(s)})")) for s in _STEMS))
+    r = _frequencies(spark, sf_dir).select("word", F.col("freq").alias("n"), F.array_compact(stems).alias("baseforms"))
+    return reports.base_form_frequencies(r).select("baseform", F.round("freq", 6).alias("freq"))
+
+
+@query(
+    f"""WITH w AS (SELECT DISTINCT lower(word) AS w FROM ({_RUNS})), p AS (SELECT w,
+     CASE WHEN regexp_matches(w, '[aoåu]') THEN length(regexp_extract(w, '(?s)^(.*)[aoåu]', 1)) ELSE -1 END AS b,
+     CASE WHEN regexp_matches(w, '[äö]') THEN length(regexp_extract(w, '(?s)^(.*)[äö]', 1)) ELSE -1 END AS f,
+     CASE WHEN regexp_matches(w, '[y]') THEN length(regexp_extract(w, '(?s)^(.*)[y]', 1)) ELSE -1 END AS y FROM w)
+    SELECT CASE WHEN b > -1 AND greatest(f, y) = -1 THEN 'BACK' WHEN b = -1 THEN 'FRONT' WHEN y < greatest(b, f) THEN CASE WHEN b > f THEN 'BACK' ELSE 'FRONT' END ELSE 'BOTH' END AS vowel_type,
+     count(*) AS n FROM p GROUP BY 1"""
+)
+def vowel_harmony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = lexicon.letter_runs(_documents(spark, sf_dir), keep=[]).select(F.lower("word").alias("w")).distinct()
+    return w.groupBy(inflect.vowel_type(F.col("w")).alias("vowel_type")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH f AS ({_FREQ}), a AS (SELECT word FROM ({_FREQ.replace("documents", "(SELECT * FROM documents WHERE lang = 'en')")}) WHERE freq > 1),
+     b AS (SELECT word FROM ({_FREQ.replace("documents", "(SELECT * FROM documents WHERE lang = 'fr')")}) WHERE freq > 1)
+    SELECT word, 'first' AS side FROM (SELECT word FROM a EXCEPT ALL SELECT word FROM b) UNION ALL SELECT word, 'second' FROM (SELECT word FROM b EXCEPT ALL SELECT word FROM a)"""
+)
+def wordlist_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated words that only one of two languages has."""
+    docs = _documents(spark, sf_dir)
+    a, b = (lexicon.word_frequencies(docs.where(F.col("lang") == x)).where("freq > 1").select("word") for x in ("en", "fr"))
+    return reports.differences(a, b)
+
+
+@query(
+    f"""WITH c AS (SELECT lang, lower(word) AS word, length(word)::BIGINT AS l, count(*) AS n FROM ({_RUNS}) WHERE lang IN ('en', 'de') GROUP BY ALL HAVING count(*) > 1),
+     a AS (SELECT word, n FROM c WHERE lang = 'en'), b AS (SELECT word, n FROM c WHERE lang = 'de')
+    SELECT * FROM (SELECT coalesce(a.word, b.word) AS word, CASE WHEN b.word IS NULL THEN 'only first' WHEN a.word IS NULL THEN 'only second' WHEN a.n <> b.n THEN 'differs' END AS status
+     FROM a FULL JOIN b ON a.word = b.word) WHERE status IS NOT NULL"""
+)
+def lexicon_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lexicons compared key by key (here: repeated words and their counts)."""
+    docs = _documents(spark, sf_dir)
+    a, b = (lexicon.word_frequencies(docs.where(F.col("lang") == x)).where("freq > 1") for x in ("en", "de"))
+    return reports.lexicon_differences(a, b, "word", ["freq"])
+
+
+@query("SELECT w AS weight, round(exp(-0.01 * w), 9) AS probability FROM (SELECT DISTINCT (length(text) % 1000)::INTEGER AS w FROM documents)")
+def weight_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "documents").select((F.length("text") % 1000).alias("weight")).distinct()
+    return w.select("weight", F.round(F.exp(F.lit(-0.01) * F.col("weight")), 9).alias("probability"))
+
+
+# ---- automaton, morphology, inflection -----------------------------------------------
+
+#: A small tagged lexicon in AT&T form: nouns of four stems, a verb and a name.
+ATT = """0\t1\t@0@\t[Ln]
+0\t30\t@0@\t[Lep]
+0\t40\t@0@\t[Lt]
+1\t2\tt\tt
+1\t6\tr\tr
+2\t3\th\th
+3\t4\te\te
+4\t5\t@0@\t[Sn]
+5\t20\t@0@\t[Ny]
+6\t7\te\te
+7\t5\t@0@\t[Sn]
+7\t8\ts\ts
+8\t5\t@0@\t[Sg]
+30\t31\ti\t[Xp]in[X]i
+31\t32\tn\tn
+32\t5\t@0@\t[Sn]
+40\t41\ti\t[Xp]is[X]i
+41\t42\ts\ts
+42\t43\t@0@\t[Tt]
+43\t44\t@0@\t[Ap]
+44\t20\t@0@\t[P3]
+20
+"""
+
+
+@query()
+def automaton_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyses of every distinct word by a finite-state lexicon."""
+    made = morphology.automaton_analyzer(vfst.compile_att(ATT))
+    w = lexicon.letter_runs(_documents(spark, sf_dir), keep=[]).select(F.lower("word").alias("word")).distinct()
+    return w.select("word", F.explode(words.analyses(F.col("word"), made)).alias("a")).select("word", *(F.col("a")[k].alias(k.lower()) for k in ("BASEFORM", "CLASS", "SIJAMUOTO", "MOOD", "STRUCTURE")))
+
+
+@query()
+def treebank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = morphology.automaton_analyzer(vfst.compile_att(ATT))
+    w = lexicon.letter_runs(_documents(spark, sf_dir), keep=[]).select(F.lower("word").alias("form")).distinct()
+    rows = w.select("form", F.explode(words.analyses(F.col("form"), made)).alias("a"))
+    return rows.select("form", F.to_json(features.features(F.col("a"))).alias("feats"))
+
+
+_AFFIXES = """class: 1
+sm-class: valo
+match-word: V
+consonant-gradation: sw
+rules:
+nominatiivi\t0\t0\ts
+genetiivi\t0\tn\tw
+partitiivi\t0\ta\ts
+illatiivi\t([aeiouy])\t(1)(1)n\ts
+end: rules
+end: class
+"""
+
+
+@query()
+def inflected_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of all words that end in a vowel, as an inflection class would have them."""
+    w = _frequencies(spark, sf_dir).where(F.col("word").rlike("[aeiouy]$")).select("word", F.lit("valo-av1").alias("infclass"))
+    return inflect.inflect(w, wordlists.inflection_rules(spark, _AFFIXES)).select("word", "form", "inflected")
+
+
+@query()
+def suggested_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked corrections by all generators and their budget, for the capitalised words of the benchmark."""
+    freq = _frequencies(spark, sf_dir)
+    known = [r["word"] for r in freq.where("freq > 200").orderBy(F.desc("freq"), "word").limit(2000).collect()]  # a lexicon of 2,000 words at most
+    made = morphology.table_analyzer({w: [{"STRUCTURE": "=" + "p" * len(w), "CLASS": "nimisana", "SIJAMUOTO": "nimento"}] for w in known})
+    w = lexicon.letter_runs(table(spark, sf_dir, "benchmark"), keep=[]).select(F.lower("word").alias("word")).distinct()
+    return w.select("word", words.spelled_right(F.col("word"), made).alias("ok"), F.array_join(words.suggestions(F.col("word"), made), ",").alias("suggestions"))
+
+
+# ---- sources, sinks, streams ---------------------------------------------------------
+
+
+@query()
+def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word list of page texts without their markup."""
+    plain = table(spark, sf_dir, "pages").select(F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style).*?</\\1>", " "), "<[^>]*>", " ").alias("text"))
+    return texts.corpus_words(plain).groupBy("word").agg(F.count("*").alias("freq"))
+
+
+@query(f"WITH {_LEX} SELECT CASE WHEN surface IS NULL THEN 'W: ' ELSE 'C: ' END || word AS value FROM freq LEFT JOIN lex ON word = surface")
+def spell_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    freq = _frequencies(spark, sf_dir)
+    return sinks.spell_lines(lexicon.spell(freq.select("word"), lexicon.corpus_lexicon(freq, LEAST)))
+
+
+@query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.windowed_counts(table(spark, sf_dir, "events"), keys=["event_type"])
+
+
+@query(
+    """WITH m AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", count(*) AS n FROM s GROUP BY user_id, s"""
+)
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.sessions(table(spark, sf_dir, "events"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each type by language."""
+    return token_type_counts(spark, sf_dir)
