@@ -8,6 +8,7 @@ results across batches), and ids are put together by array indexing.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -16,7 +17,10 @@ from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Characters handled per array pass, cached pre-tokens, and bytes from which a
 #: pre-token is merged by a heap instead of by scans.
@@ -533,7 +537,7 @@ def library_encoder(path: str) -> Encoder:
     return Encoder(words, special, split)
 
 
-def encode_decode(docs, path: str | None = None, id_col: str = "doc_id", text_col: str = "text"):
+def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256, exact) per document.
 
     Ids are hashed as little-endian unsigned 32-bit integers, decoded texts as
@@ -542,10 +546,6 @@ def encode_decode(docs, path: str | None = None, id_col: str = "doc_id", text_co
     repeat, no rows give none, and a text of any length is encoded in spans
     that end between pre-tokens.
     """
-    import hashlib
-
-    import pyarrow as pa
-
     path = path or default_path()
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -570,11 +570,8 @@ def encode_decode(docs, path: str | None = None, id_col: str = "doc_id", text_co
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean")
 
 
-def encoded(docs, path: str | None = None, text_col: str = "text", into: str = "ids"):
+def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with its ids (array of int) in a column, the operator's other output."""
-    import pyarrow as pa
-    from pyspark.sql import functions as F
-
     path = path or default_path()
 
     @F.arrow_udf("array<int>")
@@ -585,11 +582,8 @@ def encoded(docs, path: str | None = None, text_col: str = "text", into: str = "
     return docs.withColumn(into, ids(F.col(text_col)))
 
 
-def decoded(docs, path: str | None = None, ids_col: str = "ids", into: str = "decoded"):
+def decoded(docs: DataFrame, path: str | None = None, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """The text of an ids column (null: empty)."""
-    import pyarrow as pa
-    from pyspark.sql import functions as F
-
     path = path or default_path()
 
     @F.arrow_udf("string")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD_BYTES, unused, written
+from .shared import WORD_BYTES, stable, unused, written
 
 WINDOW = 10
 #: Suffixes are ordered by this many words; matches are extended past it.
@@ -196,6 +196,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", windo
     sides = (spark.sparkContext.broadcast(Suffixes([(r["item"], r["text"]) for r in p.toLocalIterator()], window)) for p in parts)
     if len(parts) == 1:
         return docs.withColumn(name, _search(next(sides))(F.col(text_col))), name
+    docs = stable(docs)
     uid = unused(docs, "uid")
     rows = docs.withColumn(uid, F.monotonically_increasing_id())
     every = None

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import unused, written
+from .shared import stable, unused, written
 
 #: Distinct digests that a part of the history should hold.
 PART = 1 << 14
@@ -176,6 +176,7 @@ def exact_duplicates(docs: DataFrame, history=None, id_col: str = "doc_id", text
 
 def drop_exact_duplicates(docs: DataFrame, history=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, as :func:`exact_duplicates` keeps it."""
+    docs = stable(docs)
     rows, merged = groups(docs, older_half(docs, id_col) if history is None else history, id_col, text_col)
     uid = unused(docs, "uid")
     gone = rows.join(merged, "digest").where(F.col("uid") != -F.col("best.early")).select(F.col("uid").alias(uid))

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import stable, unused
+
 #: Rows that training takes at most, over all languages in equal parts.
 SAMPLE = 3000
 BITS = 12
@@ -146,7 +148,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     shuffle, so a language that most rows have isn't gathered anywhere.
     Vectors of whole texts, not texts, come to the driver.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = stable(docs).select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     usable = (~held_out("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     narrow = rows.where(usable).select("uid", "lang", F.xxhash64("id").alias("h"))
     count = narrow.select("lang").distinct().limit(sample).count()
@@ -201,7 +203,5 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
 def keep_identified(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the documents that no language is found for; same columns."""
-    from .shared import unused
-
     name = unused(docs, "found")
     return predicted(docs, model or train(docs, id_col, text_col, lang_col), text_col, name).where(F.col(name)["lang_pred"] != UNKNOWN).drop(name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -69,6 +70,23 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_SCANS = re.compile(r"[\s:+|-]*(Project|Filter|Relation|SubqueryAlias|LogicalRelation|View)\b")
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` with rows in the same order each time it is computed.
+
+    That holds for a scan of files with columns chosen and rows filtered, so
+    row numbers (monotonically_increasing_id) of two computations agree, also
+    after a lost executor. Anything else, such as a shuffle whose order may
+    follow the columns read, is written once and read back.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if df.inputFiles() and all(_SCANS.match(x) for x in plan.splitlines() if x.strip()):
+        return df
+    return written(df, "rows")[0]
+
+
 def unused(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import unused, words_at_blanks, written
+from .shared import stable, unused, words_at_blanks, written
 
 SHINGLE, SEED, HALF = 4, 42, 2
 #: Variants that a bucket should hold, and bytes of text hashed at once.
@@ -242,6 +242,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The row with the smallest id stays (of repeated ids the first row read;
     null ids yield to others). Columns are those of ``docs``.
     """
+    docs = stable(docs)
     uid = unused(docs, "uid")
     rows = docs.withColumn(uid, F.monotonically_increasing_id())
     named = rows.select(F.struct(F.coalesce(F.col(id_col), F.lit(2**63 - 1)).cast("bigint").alias("i"), F.col(uid).alias("u")).alias("key"), F.col(text_col).alias("text"))
