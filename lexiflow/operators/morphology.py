@@ -495,3 +495,14 @@ def _analyzer(lexicon: Transducer) -> Analyzer:
 def table_analyzer(rows: dict[str, list[Analysis]]) -> Callable[[], Analyzer]:
     """Makes an analyzer of a small lexicon by lower-case surface."""
     return lambda: lambda word: rows.get(lowered(word), [])
+
+
+def attribute_values(spark):
+    """Dimension (attribute, ordinal, value) of the attributes with closed lists."""
+    return spark.createDataFrame([(a, i, v) for a, values in VALUES.items() for i, v in enumerate(values)], "attribute string, ordinal int, value string")
+
+
+def tag_codes(spark):
+    """Dimension (kind, code, value) of the tags' codes."""
+    kinds = {"L": CLASS, "S": SIJAMUOTO, "T": MOOD, "N": NUMBER, "P": PERSON, "A": TENSE, "F": FOCUS, "O": POSSESSIVE, "E": NEGATIVE, "C": COMPARISON, "R": PARTICIPLE}
+    return spark.createDataFrame([(k, c, v) for k, codes in kinds.items() for c, v in codes.items()], "kind string, code string, value string")

@@ -19,8 +19,11 @@ from ..functions.python import arrow
 LONG_RUN = 1000
 
 
-def token_pattern() -> str:
-    """One alternative per kind of token; together they cover any text."""
+def token_pattern(ignore_dot: bool = False) -> str:
+    """One alternative per kind of token; together they cover any text.
+
+    With ``ignore_dot`` a dot right after a word belongs to it.
+    """
     ld, stop = LETTER + DIGIT, rf"(?!\.(?:\z|[{SPACE}]))"
     mail = ld + r"#$%*+=\^_`|~!&'\-/?{}"
     unknown = f"[^{ld}{SPACE}{PUNCT}]"
@@ -30,6 +33,8 @@ def token_pattern() -> str:
     number = rf"(?:[{DIGIT}]++|\.(?=[{DIGIT}])|[{HYPHEN}](?=[{DIGIT}])|(?<=[{DIGIT}]),(?=[{DIGIT}]))"
     word = rf"(?:[{ld}]++|['\u2019:.](?=[{LETTER}])|[{HYPHEN}](?=[{ld}])|(?<=[{DIGIT}]),(?=[{DIGIT}]))"
     tail = rf"[{HYPHEN}](?=\z|[{QUOTE}{SPACE},]|{unknown})"
+    if ignore_dot:
+        tail = rf"(?:{tail}|\.)"
     core = f"(?:{number}++{word}*+(?:{tail})?+|{word}++(?:{tail})?+|{tail})"
     inside = f"(?:{url}|{email}|{core})"
     return rf"(?=[{ld}]){inside}|[\-\u2010\u2011]{inside}|[{SPACE}]++|\.\.\.|[\s\S]"
@@ -47,8 +52,10 @@ def _split_all(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else find(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
-def split_tokens(text: Column) -> Column:
+def split_tokens(text: Column, ignore_dot: bool = False) -> Column:
     """Array of the token strings of a text; their concatenation is the text."""
+    if ignore_dot:
+        return F.regexp_extract_all(text, F.lit(token_pattern(True)), F.lit(0))
     long_run = text.rlike(f"[^{SPACE}]{{{LONG_RUN}}}")
     python = arrow(_split_all, "array<string>")
     return F.coalesce(F.when(~long_run, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))), python(F.when(long_run, text)))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.python import arrow
-from .spelling import Analyzer, HyphenOptions, Speller, SpellOptions, hyphen_pattern, suggest, suggest_as_written
+from ..sources.vfst import Transducer, corrections
+from .spelling import Analyzer, HyphenOptions, Speller, SpellOptions, hyphen_pattern, suggest, suggest_as_written, up
 
 AnalyzerMaker = Callable[[], Analyzer]
 
@@ -84,3 +85,33 @@ def analyses(word: Column, analyzer: AnalyzerMaker) -> Column:
         return pa.array([None if w is None else [list(a.items()) for a in analyze(w)] if len(w) <= 255 else [] for w in words.to_pylist()], pa.list_(pa.map_(pa.string(), pa.string())))
 
     return arrow(run, "array<map<string,string>>")(word)
+
+
+def corrected(word: Column, errors: bytes, lexicon: bytes, most: int = 5) -> Column:
+    """Corrections by a weighted error model and lexicon, best first."""
+
+    def run(words: pa.Array) -> pa.Array:
+        made = [_transducer(errors), _transducer(lexicon)]
+        return pa.array([None if w is None else [x for x, _ in corrections(w, *made, most)] for w in words.to_pylist()], pa.list_(pa.string()))
+
+    return arrow(run, "array<string>")(word)
+
+
+def accepted(word: Column, lexicon: bytes) -> Column:
+    """Verdict by a lexicon that accepts words as written: 0 right, 1 with a capital, 3 not."""
+
+    def run(words: pa.Array) -> pa.Array:
+        t = _transducer(lexicon)
+        return pa.array([None if w is None else 0 if t.accepts(w) else 1 if w and t.accepts(up(w[0]) + w[1:]) else 3 for w in words.to_pylist()], pa.int32())
+
+    return arrow(run, "int")(word)
+
+
+_WORKER: dict[bytes, Transducer] = {}
+
+
+def _transducer(data: bytes) -> Transducer:
+    """One per worker."""
+    if data not in _WORKER:
+        _WORKER[data] = Transducer(data)
+    return _WORKER[data]

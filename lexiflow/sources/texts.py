@@ -36,11 +36,10 @@ def conllu(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("f")[0].alias("id"), F.col("f")[1].alias("form"), F.col("f")[2].alias("lemma"), feats.alias("feats"))
 
 
-def element_texts(spark: SparkSession, path: str, element: str = "text", row: str = "page") -> DataFrame:
-    """(text) of an element of XML rows, such as a wiki dump's pages."""
-    rows = spark.read.format("xml").option("rowTag", row).option("inferSchema", "false").load(path)
-    body = F.get_json_object(F.to_json(F.struct("*")), f"$..{element}")
-    return rows.select(body.alias("text")).where("text is not null")
+def element_texts(spark: SparkSession, path: str, element: str = "text") -> DataFrame:
+    """(text) of every such element of XML files, for instance of a wiki dump's pages."""
+    rows = spark.read.format("xml").option("rowTag", element).option("valueTag", "_VALUE").schema("_VALUE string").load(path)
+    return rows.select(F.col("_VALUE").alias("text")).where("text is not null")
 
 
 def corpus_words(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -350,3 +350,60 @@ def test_streams_equal_tables(spark, tmp_path):
     lines = spark.readStream.text(str(tmp_path / "in"))
     got = S.run_available(S.token_stream(lines), spark, str(tmp_path / "out"))
     assert got.where("token_type = 'WORD'").count() == 3
+
+
+def test_linguist_and_sql_names(spark):
+    from lexiflow.plans.linguist import Linguist
+
+    me = Linguist(morphology.table_analyzer(LEXICON))
+    assert me.spell("talo") and not me.spell("tallo") and me.suggest("tallo") == ["talo"]
+    assert me.having(ignore_dot=True).spell("talo.") and me.having(ignore_dot=True).hyphens.ignore_dot
+    assert [t for _, t in me.tokens("On talo.")] == ["On", " ", "talo", "."]
+    assert me.grammar_errors("Talo.\r\nauto.") == [(7, 7, 4, ["Auto"])]
+    assert me.attribute_values("NUMBER") == ["singular", "plural"] and me.attribute_values("x") is None
+    df = spark.createDataFrame([("talo",), ("tallo",), ("talo",), (None,)], "word string")
+    got = sorted((r["word"] or "", r["ok"], r["suggestions"]) for r in me.check_words(df).collect())
+    assert got == [("", None, None), ("tallo", False, ["talo"]), ("talo", True, None), ("talo", True, None)]
+    me.register(spark)
+    assert spark.sql("SELECT lx_spell('talo') AND lx_suggest('tallo')[0] = 'talo'").first()[0]
+
+
+def test_dictionary_catalog(spark, tmp_path):
+    from lexiflow.sources import dictionaries as D
+
+    for name, variant in (("a", "standard"), ("b", "medicine")):
+        d = tmp_path / "5" / name
+        d.mkdir(parents=True)
+        (d / "index.txt").write_text(f"Language-Code: fi\nLanguage-Variant: {variant}\nDescription: x: y\nMorphology-Backend: vfst\n")
+        (d / D.LEXICON).write_bytes(vfst.compile_att(ATT))
+    paths = [str(tmp_path / "none"), str(tmp_path)]
+    assert D.catalog(spark, paths).count() == 2
+    assert D.find(spark, paths, "fi")["variant"] == "standard" and D.find(spark, paths, "fi-x-medicine")["description"] == "x: y"
+    assert D.find(spark, paths, "sv") is None
+    assert D.analyzer_of(spark, D.find(spark, paths, "fi"))()("kat")
+
+
+def test_weighted_words_and_dimensions(spark):
+    t = vfst.compile_att(ATT, True)
+    df = spark.createDataFrame([("kat",), ("ket",), (None,)], "w string")
+    errors = vfst.compile_att("0\t0\tk\tk\t1\n0\t0\tt\tt\t1\n0\t0\te\ta\t0.9\n0\n", True)
+    got = [tuple(r) for r in df.select(words.accepted(F.col("w"), t), words.corrected(F.col("w"), errors, t)).collect()]
+    assert got == [(0, []), (3, ["kat"]), (None, None)]
+    assert morphology.attribute_values(spark).count() > 40 and morphology.tag_codes(spark).count() > 50
+
+
+def test_element_texts(spark, tmp_path):
+    (tmp_path / "wiki.xml").write_text("<m><page><title>x</title><revision><text>talo [[auto]] on</text></revision></page></m>")
+    rows = texts.element_texts(spark, str(tmp_path / "wiki.xml"))
+    assert [r["word"] for r in texts.corpus_words(rows).collect()] == ["talo", "auto", "on"]
+
+
+def test_line_tools(capsys, monkeypatch):
+    import io
+
+    from lexiflow import cli
+
+    for tool, expected in (("hyphenate", "ta-lo"), ("spell", "W: talo"), ("tokenize", 'WORD "talo"'), ("baseform", "unknown 1"), ("readability", "words 1"), ("grammar", "Terminating")):
+        monkeypatch.setattr("sys.stdin", io.StringIO("talo\n"))
+        cli.main([tool])
+        assert expected in capsys.readouterr().out
