@@ -143,20 +143,26 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled rows that aren't held out.
 
-    Every language gives the same number of rows at most, those with the
-    smallest hash of their id; the limit per language is pushed before the
-    shuffle, so a language that most rows have isn't gathered anywhere.
+    Every language gives the same number of rows at most, those whose hashed id
+    comes first. Only a share of the hash range that follows from a language's
+    count is ranked, so one that most rows have isn't gathered anywhere.
     Vectors of whole texts, not texts, come to the driver.
     """
     rows = stable(docs).select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     usable = (~held_out("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     narrow = rows.where(usable).select("uid", "lang", F.xxhash64("id").alias("h"))
-    count = narrow.select("lang").distinct().limit(sample).count()
-    if not count:
+    counts = narrow.groupBy("lang").count().limit(sample)
+    langs = counts.collect()  # `sample` rows at most
+    if not langs:
         return Model()
-    # no language has more rows than this, so there are `sample` uids at most
-    order = Window.partitionBy("lang").orderBy("h", "uid")
-    chosen = narrow.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(2, sample // count)).select("uid")
+    most = max(2, sample // len(langs))
+    # a share of the hash range with about four times the rows wanted, whatever a language's size
+    place = F.pmod("h", F.lit(1 << 24))
+    share = F.ceil(F.lit(4.0 * (1 << 24) * most) / F.col("count")) + 64
+    near = narrow.join(F.broadcast(counts), "lang").where(place < share)
+    order = Window.partitionBy("lang").orderBy(place, "h", "uid")
+    # no language has more rows than `most`, so there are `sample` uids at most
+    chosen = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("uid")
     picked = rows.join(F.broadcast(chosen.limit(2 * sample)), "uid")
 
     @F.arrow_udf("binary")
