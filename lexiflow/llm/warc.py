@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from .shared import new_path, written
 CHUNK, FILE_ROWS = 1 << 16, 1024
 #: A batch of chunk rows is handed on at this many bytes.
 _FLUSH = 1 << 23
-_CHUNKS = "rec bigint, page_id bigint, url string, seq int, last boolean, size bigint, digest binary, data string"
+_CHUNKS = "rec bigint, page_id bigint, url string, seq int, last boolean, size bigint, digest binary, data binary"
 
 
 def _split(text: str, size: int) -> Iterator[bytes]:
@@ -40,7 +41,8 @@ def _split(text: str, size: int) -> Iterator[bytes]:
 def _chunk(size: int):
     def run(batches):
         names = [f.split()[0] for f in _CHUNKS.split(", ")]
-        types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.string())
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             rows, held = [], 0
             for rec, page, url, html in zip(*(b.column(i) for i in range(4)), strict=True):
@@ -50,7 +52,7 @@ def _chunk(size: int):
                         rows.append(waiting)
                     sha.update(piece)
                     total += len(piece)
-                    waiting = (rec.as_py(), page.as_py(), url.as_py(), seq, False, total, sha.digest(), piece.decode())
+                    waiting = (rec.as_py(), page.as_py(), url.as_py(), seq, False, total, sha.digest(), pack(piece))
                     seq += 1
                     held += len(piece)
                     if held >= _FLUSH and rows:
@@ -67,7 +69,8 @@ def chunk_table(pages: DataFrame, chunk: int = CHUNK, id_col: str = "page_id", u
     """Rows (rec, page_id, url, seq, last, size, digest, data) of all payloads.
 
     ``size`` and ``digest`` (SHA-1) cover the payload up to the row's end: those
-    of the last row are the payload's. A null payload is one empty row.
+    of the last row are the payload's. ``data`` is the chunk, compressed. A null
+    payload is one empty row.
     """
     url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.monotonically_increasing_id().alias("rec"), F.col(id_col).cast("bigint").alias("page_id"), url.alias("url"), F.col(payload_col).cast("string").alias("html"))
@@ -86,7 +89,7 @@ def _uri(url: str | None, page: int | None) -> str:
 def _segment(row: dict) -> str:
     """A chunk row as a segment of a WARC record, without the last line end."""
     seq, kind = row["seq"], row["kind"]
-    body = "" if kind == "revisit" else row["data"]
+    block = b"" if kind == "revisit" else zstandard.decompress(row["data"])
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind if seq == 0 else 'continuation'}",
@@ -107,9 +110,8 @@ def _segment(row: dict) -> str:
         head += [f"WARC-Segment-Number: {seq + 1}", f"WARC-Segment-Origin-ID: <urn:record:{row['rec']}:1>"]
         if row["last"]:
             head.append(f"WARC-Segment-Total-Length: {row['size']}")
-    block = body.encode()
     head += ["Content-Type: text/html; charset=utf-8", f"WARC-Block-Digest: sha1:{base32(hashlib.sha1(block).digest())}", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head) + "\r\n\r\n" + body + "\r\n"
+    return "\r\n".join(head) + "\r\n\r\n" + block.decode() + "\r\n"
 
 
 def write_archives(pages: DataFrame, path: str | None = None, least: int = 0, chunk: int = CHUNK, **columns: str) -> str:
@@ -138,8 +140,8 @@ def write_archives(pages: DataFrame, path: str | None = None, least: int = 0, ch
     )
     kinds = kinds.select("rec", F.when(F.col("small") | (F.col("rec") == F.col("refers_rec")), "response").otherwise("revisit").alias("kind"), "refers_rec", "refers_to")
     kinds, scratch3 = written(kinds, "kinds")
-    # revisits travel as their last chunk row without data
-    full = table.join(kinds, "rec").where((F.col("kind") == "response") | F.col("last"))
+    # the same join at every size: chunks move once, compressed; revisits keep their last row, without data
+    full = table.join(kinds.hint("merge"), "rec").where((F.col("kind") == "response") | F.col("last"))
     full = full.withColumn("data", F.when(F.col("kind") == "response", F.col("data"))).withColumn("seq", F.when(F.col("kind") == "response", F.col("seq")).otherwise(0))
 
     def lines(batches):
