@@ -10,13 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: bodies of bracket expressions, for Java's and Python's regex alike
-LETTER = "A-Za-z\u00C1-\u00D6\u00D8-\u00F6\u00F8-\u02AF\u0400-\u0481\u048A-\u0527\u1400-\u15C3\uFB00-\uFB04"
-DIGIT = "0-9"
-SPACE = "\u0009-\u000D \u0085\u00A0\u1680\u180E\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-QUOTE = '"\u00BB\u201D'
-PUNCT = ".,;\\-!?:'()\\[\\]{}/&\u00AD\u2019\u2010\u2011\u2013\u2014\u201C\u2026" + QUOTE
+# fixed values: first and last code points of the ranges
+LETTER_RANGES = [
+    (0x41, 0x5A), (0x61, 0x7A), (0xC1, 0xD6), (0xD8, 0xF6), (0xF8, 0x2AF), (0x400, 0x481), (0x48A, 0x527), (0x1400, 0x15C3), (0xFB00, 0xFB04),
+]
+DIGIT_RANGES = [(0x30, 0x39)]
+SPACE_RANGES = [
+    (0x20, 0x20), (0x09, 0x0D), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F),
+    (0x205F, 0x205F), (0x3000, 0x3000),
+]
+QUOTES = '"\u00BB\u201D'
+PUNCTUATION = ".,;-!?:'()[]{}/&\u00AD\u2019\u2010\u2011\u2013\u2014\u201C\u2026" + QUOTES
+
+
+def _body(ranges: list[tuple[int, int]]) -> str:
+    return "".join(chr(a) if a == z else f"{chr(a)}-{chr(z)}" for a, z in ranges)
+
+
+# bodies of bracket expressions, for Java's and Python's regex alike
+LETTER, DIGIT, SPACE = _body(LETTER_RANGES), _body(DIGIT_RANGES), _body(SPACE_RANGES)
+QUOTE = QUOTES
+PUNCT = "".join(f"\\{c}" if c in "-[]" else c for c in PUNCTUATION)
 HYPHEN = "\\-\u00AD\u2010\u2011"
+#: Letters below U+0100 one by one: Java looks these up in a table.
+FAST_LETTER = "".join(chr(c) for a, z in LETTER_RANGES for c in range(a, min(z, 0xFF) + 1))
 VOWEL = "aeiouy\u00E4\u00F6"
 CONSONANT = "bcdfghjklmnpqrstvwxz\u0161\u017E"
 
@@ -27,14 +44,32 @@ def _is(body: str):
     return lambda c: c.rlike(f"^[{body}]")
 
 
+def within(code: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a code point is in some range; single ones are looked up in a set."""
+    single = [a for a, z in ranges if a == z]
+    out = code.isin(*single) if single else F.lit(False)
+    for a, z in reversed(ranges):
+        if a != z:
+            out = code.between(a, z) | out
+    return out
+
+
 def char_type(c: Column) -> Column:
-    """LETTER, WHITESPACE, PUNCTUATION, DIGIT or UNKNOWN, by the first character."""
+    """LETTER, WHITESPACE, PUNCTUATION, DIGIT or UNKNOWN, by the first character.
+
+    Comparisons of its code point, so that no pattern is run per character.
+    """
+    return F.when(F.length(c) > 0, code_type(F.ascii(c)))
+
+
+def code_type(code: Column) -> Column:
+    """The same by a code point column."""
     return (
-        F.when(c.isNull(), None)
-        .when(_is(LETTER)(c), "LETTER")
-        .when(_is(SPACE)(c), "WHITESPACE")
-        .when(_is(PUNCT)(c), "PUNCTUATION")
-        .when(_is(DIGIT)(c), "DIGIT")
+        F.when(code.isNull(), None)
+        .when(within(code, LETTER_RANGES), "LETTER")
+        .when(within(code, SPACE_RANGES), "WHITESPACE")
+        .when(within(code, [(ord(x), ord(x)) for x in PUNCTUATION]), "PUNCTUATION")
+        .when(within(code, DIGIT_RANGES), "DIGIT")
         .otherwise("UNKNOWN")
     )
 

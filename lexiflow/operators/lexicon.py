@@ -38,7 +38,7 @@ def corpus_lexicon(freq: DataFrame, least: int = 3) -> DataFrame:
 
 def structure_verdict(word: Column, structure: Column) -> Column:
     """0 fits, 1 wants a capital at the start, 2 other case errors."""
-    codes = F.split(F.replace(structure, F.lit("="), F.lit("")), "")
+    bare = F.replace(structure, F.lit("="), F.lit(""))
 
     def one(c: Column, s: Column) -> Column:
         return (
@@ -48,11 +48,17 @@ def structure_verdict(word: Column, structure: Column) -> Column:
             .otherwise(0)
         )
 
+    def worst(each: Column) -> Column:
+        later = F.when(F.size(each) > 1, F.array_max(F.slice(each, F.lit(2), F.greatest(F.size(each) - 1, F.lit(1))))).otherwise(0)
+        first = F.element_at(each, 1)
+        return F.when((later > 0) | (first == 2), 2).otherwise(first)
+
     chars = F.split(word, "")
-    each = F.zip_with(chars, F.slice(codes, F.lit(1), F.size(chars)), one)
-    later = F.when(F.size(each) > 1, F.array_max(F.slice(each, F.lit(2), F.greatest(F.size(each) - 1, F.lit(1))))).otherwise(0)
-    first = F.element_at(each, 1)
-    return F.when(F.length(word) == 0, 0).when((later > 0) | (first == 2), 2).otherwise(first)
+    each = F.zip_with(chars, F.slice(F.split(bare, ""), F.lit(1), F.size(chars)), one)
+    # in an array of one, the codes are worked out once and used by name
+    general = F.element_at(F.transform(F.array(each), worst), 1)
+    small = bare.rlike("^[pq]+$") & (F.length(bare) >= F.length(word))
+    return F.when(F.length(word) == 0, 0).when(small, F.when(F.lower(word) == word, 0).otherwise(2)).otherwise(general)
 
 
 def spell(words: DataFrame, lexicon: DataFrame, word_col: str = "word", options: SpellOptions | None = None) -> DataFrame:
@@ -69,7 +75,7 @@ def spell(words: DataFrame, lexicon: DataFrame, word_col: str = "word", options:
     w = w.withColumn("__c", case)
     bypass = (F.length("__n") == 0) | (has_digit(F.col("__n")) & F.lit(o.ignore_numbers)) | (F.lit(o.ignore_uppercase) & (detect_case(F.col("__n")) == "ALL_UPPER")) | (F.lit(o.ignore_nonwords) & is_nonword(F.col("__n")))
     as_is = F.concat(simple_lower(F.substring("__n", 1, 1)), F.substring("__n", 2, 1 << 30))
-    lower = F.array_join(F.transform(F.split("__n", ""), simple_lower), "")
+    lower = F.when(F.length(F.lower("__n")) == F.length("__n"), F.lower("__n")).otherwise(F.array_join(F.transform(F.split("__n", ""), simple_lower), ""))
     w = w.withColumn("__k", F.when(F.col("__c").isin("COMPLEX", "NO_LETTERS"), as_is).otherwise(lower))
     keys = F.array_distinct(F.array("__k", F.regexp_replace("__k", r"\.$", ""))) if o.ignore_dot else F.array("__k")
     probe = w.where(~bypass).select("__k", F.explode(keys).alias("__q")).distinct()

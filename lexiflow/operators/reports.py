@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import sentence_array, split_tokens, token_type
+from .tokens import sentence_array, word_tokens
 from .words import AnalyzerMaker, hyphenated, no_analyzer, per_distinct, syllables
 
 #: Characters from which a word is long.
@@ -32,7 +32,7 @@ def readability(df: DataFrame, keys: list[str], text_col: str = "text", analyzer
     """
     counted = df.select(*keys, F.size(F.filter(sentence_array(F.col(text_col)), lambda s: s["sentence_type"] != "POSSIBLE")).alias("s"))
     per_sentence = counted.groupBy(*keys).agg(F.sum("s").alias("n_sentences"))
-    words = df.select(*keys, F.explode(split_tokens(F.col(text_col))).alias("word")).where(token_type(F.col("word")) == "WORD")
+    words = word_tokens(df, text_col, keys)
     # words are counted before the join, so it moves distinct words only
     words = words.groupBy(*keys, "word").agg(F.count("*").alias("n"))
     words = per_distinct(words, "word", "__p", lambda w: hyphenated(w, analyzer or no_analyzer))

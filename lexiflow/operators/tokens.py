@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chars import DIGIT, HYPHEN, LETTER, PUNCT, QUOTE, SPACE
+from ..functions.chars import DIGIT, DIGIT_RANGES, FAST_LETTER, HYPHEN, LETTER, LETTER_RANGES, PUNCT, PUNCTUATION, QUOTE, SPACE, SPACE_RANGES, within
 from ..functions.python import arrow
 
 LONG_RUN = 1000
@@ -37,7 +37,10 @@ def token_pattern(ignore_dot: bool = False) -> str:
         tail = rf"(?:{tail}|\.)"
     core = f"(?:{number}++{word}*+(?:{tail})?+|{word}++(?:{tail})?+|{tail})"
     inside = f"(?:{url}|{email}|{core})"
-    return rf"(?=[{ld}]){inside}|[\-\u2010\u2011]{inside}|[{SPACE}]++|\.\.\.|[\s\S]"
+    # most tokens: letters whose end shows at once that no address or connector follows, and single blanks
+    end = "" if ignore_dot else "."
+    plain = rf"[{FAST_LETTER}]++(?=[ \n]|\z|[,;!?:)\"{end}](?:[ \n]|\z))| (?=[{FAST_LETTER}])"
+    return rf"{plain}|(?=[{ld}]){inside}|[\-\u2010\u2011]{inside}|[{SPACE}]++|\.\.\.|[\s\S]"
 
 
 TOKEN = token_pattern()
@@ -56,22 +59,38 @@ def split_tokens(text: Column, ignore_dot: bool = False) -> Column:
     """Array of the token strings of a text; their concatenation is the text."""
     if ignore_dot:
         return F.regexp_extract_all(text, F.lit(token_pattern(True)), F.lit(0))
-    long_run = text.rlike(f"[^{SPACE}]{{{LONG_RUN}}}")
+    long_run = text.rlike(rf"\S{{{LONG_RUN}}}")
     python = arrow(_split_all, "array<string>")
     return F.coalesce(F.when(~long_run, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))), python(F.when(long_run, text)))
 
 
-def token_type(token: Column) -> Column:
-    """WORD, WHITESPACE, PUNCTUATION or UNKNOWN of a token string."""
+def token_type(token: Column, code: Column | None = None) -> Column:
+    """WORD, WHITESPACE, PUNCTUATION or UNKNOWN of a token string.
+
+    ``code``: its first code point, if it is at hand as a column; conditions
+    would otherwise read it from the string again and again.
+    """
+    code = F.ascii(token) if code is None else code
+    hyphened = code.isin(0x2D, 0x2010, 0x2011) & (F.length(token) > 1)
     return (
         F.when(token.isNull(), None)
-        .when(token.rlike(f"^[{LETTER}{DIGIT}]") | token.rlike(r"^[\-\u2010\u2011][\s\S]"), "WORD")
-        .when(token.rlike(f"^[{SPACE}]"), "WHITESPACE")
-        .when(token.rlike(f"^[{PUNCT}]"), "PUNCTUATION")
+        .when(within(code, LETTER_RANGES) | within(code, DIGIT_RANGES) | hyphened, "WORD")
+        .when(within(code, SPACE_RANGES), "WHITESPACE")
+        .when(within(code, [(ord(x), ord(x)) for x in PUNCTUATION]), "PUNCTUATION")
         .otherwise("UNKNOWN")
     )
 
 
+def _is_word(token: Column, code: Column) -> Column:
+    plain = code.between(0x61, 0x7A) | code.between(0x41, 0x5A)
+    return plain | (token_type(token, code) == "WORD")
+
+
+def coded_tokens(text: Column) -> Column:
+    """Array of (t, c): token strings and their first code points."""
+    return F.transform(split_tokens(text), lambda t: F.struct(t.alias("t"), F.ascii(t).alias("c")))
+
+
 def _starts(sizes: pa.Array) -> pa.Array:
     """Running sums inside each list, all lists in one pass."""
     flat = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -88,7 +107,7 @@ def running_starts(sizes: Column) -> Column:
 
 def token_array(text: Column) -> Column:
     """Array of (token_type, text) without positions, JVM only."""
-    return F.transform(split_tokens(text), lambda t: F.struct(token_type(t).alias("token_type"), t.alias("text")))
+    return F.transform(coded_tokens(text), lambda x: F.struct(token_type(x["t"], x["c"]).alias("token_type"), x["t"].alias("text")))
 
 
 def tokens(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, positions: bool = True) -> DataFrame:
@@ -98,39 +117,45 @@ def tokens(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     shuffle: positions are running sums inside a row's own array.
     """
     keep = [c for c in (keep if keep is not None else df.columns) if c != text_col]
-    cut = df.select(*keep, split_tokens(F.col(text_col)).alias("__t"))
+    cut = df.select(*keep, coded_tokens(F.col(text_col)).alias("__t"))
     if positions:
-        cut = cut.withColumn("__p", running_starts(F.transform("__t", F.length)))
-        cut = cut.select(*keep, F.posexplode(F.arrays_zip(F.col("__t").alias("t"), F.col("__p").alias("p"))).alias("token_idx", "__x"))
-        text, extra = F.col("__x.t"), [F.col("__x.p").alias("pos")]
+        cut = cut.withColumn("__p", running_starts(F.transform("__t", lambda x: F.length(x["t"]))))
+        cut = cut.select(*keep, F.posexplode(F.arrays_zip(F.col("__t").alias("x"), F.col("__p").alias("p"))).alias("token_idx", "__x"))
+        text, code, extra = F.col("__x.x.t"), F.col("__x.x.c"), [F.col("__x.p").alias("pos")]
     else:
         cut = cut.select(*keep, F.posexplode("__t").alias("token_idx", "__x"))
-        text, extra = F.col("__x"), []
-    return cut.select(*keep, "token_idx", token_type(text).alias("token_type"), text.alias("text"), F.length(text).alias("token_len"), *extra)
+        text, code, extra = F.col("__x.t"), F.col("__x.c"), []
+    return cut.select(*keep, "token_idx", token_type(text, code).alias("token_type"), text.alias("text"), F.length(text).alias("token_len"), *extra)
 
 
 def word_tokens(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Rows (kept columns, word) of the word tokens."""
     keep = [c for c in (keep if keep is not None else df.columns) if c != text_col]
-    cut = df.select(*keep, F.explode(split_tokens(F.col(text_col))).alias("word"))
-    return cut.where(token_type(F.col("word")) == "WORD")
+    cut = df.select(*keep, F.explode(coded_tokens(F.col(text_col))).alias("__x")).where(_is_word(F.col("__x.t"), F.col("__x.c")))
+    return cut.select(*keep, F.col("__x.t").alias("word"))
 
 
 # ---- sentences ---------------------------------------------------------------
 
-_FIRST = {}
+_KINDS: dict[str, str] = {}
+_FIND: list = []
+
+
+def _kind(c: str) -> str:
+    """Type of a token by its first character, remembered."""
+    kind = _KINDS.get(c)
+    if kind is None:
+        x = ord(c)
+        hit = lambda ranges: any(a <= x <= z for a, z in ranges)
+        kind = _KINDS[c] = "WORD" if hit(LETTER_RANGES) or hit(DIGIT_RANGES) else "WHITESPACE" if hit(SPACE_RANGES) else "PUNCTUATION" if c in PUNCTUATION else "UNKNOWN"
+    return kind
 
 
 def python_tokens(text: str) -> list[tuple[str, str]]:
     """(token_type, text) of every token, by the same pattern."""
-    if not _FIRST:
-        _FIRST.update(find=_python(TOKEN).findall, word=regex.compile(f"[{LETTER}{DIGIT}]"), space=regex.compile(f"[{SPACE}]"), punct=regex.compile(f"[{PUNCT}]"))
-    word, space, punct = _FIRST["word"].match, _FIRST["space"].match, _FIRST["punct"].match
-    out = []
-    for t in _FIRST["find"](text):
-        kind = "WORD" if word(t) or len(t) > 1 and t[0] in "-\u2010\u2011" else "WHITESPACE" if space(t) else "PUNCTUATION" if punct(t) else "UNKNOWN"
-        out.append((kind, t))
-    return out
+    if not _FIND:
+        _FIND.append(_python(TOKEN).findall)
+    return [("WORD" if t[0] in "-\u2010\u2011" and len(t) > 1 else _kind(t[0]), t) for t in _FIND[0](text)]
 
 
 def _dotted(word: str, known: frozenset[str]) -> bool:
