@@ -169,12 +169,9 @@ def normalize(w: Column) -> Column:
     ligature's last letter. Words without any such character, nearly all, pass
     after one test.
     """
-    plain, touched = w, w.rlike(f"[{''.join(_MARKS)}{''.join(_SPELLED)}]")
-    for pair, one in compositions():
-        w = F.replace(w, F.lit(pair), F.lit(one))
-    for one, spelled in _SPELLED.items():
-        w = F.replace(w, F.lit(one), F.lit(spelled))
-    return F.when(touched, w).otherwise(plain)
+    touched = w.rlike(f"[{''.join(_MARKS)}{''.join(_SPELLED)}]")
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in [*compositions(), *_SPELLED.items()]))
+    return F.when(touched, F.aggregate(pairs, w, lambda text, p: F.replace(text, p["a"], p["b"]))).otherwise(w)
 
 
 def strip_soft_hyphens(w: Column) -> Column:

@@ -28,6 +28,8 @@ def no_analyzer() -> Analyzer:
 def per_distinct(df: DataFrame, word_col: str, into: str, column: Callable[[Column], Column]) -> DataFrame:
     """``df`` with a column computed once per distinct word."""
     words = df.select(F.col(word_col).alias("__w")).where("__w is not null").distinct()
+    # few bytes may be much work: the words are dealt evenly, not packed by size
+    words = words.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     made = words.select("__w", column(F.col("__w")).alias(into))
     return df.join(made, df[word_col] == made["__w"], "left").drop("__w")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import chars
 from .functions.python import prepare
 from .operators import features, grammar, inflect, lexicon, local_checks, morphology, reports, spelling, tokens, words
+from .plans.storage import written
 from .sources import sinks, texts, vfst, wordlists
 from .streaming import words as streams
 
@@ -45,6 +46,11 @@ def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.word_frequencies(table(spark, sf_dir, "documents"))
 
 
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word frequencies for queries that need them more than once."""
+    return written(_frequencies(spark, sf_dir), "words")[0]
+
+
 #: Letter runs in SQL, and the corpus lexicon (words that occur LEAST times or more).
 LEAST = 3
 RUN = f"[{chars.LETTER}]+"
@@ -255,7 +261,7 @@ def autocorrect_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spell_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that are correct by a lexicon of the corpus's repeated words."""
     docs = _documents(spark, sf_dir)
-    lex = lexicon.corpus_lexicon(lexicon.word_frequencies(docs), LEAST)
+    lex = lexicon.corpus_lexicon(_counted(spark, sf_dir), LEAST)
     counted = lexicon.letter_runs(docs, keep=["lang"]).groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("c"))
     ok = lexicon.spell(counted.select("word").distinct(), lex)
     return counted.join(ok, "word").groupBy("lang").agg(F.sum("c").alias("n_words"), F.sum(F.when(F.col("ok"), F.col("c")).otherwise(0)).alias("n_known"))
@@ -263,7 +269,7 @@ def spell_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LEX} SELECT word, freq FROM freq ANTI JOIN lex ON word = surface")
 def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    freq = _frequencies(spark, sf_dir)
+    freq = _counted(spark, sf_dir)
     return lexicon.unknown_words(freq, lexicon.corpus_lexicon(freq, LEAST))
 
 
@@ -279,7 +285,7 @@ def structure_case_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str, make) -> DataFrame:
-    freq = _frequencies(spark, sf_dir)
+    freq = _counted(spark, sf_dir)
     lex = lexicon.corpus_lexicon(freq, LEAST)
     unknown = freq.where(F.col("freq") < LEAST).select("word")
     found = lexicon.known_candidates(make(unknown), lex)
@@ -351,7 +357,7 @@ def suggest_vowel_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def suggest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unknown words that are two known words: two lexicon joins."""
-    freq = _frequencies(spark, sf_dir)
+    freq = _counted(spark, sf_dir)
     lex = lexicon.corpus_lexicon(freq, LEAST).select("surface", "freq")
     parts = lexicon.splits(freq.where(F.col("freq") < LEAST).select("word"))
     one, two = lex.toDF("first_part", "f1"), lex.toDF("second_part", "f2")
@@ -366,7 +372,7 @@ def suggest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def suggest_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best candidates of every unknown word."""
-    freq = _frequencies(spark, sf_dir)
+    freq = _counted(spark, sf_dir)
     unknown = freq.where(F.col("freq") < LEAST).select("word")
     made = lexicon.replacements(unknown, _PAIRS)
     for more in (lexicon.deletions, lexicon.hyphen_insertions, lexicon.insertions, lexicon.swaps):
@@ -555,7 +561,7 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LEX} SELECT CASE WHEN surface IS NULL THEN 'W: ' ELSE 'C: ' END || word AS value FROM freq LEFT JOIN lex ON word = surface")
 def spell_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    freq = _frequencies(spark, sf_dir)
+    freq = _counted(spark, sf_dir)
     return sinks.spell_lines(lexicon.spell(freq.select("word"), lexicon.corpus_lexicon(freq, LEAST)))
 
 
