@@ -51,3 +51,14 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+def spread(df: DataFrame, bytes_each: int = 32 << 20) -> DataFrame:
+    """A table of a few files dealt to all cores before costly work per row.
+
+    A file of one row group is one task, however many cores there are. Tables
+    of more than ``bytes_each`` per core have splits enough and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * bytes_each else df

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import chars
 from .functions.python import prepare
 from .operators import features, grammar, inflect, lexicon, local_checks, morphology, reports, spelling, tokens, words
-from .plans.storage import written
+from .plans.storage import spread, written
 from .sources import sinks, texts, vfst, wordlists
 from .streaming import words as streams
 
@@ -39,11 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
 
 
 def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.word_frequencies(table(spark, sf_dir, "documents"))
+    return lexicon.word_frequencies(spread(table(spark, sf_dir, "documents").select("text")))
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +174,7 @@ def token_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, length(text)::BIGINT AS n_chars, length(text)::BIGINT AS covered, true AS same FROM documents WHERE length(text) > 0")
 def token_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens cover a text: put together they are the text, and the last one ends where it does."""
-    cut = table(spark, sf_dir, "documents").select("doc_id", "text", tokens.split_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    cut = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", tokens.split_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     rows = cut.withColumn("p", tokens.running_starts(F.transform("t", F.length)))
     covered = (F.element_at("p", -1) + F.length(F.element_at("t", -1))).cast("bigint")
     return rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), covered.alias("covered"), (F.array_join("t", "") == F.col("text")).alias("same"))
