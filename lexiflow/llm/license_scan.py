@@ -3,8 +3,8 @@
 A notice of n characters that may have k edits is split into k + 1 pieces: one
 of them must stand unchanged in any match. An Aho-Corasick automaton finds the
 pieces in the normalised text (lower-case words, one blank between), and only
-the surroundings of a piece are searched by the regex library's bounded-error
-matching, which counts the edits and gives the span.
+the surroundings of a piece are aligned with the notice. A match is of whole
+words: the alignment may start and end at their bounds alone.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +63,7 @@ def _searcher(notices: tuple[tuple[str, str], ...], per: int):
     compiled = []
     for i, (notice, label) in enumerate(notices):
         k = edits_for(notice, per)
-        compiled.append((notice, label, k, regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={k}}}")))
+        compiled.append((notice, label, k))
         step = len(notice) / (k + 1)
         cuts = [round(step * j) for j in range(k + 2)]
         for a, z in zip(cuts, cuts[1:], strict=False):
@@ -76,6 +75,30 @@ def _searcher(notices: tuple[tuple[str, str], ...], per: int):
     return (seeds if found else None), compiled
 
 
+@lru_cache(1 << 14)
+def _aligned(notice: str, most: int, around: str) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the run of whole words nearest to a notice, the
+    leftmost of equals, in a text with a further character on either side."""
+    # a cell is edits * scale + start, so the least one has the leftmost start
+    n, scale, best = len(notice), len(around), None
+    never = (most + 1) * scale
+    column, live = [never] * (n + 1), False
+    for j in range(1, len(around)):
+        c = around[j]
+        if c == " " and column[n] < never and (best is None or column[n] < best[0]):
+            best = column[n], j
+        if around[j - 1] == " ":
+            column, live = [min(x, i * scale + j) for i, x in enumerate(column)], True
+        if live:
+            x = column[0] + scale
+            new = [x]
+            for i in range(n):
+                x = min(column[i] if notice[i] == c else column[i] + scale, column[i + 1] + scale, x + scale)
+                new.append(x)
+            column, live = new, min(new) < never
+    return None if best is None else (best[0] // scale, best[0] % scale, best[1])
+
+
 def fuzzy_spans(text: str, notices=NOTICES, per: int = CHARS_PER_EDIT) -> list[tuple[str, int, int, int, int]]:
     """(label, first character, end, edits, notice length) in a normalised text.
 
@@ -84,29 +107,19 @@ def fuzzy_spans(text: str, notices=NOTICES, per: int = CHARS_PER_EDIT) -> list[t
     seeds, compiled = _searcher(tuple(notices.items()), per)
     if seeds is None or not text:
         return []
-    near: dict[int, list[list[int]]] = {}
+    near: dict[int, set[int]] = {}
     for end, (size, where) in seeds.iter(text):
         for i, offset in where:
-            notice, _, k, _ = compiled[i]
-            begin = end + 1 - size - offset
-            a, z = max(0, begin - k), min(len(text), begin + len(notice) + k)
-            own = near.setdefault(i, [])
-            if own and a <= own[-1][1]:
-                own[-1][1] = max(z, own[-1][1])
-                own[-1][0] = min(a, own[-1][0])
-            else:
-                own.append([a, z])
+            near.setdefault(i, set()).add(end + 1 - size - offset)
     out = []
-    for i, windows in near.items():
-        notice, label, _, pattern = compiled[i]
-        for a, z in windows:
-            at = a
-            while at < z and (m := pattern.search(text, at, z)):
-                # a match starts and ends where words do
-                whole = (m.start() == 0 or text[m.start()] == " " or text[m.start() - 1] == " ") and (m.end() == len(text) or text[m.end()] == " " or text[m.end() - 1] == " ")
-                if whole:
-                    out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice)))
-                at = m.end() if whole else m.start() + 1
+    padded = f" {text} "
+    for i, begins in near.items():
+        notice, label, k = compiled[i]
+        for begin in begins:
+            # one more character on either side shows whether words start and end there
+            a, z = max(0, begin - k), min(len(text), begin + len(notice) + k)
+            if m := _aligned(notice, k, padded[a : z + 2]):
+                out.append((label, a + m[1] - 1, a + m[2] - 1, m[0], len(notice)))
     # where notices overlap, the one that fits with the smallest share of edits stands
     kept: list[tuple[int, int, tuple]] = []
     for x in sorted(set(out), key=lambda x: (x[3] / x[4], -x[4], x[1], x[0])):

@@ -399,6 +399,53 @@ def test_seeds_miss_no_match():
         assert bool(got) or not whole or not (text[whole.start() - 1] == " " or text[whole.start()] == " ") or not (text[whole.end() : whole.end() + 1] in ("", " ") or text[whole.end() - 1] == " ")
 
 
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("mozilla public licenses", "mpl"),
+        ("the mozilla public licences here", "mpl"),
+        ("mozilla public licensed", "mpl"),
+        ("gnu lesser general public licenses", "lgpl"),
+        ("under the mit licenses", "mit"),
+    ],
+)
+def test_notices_with_longer_last_words(text, label):
+    got = license_scan.scan_text(text)
+    assert label in got["labels"].split(",") and got["score"] > 0
+
+
+def test_whole_word_matches_equal_brute_force():
+    """The least edits between the notice and any run of whole words, suffixes and prefixes included."""
+    rng = random.Random(16)
+    for notice in ("gnu general public license version 3", "mozilla public license", "under the mit license"):
+        most = license_scan.edits_for(notice)
+        for _ in range(120):
+            x = list(notice)
+            for _ in range(rng.randrange(5)):
+                i = rng.randrange(len(x))
+                x[i] = rng.choice(["", "z", x[i] + "q", x[i] + " "])
+            made = "".join(x) + rng.choice(["", "", "s", "d", "es", "able"])
+            text = license_scan.normal(f"some words {rng.choice(['', '', 're'])}{made} and more")
+            words = text.split()
+            n = notice.count(" ") + 1
+            runs = (" ".join(words[i:j]) for i in range(len(words)) for j in range(max(i + 1, i + n - 3), min(len(words), i + n + 3) + 1))
+            least = min(_edits(notice, r) for r in runs)
+            got = license_scan.fuzzy_spans(text, {notice: "x"})
+            assert [g[3] for g in got] == ([least] if least <= most else []), text
+            for _, a, z, e, _ in got:
+                assert f" {text[a:z]} " in f" {text} " and _edits(notice, text[a:z]) == e
+
+
 def test_license_rows(docs, empty):
     got = license_scan.license_scan(docs)
     assert got.count() == len(TEXTS) and license_scan.license_scan(empty).count() == 0
