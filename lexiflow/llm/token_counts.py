@@ -2,8 +2,8 @@
 
 A document keeps its pre-tokens (characters and ids of each) in blocks, and a
 segment tree over the blocks' sums. An edit changes pre-tokens only from the
-one that touches its start up to where the old and new cuts agree again; only
-this region is encoded, its blocks are replaced, and the sums above them are
+one before the white space at its start up to where the old and new cuts agree
+again; only this region is encoded, its blocks are replaced, and the sums above them are
 renewed. Special tokens' strings count as ordinary text.
 """
 
@@ -88,11 +88,16 @@ class EditedCounts:
         drop = min(max(0, drop), len(self.text) - at)
         new = self.text[:at] + put + self.text[at + drop :]
         tree, shift, resume = self.tree, len(put) - drop, at + len(put)
-        first, start = tree.find(at)
-        # pre-tokens of the first block that end before the edit stay
+        # cuts before here don't depend on what is at the edit or behind it: a run of white space
+        # may join, and a quote sees two characters ahead ('re)
+        back = max(0, at - 1)
+        while back and self.text[back - 1].isspace():
+            back -= 1
+        first, start = tree.find(back)
+        # pre-tokens of the first block that end before there stay
         kept_c, kept_n = [], []
         for c, n in zip(*tree.blocks[first], strict=True):
-            if start + c >= at:
+            if start + c >= back:
                 break
             kept_c.append(c)
             kept_n.append(n)

@@ -480,6 +480,31 @@ def test_edited_counts_equal_full_encoding(spark, library):
     assert token_counts.edited_counts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "edit"),
+    [("a\n\nx", (3, 0, " it's")), ("a\n \n\tx y", (5, 1, "\n\n")), ("ab  \n  cd", (7, 2, " ")), ("it'rx", (4, 1, "e")), ("it'lx", (4, 1, "l")), ("\n\n\nx", (3, 1, "\n"))],
+)
+def test_edits_right_after_white_space_and_quotes(text, edit):
+    enc = bpe.Encoder(bpe.load(bpe.default_path()).words, {}, None)
+    doc = token_counts.EditedCounts(text, *enc.counts([text])[0], token_counts.counter(bpe.default_path()))
+    doc.edit(*edit)
+    chars, ids = enc.counts([doc.text])[0]
+    assert [c for b, _ in doc.tree.blocks for c in b] == chars.tolist()
+    assert doc.tree.tokens == int(ids.sum())
+
+
+def test_random_edits_among_runs_of_white_space():
+    enc, count = bpe.Encoder(bpe.load(bpe.default_path()).words, {}, None), token_counts.counter(bpe.default_path())
+    rng = random.Random(18)
+    parts = [" ", "\n", "\n\n", "\t", "x", "talo", "'", "r", "e", "l", "9", "!"]
+    for _ in range(150):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(300)))
+        doc = token_counts.EditedCounts(text, *enc.counts([text])[0], count)
+        for _ in range(8):
+            doc.edit(rng.randrange(len(doc.text) + 1), rng.randrange(4), "".join(rng.choice(parts) for _ in range(rng.randrange(4))))
+            assert [c for b, _ in doc.tree.blocks for c in b] == enc.counts([doc.text])[0][0].tolist()
+
+
 def test_an_edit_of_a_long_text_encodes_a_few_pre_tokens():
     enc = bpe.Encoder(bpe.load(bpe.default_path()).words, {}, None)
     text = "talo auto koti " * 5000
