@@ -497,6 +497,34 @@ def table_analyzer(rows: dict[str, list[Analysis]]) -> Callable[[], Analyzer]:
     return lambda: lambda word: rows.get(lowered(word), [])
 
 
+_STORED: dict[str, frozenset[str]] = {}
+
+
+def stored_analyzer(path: str, column: str = "surface") -> Callable[[], Analyzer]:
+    """Makes an analyzer of a lexicon written as Parquet where all executors
+    read it: nouns in the nominative, small letters only. One per worker."""
+
+    def make() -> Analyzer:
+        if path not in _STORED:
+            from pyarrow import dataset, fs
+
+            store, folder = fs.FileSystem.from_uri(path)
+            known: set[str] = set()
+            for b in dataset.dataset(folder, filesystem=store, format="parquet").to_batches(columns=[column]):
+                known.update(b.column(0).to_pylist())
+            _STORED[path] = frozenset(known)
+        words = _STORED[path]
+
+        def analyze(word: str) -> list[Analysis]:
+            if (word if word.lower() == word else lowered(word)) not in words:
+                return []
+            return [{"STRUCTURE": "=" + "p" * len(word), "CLASS": "nimisana", "SIJAMUOTO": "nimento"}]
+
+        return analyze
+
+    return make
+
+
 def attribute_values(spark):
     """Dimension (attribute, ordinal, value) of the attributes with closed lists."""
     return spark.createDataFrame([(a, i, v) for a, values in VALUES.items() for i, v in enumerate(values)], "attribute string, ordinal int, value string")

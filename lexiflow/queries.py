@@ -541,11 +541,11 @@ def inflected_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def suggested_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked corrections by all generators and their budget, for the capitalised words of the benchmark."""
-    freq = _frequencies(spark, sf_dir)
-    known = [r["word"] for r in freq.where("freq > 200").orderBy(F.desc("freq"), "word").limit(2000).collect()]  # a lexicon of 2,000 words at most
-    made = morphology.table_analyzer({w: [{"STRUCTURE": "=" + "p" * len(w), "CLASS": "nimisana", "SIJAMUOTO": "nimento"}] for w in known})
-    w = lexicon.letter_runs(table(spark, sf_dir, "benchmark"), keep=[]).select(F.lower("word").alias("word")).distinct()
+    """Ranked corrections by all generators and their budget, for every distinct word of the documents."""
+    freq = _counted(spark, sf_dir)
+    made = morphology.stored_analyzer(written(lexicon.corpus_lexicon(freq, LEAST).select("surface"), "lexicon")[1])
+    # few bytes are much work: the words are dealt evenly, not packed by size
+    w = freq.select("word").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return w.select("word", words.spelled_right(F.col("word"), made).alias("ok"), F.array_join(words.suggestions(F.col("word"), made), ",").alias("suggestions"))
 
 

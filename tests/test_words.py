@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +109,24 @@ def test_suggestions(word, best):
     assert (got[0] if got else None) == best
 
 
+def test_suggested_words_are_of_all_documents_by_the_whole_lexicon(spark, tmp_path):
+    """Rare lexicon words (three times) are right and are suggested; unknown words of documents are corrected."""
+    from lexiflow.queries import LEAST, suggested_words
+
+    # 2,100 words that are all commoner than the rare one
+    common = ["".join(x) for x in itertools.product("bcdfghjklmnp", "aeiou", "bcdfghjk", "aeiou")][:2100]
+    text = " ".join(common * 201 + ["harvinainen"] * LEAST + ["harvinaine", "Qqqqq"])
+    spark.createDataFrame([(1, "fi", "s", text)], "doc_id bigint, lang string, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "toinen")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["word"]: (r["ok"], r["suggestions"]) for r in suggested_words(spark, str(tmp_path)).collect()}
+    assert set(got) == {*common, "harvinainen", "harvinaine", "qqqqq"}
+    rows = {w: [noun(len(w))] for w in [*common, "harvinainen"]}
+    plain = spelling.Speller(morphology.table_analyzer(rows)(), spelling.SpellOptions())
+    assert got["harvinainen"][0] and got["harvinaine"] == (False, "harvinainen") and not got["qqqqq"][0]
+    for w in [*common[::50], *common[-10:], "harvinainen", "harvinaine", "qqqqq"]:
+        assert got[w] == (plain.accepts(w), ",".join(spelling.suggest(w, plain))), w
+
+
 def test_suggestions_follow_the_case_as_written():
     assert spelling.suggest_as_written("TALLO", speller())[0] == "TALO"
     assert spelling.suggest_as_written("t", speller()) == []
