@@ -13,7 +13,7 @@ from lexiflow.llm.shared import prepare, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no language is found for (no letters, no text) go."""
+    """Documents without letters go; no predicted language or score rejects any other."""
     prepare(spark)
     return langid.keep_identified(docs)
 

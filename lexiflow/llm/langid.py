@@ -208,6 +208,18 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the documents that no language is found for; same columns."""
+    """``docs`` without the documents that have no letters; same columns.
+
+    Every other document gets a language where there was something to learn
+    from, and stays whatever it is; with an empty model all of them stay too.
+    """
+    model = model or train(docs, id_col, text_col, lang_col)
+    if not model.languages:
+
+        @F.arrow_udf("boolean")
+        def lettered(texts: pa.Array) -> pa.Array:
+            return pa.array([has_letters(t) for t in texts.to_pylist()], pa.bool_())
+
+        return docs.where(lettered(F.col(text_col)))
     name = unused(docs, "found")
-    return predicted(docs, model or train(docs, id_col, text_col, lang_col), text_col, name).where(F.col(name)["lang_pred"] != UNKNOWN).drop(name)
+    return predicted(docs, model, text_col, name).where(F.col(name)["lang_pred"] != UNKNOWN).drop(name)

@@ -562,6 +562,14 @@ def test_languages_of_unlabelled_and_empty_tables(labelled, empty):
     assert kept.columns == labelled.columns and kept.count() == labelled.count() - 3
 
 
+def test_without_a_model_documents_with_letters_stay(labelled):
+    none = labelled.withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.keep_identified(none)
+    assert kept.columns == none.columns
+    gone = {1001, 1002, 1003}
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in none.collect() if r["doc_id"] not in gone)
+
+
 def test_family_comes_first_and_pieces_lose_no_trigram(monkeypatch):
     assert (langid.family("en"), langid.family("pt-BR"), langid.family("xx")) == ("germanic", "romance", "other")
     whole = langid.features("maison " * 50)
