@@ -451,7 +451,13 @@ def error_array(text: Column, analyzer: Callable[[], Analyzer] | None = None, op
 
 def grammar_errors(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, analyzer=None, options: GrammarOptions | None = None, table: dict[str, str] | None = None) -> DataFrame:
     """One row per finding in the paragraphs (lines) of a text: kept columns,
-    par_idx, start_pos (in the whole text), error_code, error_len, suggestions."""
+    par_idx, start_pos (in the whole text), error_code, error_len, suggestions.
+
+    The reference's limits hold, and findings beyond them are lost: sentences
+    of a paragraph after the 200th (MOST_SENTENCES) aren't checked, and where
+    any sentence has over 500 tokens (MOST_TOKENS), neither are the tokens
+    after the 500th of each.
+    """
     keep = [c for c in (keep if keep is not None else df.columns) if c != text_col]
     rows = paragraphs(df, text_col, keep).select(*keep, "par_idx", "start", F.explode(error_array(F.col("paragraph"), analyzer, options, table)).alias("__e"))
     return rows.select(*keep, "par_idx", (F.col("start") + F.col("__e.start_pos")).alias("start_pos"), "__e.error_code", "__e.error_len", "__e.suggestions")
