@@ -6,6 +6,9 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +26,24 @@ WORD_BYTES = bytes(
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    root = str(Path(__file__).resolve().parents[2])
+    """Let Python workers import this package: from the driver's path where all is
+    one machine, else from an archive of it that every executor fetches."""
+    root = Path(__file__).resolve().parents[2]
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in known:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    if str(root) not in known:
+        env["PYTHONPATH"] = os.pathsep.join([str(root), *filter(None, known)])
+        if not local(spark):
+            packed = Path(tempfile.mkdtemp(), "lexiflow.zip")
+            with zipfile.ZipFile(packed, "w") as out:
+                for f in sorted((root / "lexiflow").rglob("*.py")):
+                    out.write(f, f.relative_to(root))
+            spark.sparkContext.addPyFile(str(packed))
+
+
+def local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master) is not None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,14 +52,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where it is set.
+    """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, local mode) gets a local one.
+    Only where driver and executors are one process (tests, local mode) may it
+    be unset: a folder on this machine is used then.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = Path(tempfile.gettempdir(), "lexiflow-checkpoints").as_uri()
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -59,17 +76,44 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(conf).delete(p, True)
 
 
+#: Tables written inside the ``temporary`` blocks that are open, the innermost last.
+_OPEN: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not the stages before.
+    The table is deleted with the innermost ``temporary`` block around this
+    call, and otherwise when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Tables written inside are deleted at its end, but for paths given to the
+    function that it yields: the block around it owns those."""
+    _OPEN.append([])
+    kept: list[str] = []
+    try:
+        yield lambda *paths: kept.extend(paths)
+    finally:
+        mine = _OPEN.pop()
+        for path in mine:
+            if path not in kept:
+                delete(spark, path)
+        if _OPEN:
+            _OPEN[-1].extend(p for p in mine if p in kept)
+
+
 _SCANS = re.compile(r"[\s:+|-]*(Project|Filter|Relation|SubqueryAlias|LogicalRelation|View)\b")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import stable, unused, words_at_blanks, written
+from .shared import stable, temporary, unused, words_at_blanks, written
 
 SHINGLE, SEED, HALF = 4, 42, 2
 #: Variants that a bucket should hold, and bytes of text hashed at once.
@@ -105,26 +105,32 @@ def _syndrome(v: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _emit(k: int, half: int, splits: dict[int, int]):
-    """Fingerprints to rows (bucket, part, blob of the fingerprints sent there)."""
+def _emit(k: int, half: int, bits: int, splits: dict[tuple[int, int], int]):
+    """Rows (lane, fp) to rows (lane, bucket, part, blob of the fingerprints sent there)."""
 
     def run(batches):
         near = _masks(k, half)
         for b in batches:
-            v = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            bucket = ((v >> np.uint64(64 - k))[:, None] ^ near).ravel()
-            order = np.argsort(bucket, kind="stable")
-            bucket, v = bucket[order], np.repeat(v, len(near))[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            rows = [(int(bucket[a]), v[a:z].tobytes()) for a, z in zip([0, *cuts], [*cuts, len(v)], strict=True) if z > a]
-            rows = [(i, part, blob) for i, blob in rows for part in range(1 << splits.get(i, 0))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "part", "blob"])
+            lanes, every = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            rows = []
+            for lane in np.unique(lanes).tolist():
+                v = every[lanes == lane]
+                bucket = ((v >> np.uint64(bits - k))[:, None] ^ near).ravel()
+                order = np.argsort(bucket, kind="stable")
+                bucket, v = bucket[order], np.repeat(v, len(near))[order]
+                cuts = np.flatnonzero(np.diff(bucket)) + 1
+                for i, z in zip([0, *cuts], [*cuts, len(v)], strict=True):
+                    if z > i:
+                        blob, own = v[i:z].tobytes(), int(bucket[i])
+                        rows += [(lane, own, part, blob) for part in range(1 << splits.get((lane, own), 0))]
+            names = (("lane", pa.int32()), ("bucket", pa.int32()), ("part", pa.int32()), ("blob", pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, (_, t) in enumerate(names)], names=[n for n, _ in names])
 
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """The edges a-b as (node, root) of their own components."""
+def _forest(links: np.ndarray) -> np.ndarray:
+    """Links that span every component: Kruskal's, those of fewest bits first."""
     up: dict[int, int] = {}
 
     def root(x):
@@ -133,17 +139,23 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
             x = up[x]
         return x
 
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+    away = np.bitwise_count(links[:, 0] ^ links[:, 1])
+    kept = []
+    order = np.lexsort((links[:, 1], links[:, 0], away))
+    for i, x, y in zip(order.tolist(), *links[order].T.tolist(), strict=True):
         x, y = root(x), root(y)
         if x != y:
             up[max(x, y)] = min(x, y)
-    return [(x, r) for x in up if (r := root(x)) != x]
+            kept.append(i)
+    return links[kept]
 
 
-def collisions(prints: np.ndarray, bucket: int, part: int, k: int, half: int, split: int) -> list[tuple[int, int]]:
-    """Links (unsigned) between fingerprints with a common variant in a bucket part."""
-    low = 64 - k
-    prints = np.unique(prints)
+_NONE = np.zeros((0, 2), np.uint64)
+
+
+def collisions(prints: np.ndarray, bucket: int, part: int, k: int, half: int, split: int, bits: int = 64) -> np.ndarray:
+    """Links (unsigned) between distinct fingerprints with a common variant in a bucket part."""
+    low = bits - k
     away = np.bitwise_count((prints >> np.uint64(low)) ^ np.uint64(bucket))
     values, owners = [], []
     for d in range(half + 1):
@@ -159,13 +171,13 @@ def collisions(prints: np.ndarray, bucket: int, part: int, k: int, half: int, sp
                 values.append(((o & np.uint64((1 << low) - 1))[:, None] ^ m).ravel())
                 owners.append((o, len(m)))
     if not values:
-        return []
+        return _NONE
     everything = np.concatenate(values)
     everything.sort()
     hit = np.unique(everything[1:][everything[1:] == everything[:-1]])
     del everything
     if not len(hit):
-        return []
+        return _NONE
     mark = np.zeros(1 << 16, bool)
     spread, far = np.uint64(0x9E3779B97F4A7C15), np.uint64(48)
     mark[(hit * spread) >> far] = True
@@ -184,36 +196,53 @@ def collisions(prints: np.ndarray, bucket: int, part: int, k: int, half: int, sp
     first = who[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
     link = np.unique(np.stack([who[~new], first[~new]], 1), axis=0)
     link = link[(np.bitwise_count(link[:, 0] ^ link[:, 1]) <= 2 * half) & (link[:, 0] != link[:, 1])]
-    return _forest(link[:, 0], link[:, 1])
+    return _forest(link)
 
 
-def _meet(k: int, half: int, splits: dict[int, int]):
+def _meet(k: int, inner: int, half: int, bits: int, splits: dict[tuple[int, int], int]):
     def run(key, group):
-        bucket, part = key[0].as_py(), key[1].as_py()
-        prints = np.frombuffer(b"".join(x.as_py() for c in group.column("blob").chunks for x in c), np.uint64)
-        links = np.array(collisions(prints, bucket, part, k, half, splits.get(bucket, 0)), np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
+        lane, bucket, part = (x.as_py() for x in key)
+        prints = np.unique(np.frombuffer(b"".join(x.as_py() for c in group.column("blob").chunks for x in c), np.uint64))
+        found = []
+        # variants are laid out a longer prefix at a time
+        for i in range(bucket << inner, (bucket + 1) << inner):
+            split = splits.get((lane, i), 0)
+            if part < 1 << split:
+                found.append(collisions(prints, i, part, k + inner, half, split, bits))
+        links = _forest(np.concatenate(found)) if found else _NONE
+        links = links.view(np.int64)
+        return pa.table({"lane": pa.array([lane] * len(links), pa.int32()), "a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
 
     return run
 
 
-def near_links(nodes: DataFrame, half: int = HALF) -> DataFrame:
-    """Distinct fingerprints (column fp) to links (a, b) that span every
-    component of those at most ``2 * half`` bits apart."""
-    n = nodes.count()
-    every = sum(math.comb(64, i) for i in range(half + 1))
-    k = min(16, max(2, math.ceil(math.log2(max(1, n * every / BUCKET)))))
-    # at most 2^16 counts come to the driver, however many rows there are
-    counts = np.zeros(1 << k)
-    for r in nodes.groupBy(F.shiftrightunsigned("fp", 64 - k).alias("p")).count().collect():
-        counts[r["p"]] = r["count"]
-    load = np.zeros(1 << k)
-    for m in _masks(k, half):
-        rest = half - int(m).bit_count()
-        load += counts[np.arange(1 << k) ^ int(m)] * sum(math.comb(64 - k, i) for i in range(rest + 1))
-    splits = {int(i): min(16, math.ceil(math.log2(load[i] / (4 * BUCKET)))) for i in np.flatnonzero(load > 4 * BUCKET)}
-    sent = nodes.select("fp").mapInArrow(_emit(k, half, splits), "bucket int, part int, blob binary")
-    return sent.groupBy("bucket", "part").applyInArrow(_meet(k, half, splits), "a bigint, b bigint")
+def near_links(nodes: DataFrame, half: int = HALF, bits: int = 64, inner: int = 0) -> DataFrame:
+    """Distinct rows (lane, fp) to rows (lane, a, b): links between fingerprints of a
+    lane that span every component of those at most ``2 * half`` of ``bits`` bits apart.
+
+    ``inner``: bits of the prefix that a task goes through by itself, so that a
+    fingerprint is sent to fewer places.
+    """
+    lanes = {r["lane"]: r["n"] for r in nodes.groupBy("lane").agg(F.count("*").alias("n")).collect()}  # a row per lane
+    every = sum(math.comb(bits, i) for i in range(half + 1))
+    whole = min(16, max(2 + inner, math.ceil(math.log2(max(1, max(lanes.values(), default=0) * every / BUCKET)))))
+    k = whole - inner
+    # at most 2^16 counts a lane come to the driver, however many rows there are
+    counts = {lane: np.zeros(1 << whole) for lane in lanes}
+    for r in nodes.groupBy("lane", F.shiftrightunsigned("fp", bits - whole).alias("p")).count().collect():
+        counts[r["lane"]][r["p"]] = r["count"]
+    splits: dict[tuple[int, int], int] = {}
+    for lane, c in counts.items():
+        load = np.zeros(1 << whole)
+        for m in _masks(whole, half):
+            rest = half - int(m).bit_count()
+            load += c[np.arange(1 << whole) ^ int(m)] * sum(math.comb(bits - whole, i) for i in range(rest + 1))
+        splits.update({(lane, int(i)): min(16, math.ceil(math.log2(load[i] / (4 * BUCKET)))) for i in np.flatnonzero(load > 4 * BUCKET)})
+    parts: dict[tuple[int, int], int] = {}
+    for (lane, i), n in splits.items():
+        parts[lane, i >> inner] = max(n, parts.get((lane, i >> inner), 0))
+    sent = nodes.select("lane", "fp").mapInArrow(_emit(k, half, bits, parts), "lane int, bucket int, part int, blob binary")
+    return sent.groupBy("lane", "bucket", "part").applyInArrow(_meet(k, inner, half, bits, splits), "lane int, a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, half: int = HALF) -> DataFrame:
@@ -225,19 +254,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with equal texts, or repeated rows, share a fingerprint and a component;
     a null id counts for no component's smallest; no rows give no rows.
     """
-    prints, _ = written(fingerprints(docs, id_col, text_col, shingle), "prints")
-    nodes, _ = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    links, _ = written(near_links(nodes, half), "links")
-    member = connected_components(links)
-    known = nodes.join(member, nodes.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    known, _ = written(known, "members")
-    named, _ = written(known.groupBy("root").agg(F.min("least").alias("component")), "components")
-    classes, _ = written(known.join(named, "root").select("fp", "component"), "classes")
+    with temporary(docs.sparkSession) as keep:
+        prints, p1 = written(fingerprints(docs, id_col, text_col, shingle), "prints")
+        nodes, _ = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+        links, _ = written(near_links(nodes.select(F.lit(0).alias("lane"), "fp"), half), "links")
+        member, _ = written(connected_components(links), "member")
+        known = nodes.join(member, nodes.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        known, _ = written(known, "members")
+        named, _ = written(known.groupBy("root").agg(F.min("least").alias("component")), "components")
+        classes, p2 = written(known.join(named, "root").select("fp", "component"), "classes")
+        keep(p1, p2)
     return prints.join(classes, "fp").select("id", "fp", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without all but one row of each near-duplicate component.
+    """``docs`` without all but one row of each component of :func:`near_duplicates`.
 
     The row with the smallest id stays (of repeated ids the first row read;
     null ids yield to others). Columns are those of ``docs``.
@@ -245,7 +276,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     docs = stable(docs)
     uid = unused(docs, "uid")
     rows = docs.withColumn(uid, F.monotonically_increasing_id())
-    named = rows.select(F.struct(F.coalesce(F.col(id_col), F.lit(2**63 - 1)).cast("bigint").alias("i"), F.col(uid).alias("u")).alias("key"), F.col(text_col).alias("text"))
-    found = near_duplicates(named, "key", "text")
-    gone = found.where("id <> component").select(F.col("id.u").alias(uid))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("i"), F.col(uid).alias("u"))
+    found = near_duplicates(rows.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text")
+    gone = found.where("id.u <> component.u").select(F.col("id.u").alias(uid))
     return rows.join(gone, uid, "left_anti").drop(uid)

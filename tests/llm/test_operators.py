@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexiflow.llm import bpe, components, decontam, exact_dedup, langid, license_scan, sharding, simhash, token_counts, token_store, warc
+from lexiflow.llm import bpe, components, decontam, exact_dedup, langid, license_scan, shared, sharding, similar, simhash, token_counts, token_store, warc
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -105,7 +105,7 @@ def test_links_span_all_components(spark, monkeypatch, bucket):
             prints.add(x)
     ids = {p: p for p in prints}
     signed = [(p - 2**64 if p >= 2**63 else p,) for p in prints]
-    links = simhash.near_links(spark.createDataFrame(signed, "fp bigint"))
+    links = simhash.near_links(spark.createDataFrame(signed, "fp bigint").selectExpr("3 AS lane", "fp"))
     rows = [(r["a"] % 2**64, r["b"] % 2**64) for r in links.collect()]
     assert all((a ^ b).bit_count() <= 64 for a, b in rows)
     up = {p: p for p in prints}
@@ -139,6 +139,86 @@ def test_near_duplicate_rows_that_stay(spark, docs, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0 == simhash.near_duplicates(empty).count()
 
 
+def plain_similar(texts: dict, words: int = 5, least: float = 0.8) -> dict:
+    """The smallest id that links of shared shingles reach, by all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+    up = {i: i for i in texts}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            x, y = sets[i], sets[j]
+            if x == y or len(x & y) >= least * len(x | y):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+def _edited(words: list[str], n: int, rng) -> str:
+    words = list(words)
+    for k in rng.sample(range(len(words)), n):
+        words[k] = f"new{rng.random()}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("bucket", [1 << 20, 20000])
+def test_similar_groups_and_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng, texts = random.Random(4), {}
+    for base in range(12):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(80, 400))]
+        for n in (0, 1, 2, 3, 8, 30):
+            texts[len(texts)] = _edited(words, n, rng)
+        texts[len(texts)] = " ".join(words).upper()
+    for t in ("", "a", "A", "a b c d", "  a  b c D ", "\u00a0", "é è"):
+        texts[len(texts)] = t
+    hot = [f"h{i}" for i in range(300)]
+    for _ in range(150):  # one large group, all different
+        texts[len(texts)] = _edited(hot, 2, rng)
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id bigint, text string")
+    got, want = {r["id"]: r["component"] for r in similar.similar_groups(docs).collect()}, plain_similar(texts)
+    # links are verified, so no two groups are joined; a pair at the very limit may never meet
+    assert all(want[i] == want[got[i]] for i in texts)
+    assert sum(got[i] != want[i] for i in texts) <= 2
+    sure = plain_similar(texts, least=0.85)
+    assert all(got[i] == got[sure[i]] for i in texts)
+
+
+def test_similar_rows_that_stay(spark, empty, monkeypatch):
+    text = "one two three four five six seven"
+    rows = [("b", text, 1), ("a", text.upper(), 2), ("a", text, 3), (None, text, 4), ("z", None, 5), (None, "", 6), ("y", "other words", 7)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, `__uid` int")
+    kept = similar.drop_similar(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["__uid"] for r in kept.collect()) == [2, 5, 7]
+    assert similar.drop_similar(empty).count() == 0 == similar.similar_groups(empty).count()
+    long = " ".join(str(i % 7919) for i in range(30000))
+    whole = similar.shingles(long)
+    monkeypatch.setattr(simhash, "PIECE", 1000)
+    assert (similar.shingles(long) == whole).all() and len(whole) == 7919
+
+
+def test_tables_of_temporary_blocks_go(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: tmp_path.as_uri())
+    with shared.temporary(spark):
+        with shared.temporary(spark) as keep:
+            shared.written(docs, "a")
+            b, path = shared.written(docs, "b")
+            keep(path)
+        assert [p.name for p in tmp_path.iterdir()] == [path.rsplit("/", 1)[1]] and b.count() == docs.count()
+    assert not list(tmp_path.iterdir())
+    found = similar.similar_groups(docs)
+    assert found.count() == docs.count() and len(list(tmp_path.iterdir())) <= 3
+
+
 # ---- 2: shards -------------------------------------------------------------------
 
 

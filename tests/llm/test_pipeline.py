@@ -17,7 +17,7 @@ def low(text: str) -> str:
 
 
 def test_stages(spark):
-    from tests.llm.test_operators import WORD, plain_components, plain_print
+    from tests.llm.test_operators import WORD, plain_similar
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -27,7 +27,7 @@ def test_stages(spark):
     for i, t in left.items():
         best[low(t)] = max(best.get(low(t), -1), i)
     left = {i: t for i, t in left.items() if best[low(t)] == i}
-    roots = plain_components({i: plain_print(t) for i, t in left.items()}, 4)
+    roots = plain_similar(left)
     left = {i: t for i, t in left.items() if roots[i] == i}
     windows = set()
     for t in items:
@@ -45,6 +45,17 @@ def test_stages(spark):
     assert len(left) < docs.count()
 
 
+def test_stages_stand_nulls_repeats_and_clashing_names(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs away from it all"
+    rows = [(1, text, None), (1, text, "x"), (None, text.upper(), None), (2, None, None), (3, "", "y"), (4, "1 2 3", "z"), (5, "x" * 3_000_000, "q")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `__uid` string").selectExpr("*", "'found' AS `__found`", "'de' AS lang")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, SF)
+        assert left.columns == docs.columns, name
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 5]
+
+
 def test_stages_keep_columns_and_stand_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
