@@ -9,27 +9,22 @@ that aren't members are grouped among themselves.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from .shared import stable, unused, written
+from .shared import LOWER, UPPER, stable, temporary, unused, written
 
-#: Distinct digests that a part of the history should hold.
+#: Distinct digests that a part should hold of the history, and of the new rows.
 PART = 1 << 14
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-def normal_digest(text: str | None) -> bytes:
+def normal_digest(text):
     """SHA-256 of the text in UTF-8, A-Z lower-cased; null counts as empty."""
-    return hashlib.sha256((text or "").encode().lower()).digest()
-
-
-def _digests(texts: pa.Array) -> pa.Array:
-    return pa.array([normal_digest(t.as_py()) for t in texts], pa.binary())
+    return F.unhex(F.sha2(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER).cast("binary"), 256))
 
 
 class PerfectHash:
@@ -98,7 +93,7 @@ def _probe(key, history: pa.Table, new: pa.Table) -> pa.Table:
     member = at >= 0
     member[member] = (names[at[member]] == fresh[member]).all(axis=1)
     best, n = new["best"].to_pylist(), new["n"].to_numpy()
-    rank = lambda x: (x["has"], x["id"] or 0, x["early"])
+    rank = lambda x: (True, x["id"], x["early"]) if x["has"] else (False, x["early"])
     for i in np.flatnonzero(member):
         j = at[i]
         count[j] += n[i]
@@ -108,15 +103,12 @@ def _probe(key, history: pa.Table, new: pa.Table) -> pa.Table:
     return pa.table(
         {
             "digest": pa.array(rows, pa.binary()),
-            "best": pa.array(winner + [best[i] for i in others], _BEST),
+            "best": pa.array(winner + [best[i] for i in others], history.schema.field("best").type),
             "n": pa.array([*count.tolist(), *(int(n[i]) for i in others)], pa.int64()),
         }
     )
 
 
-_BEST = pa.struct([("has", pa.bool_()), ("id", pa.int64()), ("early", pa.int64())])
-
-
 def _groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.max("own").alias("best"), F.count("*").alias("n"))
 
@@ -125,12 +117,13 @@ def merge_groups(history: DataFrame, new: DataFrame) -> DataFrame:
     """Two tables of distinct digests (digest, best, n) to one.
 
     Parts follow the digests' leading bits, so they are even whatever the
-    texts are; their number follows the history's size.
+    texts are; their number follows the larger of the two tables.
     """
-    parts = max(int(history.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + history.count() // PART)
+    most = max(history.count(), new.count())
+    parts = max(int(history.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + most // PART)
     part = F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint"), F.lit(parts)).alias("part")
     a, b = history.select(part, "*").groupBy("part"), new.select(part, "*").groupBy("part")
-    return a.cogroup(b).applyInArrow(_probe, "digest binary, best struct<has:boolean,id:bigint,early:bigint>, n bigint")
+    return a.cogroup(b).applyInArrow(_probe, history.schema)
 
 
 def groups(docs: DataFrame, history, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -140,16 +133,22 @@ def groups(docs: DataFrame, history, id_col: str = "doc_id", text_col: str = "te
     Copies are combined before each shuffle, so a text that a third of the
     rows have is a row per task.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("bigint").alias("doc_id"), F.arrow_udf(_digests, "binary")(F.col(text_col)).alias("digest"), F.coalesce(history, F.lit(False)).alias("seen"))
-    rows, _ = written(rows, "digests")
-    own = rows.withColumn("own", F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), (-F.col("uid")).alias("early")))
-    old, _ = written(_groups(own.where("seen")), "history")
-    merged, _ = written(merge_groups(old, _groups(own.where("not seen"))), "groups")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), normal_digest(F.col(text_col)).alias("digest"), F.coalesce(history, F.lit(False)).alias("seen"))
+    with temporary(docs.sparkSession) as keep:
+        rows, p1 = written(rows, "digests")
+        own = rows.withColumn("own", F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), (-F.col("uid")).alias("early")))
+        old, _ = written(_groups(own.where("seen")), "history")
+        new, _ = written(_groups(own.where("not seen")), "new")
+        merged, p2 = written(merge_groups(old, new), "groups")
+        keep(p1, p2)
     return rows, merged
 
 
 def older_half(docs: DataFrame, id_col: str = "doc_id"):
-    """A condition for the rows up to the middle of the range of ids."""
+    """A condition for the rows up to the middle of the range of ids (of ids that
+    aren't numbers, for those with an even hash)."""
+    if not isinstance(docs.schema[id_col].dataType, NumericType):
+        return F.pmod(F.xxhash64(id_col), F.lit(2)) == 0
     low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
     return F.lit(False) if low is None else F.col(id_col) <= (int(low) + int(high)) // 2
 
@@ -160,7 +159,7 @@ def exact_duplicates(docs: DataFrame, history=None, id_col: str = "doc_id", text
     Texts are equal when identical after lower-casing A-Z; null counts as
     empty. Of equal texts the row with the largest doc_id stays; of rows with
     that doc_id too (repeated rows) the first read, and a null doc_id yields
-    to any other. ``history`` (a condition; by default the older half) says
+    to any other; ids are of any type that orders. ``history`` (a condition; by default the older half) says
     which rows the perfect hash is built from; it doesn't change the result.
     An empty table gives no rows.
     """

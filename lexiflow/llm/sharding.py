@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, unused, written
+from .shared import delete, new_path, temporary, unused, written
 
 #: Bytes that every record takes beside its text.
 OVERHEAD = 8
@@ -39,11 +39,15 @@ def byte_shards(rows: DataFrame, shards: int, key: str = "doc_id", size: str = "
     may outgrow its shard (shards then stay empty), and columns of ``rows`` of
     any name but shard and slot are kept.
     """
-    seq, part, before, ahead = (unused(rows, x) for x in ("seq", "part", "before", "ahead"))
+    seq, part, before, ahead, total = (unused(rows, x) for x in ("seq", "part", "before", "ahead", "total"))
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn(seq, F.monotonically_increasing_id()).repartitionByRange(n, F.col(key).asc_nulls_first(), seq)
-    dealt, _ = written(dealt.withColumn(part, F.spark_partition_id()), "ranges")
+    # range sampling reads its input twice, and row numbers must agree: only measured rows are read again
+    with temporary(spark) as keep:
+        numbered, _ = written(rows.withColumn(seq, F.monotonically_increasing_id()), "measured")
+        dealt = numbered.repartitionByRange(n, F.col(key).asc_nulls_first(), seq)
+        dealt, p = written(dealt.withColumn(part, F.spark_partition_id()), "ranges")
+        keep(p)
     # one row per partition: their number is set by the session, not the data
     over = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy(part).agg(F.sum(size).alias("b"), F.count("*").alias("r"))
@@ -51,17 +55,18 @@ def byte_shards(rows: DataFrame, shards: int, key: str = "doc_id", size: str = "
         part,
         F.coalesce(F.sum("b").over(over), F.lit(0)).alias(before),
         F.coalesce(F.sum("r").over(over), F.lit(0)).alias(ahead),
-        F.sum("b").over(Window.partitionBy()).alias("__all"),
+        F.sum("b").over(Window.partitionBy()).alias(total),
     )
     inside = Window.partitionBy(part).orderBy(F.col(key).asc_nulls_first(), seq).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         dealt.join(F.broadcast(totals), part)
         .withColumn(before, F.col(before) + F.coalesce(F.sum(size).over(inside), F.lit(0)))
         .withColumn(ahead, F.col(ahead) + F.count("*").over(inside))
-        .withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"(2 * `{before}` + `{size}`) * {int(shards)}L div (2 * __all)")).cast("int"))
-        .drop("__all", before, part, seq)
+        .withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"(2 * `{before}` + `{size}`) * {int(shards)}L div (2 * `{total}`)")).cast("int"))
+        .drop(total, before, part, seq)
     )
     placed, _ = written(placed, "placed")
+    delete(spark, p)
     # at most one row per shard
     first = placed.groupBy("shard").agg(F.min(ahead).alias(before))
     return placed.join(F.broadcast(first), "shard").withColumn("slot", F.col(ahead) - F.col(before)).select(*rows.columns, "shard", "slot")
