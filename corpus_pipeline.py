@@ -2,14 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run`
 writes every stage's rows as Parquet and gives them to the next one.
+
+All stages but the last return the columns of their input, of any name, and in
+each of them an empty table gives no rows, nulls in columns beside the text and
+the id change nothing, and texts of any length are read whole. A null text has
+no letters and goes in the first stage; where a later one is given such texts,
+they count as empty. Repeated rows are copies of each other.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflow.llm import bpe, decontam, exact_dedup, langid, simhash
-from lexiflow.llm.shared import prepare, table, written
+from lexiflow.llm import bpe, decontam, exact_dedup, langid, similar
+from lexiflow.llm.shared import delete, prepare, table, temporary, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +33,10 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component the row with the smallest doc_id stays.
 
-    Links are at most 4 differing bits of four-word fingerprints. Most pairs
-    with a five-word similarity of 0.8 differ in more and both stay (README).
+    Links: five-word shingles with a similarity of 0.8 or more, verified.
     """
     prepare(spark)
-    return simhash.drop_near_duplicates(docs)
+    return similar.drop_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +63,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table, one after the other."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole ``documents`` table, one after the other.
+
+    A stage's rows are deleted when the next one's are written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs, _ = written(docs, f"stage{i + 1}")
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with temporary(spark) as keep:
+            docs, path = written(stage(spark, docs, sf_dir), f"stage{i + 1}")
+            keep(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
