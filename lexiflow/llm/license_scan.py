@@ -3,8 +3,11 @@
 A notice of n characters that may have k edits is split into k + 1 pieces: one
 of them must stand unchanged in any match. An Aho-Corasick automaton finds the
 pieces in the normalised text (lower-case words, one blank between), and only
-the surroundings of a piece are aligned with the notice. A match is of whole
-words: the alignment may start and end at their bounds alone.
+the surroundings of a piece are searched by the regex library's bounded-error
+matching, which counts the edits and gives the span. A match is of whole words.
+That library tries an edit only where a character differs, so it misses a few
+matches whose edit must stand on a character that fits ("apache license version"
+before a blank); a window where it finds none is aligned cell by cell instead.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +42,8 @@ NOTICES = {
     "boost software license": "bsl-1",
     "eclipse public license": "epl",
     "this is free and unencumbered software": "unlicense",
-    "spdx license identifier": "spdx",
 }
-#: Edits allowed: one per this many characters of a notice.
+#: Edits allowed: one per this many characters of a notice, and at most so many.
 CHARS_PER_EDIT = 10
 MOST_EDITS = 3
 
@@ -50,19 +53,19 @@ def normal(text: str | None) -> str:
     return b" ".join((text or "").encode().translate(WORD_BYTES).split()).decode()
 
 
-def edits_for(notice: str, per: int = CHARS_PER_EDIT) -> int:
-    return min(MOST_EDITS, len(notice) // per)
+def edits_for(notice: str, per: int = CHARS_PER_EDIT, most: int = MOST_EDITS) -> int:
+    return min(most, len(notice) // per)
 
 
 @lru_cache(4)
-def _searcher(notices: tuple[tuple[str, str], ...], per: int):
+def _searcher(notices: tuple[tuple[str, str], ...], per: int, most: int):
     import ahocorasick
 
     seeds = ahocorasick.Automaton()
     found: dict[str, list[tuple[int, int]]] = {}
     compiled = []
     for i, (notice, label) in enumerate(notices):
-        k = edits_for(notice, per)
+        k = edits_for(notice, per, most)
         compiled.append((notice, label, k))
         step = len(notice) / (k + 1)
         cuts = [round(step * j) for j in range(k + 2)]
@@ -75,10 +78,22 @@ def _searcher(notices: tuple[tuple[str, str], ...], per: int):
     return (seeds if found else None), compiled
 
 
+@lru_cache(256)
+def _pattern(notice: str, most: int):
+    return regex.compile(f"(?b)(?<= )(?:{regex.escape(notice)}){{e<={most}}}(?= )")
+
+
 @lru_cache(1 << 14)
+def _verified(notice: str, most: int, around: str) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the run of whole words nearest to a notice, in a text
+    with a further character on either side."""
+    if m := _pattern(notice, most).search(around):
+        return sum(m.fuzzy_counts), m.start(), m.end()
+    return _aligned(notice, most, around)
+
+
 def _aligned(notice: str, most: int, around: str) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the run of whole words nearest to a notice, the
-    leftmost of equals, in a text with a further character on either side."""
+    """As :func:`_verified`, by edit distances of all whole words in the window."""
     # a cell is edits * scale + start, so the least one has the leftmost start
     n, scale, best = len(notice), len(around), None
     never = (most + 1) * scale
@@ -99,12 +114,13 @@ def _aligned(notice: str, most: int, around: str) -> tuple[int, int, int] | None
     return None if best is None else (best[0] // scale, best[0] % scale, best[1])
 
 
-def fuzzy_spans(text: str, notices=NOTICES, per: int = CHARS_PER_EDIT) -> list[tuple[str, int, int, int, int]]:
+def fuzzy_spans(text: str, notices=NOTICES, per: int = CHARS_PER_EDIT, most: int = MOST_EDITS) -> list[tuple[str, int, int, int, int]]:
     """(label, first character, end, edits, notice length) in a normalised text.
 
-    Of overlapping matches the best is given.
+    Of overlapping matches the best is given: the smallest share of edits, then
+    the longest notice, then the leftmost, then the first label.
     """
-    seeds, compiled = _searcher(tuple(notices.items()), per)
+    seeds, compiled = _searcher(tuple(notices.items()), per, most)
     if seeds is None or not text:
         return []
     near: dict[int, set[int]] = {}
@@ -118,7 +134,7 @@ def fuzzy_spans(text: str, notices=NOTICES, per: int = CHARS_PER_EDIT) -> list[t
         for begin in begins:
             # one more character on either side shows whether words start and end there
             a, z = max(0, begin - k), min(len(text), begin + len(notice) + k)
-            if m := _aligned(notice, k, padded[a : z + 2]):
+            if m := _verified(notice, k, padded[a : z + 2]):
                 out.append((label, a + m[1] - 1, a + m[2] - 1, m[0], len(notice)))
     # where notices overlap, the one that fits with the smallest share of edits stands
     kept: list[tuple[int, int, tuple]] = []
@@ -142,10 +158,10 @@ def base_places(text: str, phrases=PHRASES) -> list[tuple[int, str]]:
     return sorted(out)
 
 
-def scan_text(text: str | None, phrases=PHRASES, notices=NOTICES, per: int = CHARS_PER_EDIT) -> dict:
+def scan_text(text: str | None, phrases=PHRASES, notices=NOTICES, per: int = CHARS_PER_EDIT, most: int = MOST_EDITS) -> dict:
     words = normal(text)
     base = base_places(words, phrases)
-    spans = fuzzy_spans(words, notices, per)
+    spans = fuzzy_spans(words, notices, per, most)
     labels = {x for _, x in base}
     score = 1.0 if base else max((1 - e / n for _, _, _, e, n in spans), default=0.0)
     return {
@@ -165,22 +181,23 @@ _FIELDS = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.in
 _SCHEMA = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label:string,first:bigint,words:bigint,edits:bigint,found:string>>"
 
 
-def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, per: int = CHARS_PER_EDIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, per: int = CHARS_PER_EDIT, most: int = MOST_EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score, spans.
 
     ``labels`` are the base labels and those of notices found with edits;
     ``score`` is 1 with a base place, else the largest share of characters
     that an edited notice kept, 0 without any. ``spans`` lists the latter's
-    matches in words. A null or empty text has no words and no labels;
-    repeated rows repeat; an empty table gives no rows; a text of any length
-    is scanned whole.
+    matches in words. ``per`` and ``most`` bound the edits of a notice: one per
+    so many characters, and so many at most. A null or empty text has no words
+    and no labels; repeated rows repeat; an empty table gives no rows; a text
+    of any length is scanned whole; other columns, of any name, aren't read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            rows = [scan_text(t.as_py(), phrases, notices, per) for t in b.column(1)]
+            rows = [scan_text(t.as_py(), phrases, notices, per, most) for t in b.column(1)]
             cols = [pa.array([r[n] for r in rows], t) for n, t in _FIELDS]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", *(n for n, _ in _FIELDS)])
 

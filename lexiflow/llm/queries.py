@@ -40,7 +40,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("spans")
+    return license_scan.license_scan(table(spark, sf_dir, "documents")).withColumn("spans", F.to_json("spans"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

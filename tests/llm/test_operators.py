@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm import bpe, components, decontam, exact_dedup, langid, license_scan, shared, sharding, similar, simhash, token_counts, token_store, warc
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -526,6 +528,72 @@ def test_whole_word_matches_equal_brute_force():
                 assert f" {text[a:z]} " in f" {text} " and _edits(notice, text[a:z]) == e
 
 
+def test_regex_and_alignment_agree():
+    """Where the regex library finds a match it has the least edits; alignment finds the rest."""
+    rng, missed = random.Random(8), 0
+    for notice in ("apache license version 2", "mozilla public license", "released under the mit license"):
+        k = license_scan.edits_for(notice)
+        for _ in range(300):
+            x = list(notice)
+            for _ in range(rng.randrange(4)):
+                x[rng.randrange(len(x))] = rng.choice(["", "z", " ", "qq"])
+            around = f" {license_scan.normal(rng.choice(['', 'of ', 'x1 ']) + ''.join(x) + rng.choice(['', ' and', 's']))} "
+            m, a = license_scan._pattern(notice, k).search(around), license_scan._aligned(notice, k, around)
+            assert m is None or a is None or sum(m.fuzzy_counts) == a[0]
+            assert not (m and a is None)
+            missed += m is None and a is not None
+            assert (license_scan._verified(notice, k, around) is None) == (a is None)
+    assert missed
+
+
+def test_license_query_equals_brute_force(spark):
+    """Base places, word counts and every whole-word match within the bounds, on the whole smallest table."""
+    from lexiflow.llm.queries import op7_license_scan
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    notices = {n: (n.count(" ") + 1, license_scan.edits_for(n), label) for n, label in license_scan.NOTICES.items()}
+    seen = 0
+    for r in op7_license_scan(spark, SF).collect():
+        words = WORD.findall(low(texts[r["doc_id"]] or ""))
+        base = [(i, label) for p, label in license_scan.PHRASES.items() for i in range(len(words)) if words[i : i + p.count(" ") + 1] == p.split()]
+        assert (r["n_words"], r["n_base"]) == (len(words), len(base))
+        assert (r["first_word"], r["last_word"]) == ((min(base)[0], max(base)[0]) if base else (None, None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in base}))
+        spans = json.loads(r["spans"])
+        heads = {w for n in notices for w in n.split()}
+        near = {}
+        if heads & set(words):
+            for n, (size, most, label) in notices.items():
+                for i in range(len(words)):
+                    if not heads & set(words[i : i + size + 2]):
+                        continue
+                    for j in range(max(i + 1, i + size - most), min(len(words), i + size + most) + 1):
+                        run = " ".join(words[i:j])
+                        if abs(len(run) - len(n)) <= most and sum((Counter(run) - Counter(n)).values()) <= most and _edits(n, run) <= most:
+                            near.setdefault(label, []).append((i, j))
+        for s in spans:
+            assert (s["first"], s["first"] + s["words"]) in near[s["label"]]
+            assert " ".join(words[s["first"] : s["first"] + s["words"]]) == s["found"]
+        # every match is reported or overlaps a better one
+        for label, places in near.items():
+            for i, j in places:
+                assert any(s["first"] < j and i < s["first"] + s["words"] for s in spans)
+        assert set(r["labels"].split(",")) - {""} == {s["label"] for s in spans} | {x for _, x in base}
+        seen += len(spans)
+    assert seen
+
+
+def test_licenses_of_ties_repeats_clashes_and_long_texts(spark):
+    two = "under the mit licance under the mit license"
+    assert [x["first"] for x in license_scan.scan_text(two)["spans"]] == [0, 4]
+    assert [x["label"] for x in license_scan.scan_text("x under the mit license", notices={"under the mit license": "b", "under the mit licensa": "a"})["spans"]] == ["b"]
+    long = "word " * 400_000 + "gnu general public licence version 3"
+    rows = [(1, two, "a"), (1, two, "b"), (2, None, None), (3, long, "c")]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string, labels string")).collect()
+    assert [(r["doc_id"], r["labels"], r["n_words"]) for r in got] == [(1, "mit", 8), (1, "mit", 8), (2, "", 0), (3, "gpl-3", 400_006)]
+    assert license_scan.edits_for("a" * 90, most=7) == 7
+
+
 def test_license_rows(docs, empty):
     got = license_scan.license_scan(docs)
     assert got.count() == len(TEXTS) and license_scan.license_scan(empty).count() == 0
