@@ -20,27 +20,26 @@ from ..functions.python import arrow
 from .spelling import Analysis, Analyzer, low, up
 from .tokens import paragraphs, python_sentences, python_tokens
 
-MOST_TOKENS, MOST_SENTENCES = 500, 200
-# fixed values: code, name, English description
+# fixed values: code, name, English and Finnish description
 CODES = [
-    (1, "INVALID_SPELLING", "Incorrect spelling of word(s)"),
-    (2, "EXTRA_WHITESPACE", "Remove extra space"),
-    (3, "SPACE_BEFORE_PUNCTUATION", "Remove space before punctuation"),
-    (4, "EXTRA_COMMA", "Remove extra comma"),
-    (5, "INVALID_SENTENCE_STARTER", "Sentence starts with an invalid character"),
-    (6, "WRITE_FIRST_LOWERCASE", "Consider changing first letter to lower case"),
-    (7, "WRITE_FIRST_UPPERCASE", "Change first letter to upper case"),
-    (8, "REPEATING_WORD", "Word is repeated"),
-    (9, "TERMINATING_PUNCTUATION_MISSING", "Terminating punctuation is missing"),
-    (10, "INVALID_PUNCTUATION_AT_END_OF_QUOTATION", "Invalid punctuation at the end of quotation"),
-    (11, "FOREIGN_QUOTATION_MARK", "Foreign quotation mark"),
-    (12, "MISPLACED_CLOSING_PARENTHESIS", "Misplaced closing parenthesis"),
-    (13, "NEGATIVE_VERB_MISMATCH", "Negative verb doesn't fit the verb"),
-    (14, "A_INFINITIVE_REQUIRED", "The verb requires the A-infinitive"),
-    (15, "MA_INFINITIVE_REQUIRED", "The verb requires the MA-infinitive"),
-    (16, "MISPLACED_CONJUNCTION", "Conjunction at the end of a sentence"),
-    (17, "MISSING_MAIN_VERB", "The sentence has no verb"),
-    (18, "EXTRA_MAIN_VERB", "The clause has two verbs, or a comma is missing"),
+    (1, "INVALID_SPELLING", "Incorrect spelling of word(s)", "Virheellinen kirjoitusasu"),
+    (2, "EXTRA_WHITESPACE", "Remove extra space.", "Poista ylimääräinen väli."),
+    (3, "SPACE_BEFORE_PUNCTUATION", "Extra space before punctuation", "Ylimääräinen väli välimerkin edessä"),
+    (4, "EXTRA_COMMA", "Remove extra comma.", "Poista ylimääräinen pilkku."),
+    (5, "INVALID_SENTENCE_STARTER", "Invalid character at the start of a sentence", "Virheellinen virkkeen aloittava merkki"),
+    (6, "WRITE_FIRST_LOWERCASE", "Consider writing the word in lowercase.", "Harkitse sanan kirjoittamista pienellä alkukirjaimella."),
+    (7, "WRITE_FIRST_UPPERCASE", "The word must be written with a capital letter.", "Sana on kirjoitettava isolla alkukirjaimella."),
+    (8, "REPEATING_WORD", "The word appears twice.", "Sana on kirjoitettu kahteen kertaan."),
+    (9, "TERMINATING_PUNCTUATION_MISSING", "Punctuation is missing at the end of a sentence.", "Välimerkki puuttuu virkkeen lopusta."),
+    (10, "INVALID_PUNCTUATION_AT_END_OF_QUOTATION", "Invalid punctuation at the end of a quotation", "Virheelliset välimerkit lainauksen lopussa"),
+    (11, "FOREIGN_QUOTATION_MARK", "Quotation mark not suitable for Finnish text", "Suomenkieliseen tekstiin sopimaton lainausmerkki"),
+    (12, "MISPLACED_CLOSING_PARENTHESIS", "Misplaced closing parenthesis", "Väärin sijoitettu sulkumerkki"),
+    (13, "NEGATIVE_VERB_MISMATCH", "Negative verb and main verb do not agree.", "Kieltoverbi ja pääverbi eivät sovi yhteen."),
+    (14, "A_INFINITIVE_REQUIRED", "The latter verb should be in the a/ä infinitive form.", "Jälkimmäisen verbin tulisi olla a/ä-päätteisessä infinitiivissä."),
+    (15, "MA_INFINITIVE_REQUIRED", "The latter verb should be in the maan/mään infinitive form.", "Jälkimmäisen verbin tulisi olla maan/mään-päätteisessä infinitiivissä."),
+    (16, "MISPLACED_CONJUNCTION", "A conjunction (ja, tai, mutta, ...) cannot be the last word of a sentence.", "Sidesana (ja, tai, mutta, ...) ei voi olla virkkeen viimeinen sana."),
+    (17, "MISSING_MAIN_VERB", "Check whether a main verb is missing from the sentence.", "Tarkista, puuttuuko virkkeestä pääverbi tai -verbejä."),
+    (18, "EXTRA_MAIN_VERB", "A comma may be missing, or there may be an extra verb.", "Virkkeestä saattaa puuttua pilkku, tai siinä voi olla ylimääräinen verbi."),
 ]
 QUOTES = '"»”'
 MAY_START = "()'-“–—" + QUOTES
@@ -49,9 +48,18 @@ SEPARATING = ".:…–—"
 
 @dataclass(frozen=True)
 class GrammarOptions:
+    """``most_sentences`` and ``most_tokens``: bounds of a paragraph and of a
+    sentence, beyond which nothing is checked; by default there are none."""
+
     accept_titles: bool = False
     accept_unfinished_paragraphs: bool = False
     accept_bulleted_lists: bool = False
+    most_sentences: int | None = None
+    most_tokens: int | None = None
+
+
+# fixed values: the bounds of a checker that works on fixed tables
+BOUNDED = GrammarOptions(most_sentences=200, most_tokens=500)
 
 
 @dataclass
@@ -123,31 +131,44 @@ class Paragraph:
     starts: list[int]
 
 
-def read_paragraph(text: str, analyze: Analyzer | None = None) -> Paragraph:
+def read_paragraph(text: str, analyze: Analyzer | None = None, options: GrammarOptions | None = None) -> Paragraph:
     """Sentences of words; boundaries that are only possible don't split.
 
-    A sentence of more than MOST_TOKENS tokens makes the whole paragraph
+    With a bound on tokens, a sentence of more makes the whole paragraph
     structural: all boundaries split and no word has flags.
     """
-    cuts = python_sentences(text)
-    spans: list[list[int]] = []
-    glue = False
+    o, parts = options or GrammarOptions(), python_tokens(text)
+    cuts = python_sentences(text, parts=parts)
+    ends, glue = [], False
     for kind, start, n in cuts:
         if glue:
-            spans[-1][1] += n
+            ends[-1] = start + n
         else:
-            spans.append([start, n])
+            ends.append(start + n)
         glue = kind == "POSSIBLE"
-    made = [_words(text[a : a + n], a, analyze) for a, n in spans[:MOST_SENTENCES]]
-    if any(len(s) > MOST_TOKENS for s in made):
-        spans = [[a, n] for _, a, n in cuts]
-        made = [_words(text[a : a + n], a, None, plain=True)[:MOST_TOKENS] for a, n in spans[:MOST_SENTENCES]]
-    return Paragraph(made, [a for a, _ in spans[: len(made)]])
+    groups = _grouped(parts, ends)[: o.most_sentences]
+    plain = o.most_tokens is not None and any(len(g) > o.most_tokens for _, g in groups)
+    if plain:
+        groups = _grouped(parts, [a + n for _, a, n in cuts])[: o.most_sentences]
+    made = [_words(g[: o.most_tokens], a, None if plain else analyze, plain) for a, g in groups]
+    return Paragraph(made, [a for a, _ in groups])
+
+
+def _grouped(parts: list[tuple[str, str]], ends: list[int]) -> list[tuple[int, list[tuple[str, str]]]]:
+    """Tokens up to each end, with their start."""
+    out, at, i = [], 0, 0
+    for end in ends:
+        first, start = i, at
+        while at < end:
+            at += len(parts[i][1])
+            i += 1
+        out.append((start, parts[first:i]))
+    return out
 
 
-def _words(text: str, at: int, analyze: Analyzer | None, plain: bool = False) -> list[Word]:
+def _words(parts: list[tuple[str, str]], at: int, analyze: Analyzer | None, plain: bool = False) -> list[Word]:
     out, opens = [], False
-    for kind, tok in python_tokens(text):
+    for kind, tok in parts:
         w = Word(kind, tok, at)
         if kind == "WORD":
             if analyze:
@@ -427,7 +448,8 @@ def end_punctuation(p: Paragraph, o: GrammarOptions) -> list[Error]:
 
 def paragraph_errors(text: str, analyze: Analyzer | None = None, options: GrammarOptions | None = None, table: dict[str, str] | None = None) -> list[Error]:
     """All findings (code, start, length, suggestions), by start and then check order."""
-    o, p, out = options or GrammarOptions(), read_paragraph(text, analyze), []
+    o, out = options or GrammarOptions(), []
+    p = read_paragraph(text, analyze, o)
     for s, start in zip(p.sentences, p.starts, strict=True):
         out += local_punctuation(s) + quotations(s) + repeated_words(s) + verbs(s, start, o) + verb_pairs(s) + last_conjunction(s) + autocorrections(s, table or {})
     out += capitals(p, o) + end_punctuation(p, o)
@@ -453,16 +475,14 @@ def grammar_errors(df: DataFrame, text_col: str = "text", keep: list[str] | None
     """One row per finding in the paragraphs (lines) of a text: kept columns,
     par_idx, start_pos (in the whole text), error_code, error_len, suggestions.
 
-    The reference's limits hold, and findings beyond them are lost: sentences
-    of a paragraph after the 200th (MOST_SENTENCES) aren't checked, and where
-    any sentence has over 500 tokens (MOST_TOKENS), neither are the tokens
-    after the 500th of each.
+    All sentences and tokens are checked; ``options`` may bound them (BOUNDED).
     """
     keep = [c for c in (keep if keep is not None else df.columns) if c != text_col]
     rows = paragraphs(df, text_col, keep).select(*keep, "par_idx", "start", F.explode(error_array(F.col("paragraph"), analyzer, options, table)).alias("__e"))
     return rows.select(*keep, "par_idx", (F.col("start") + F.col("__e.start_pos")).alias("start_pos"), "__e.error_code", "__e.error_len", "__e.suggestions")
 
 
-def descriptions(spark) -> DataFrame:
-    """Dimension (error_code, name, description)."""
-    return spark.createDataFrame(CODES, "error_code int, name string, description string")
+def descriptions(spark, language: str = "en"):
+    """Dimension (error_code, name, description), Finnish for ``fi`` and its variants, else English."""
+    at = 3 if language.startswith("fi") else 2
+    return spark.createDataFrame([(c[0], c[1], c[at]) for c in CODES], "error_code int, name string, description string")

@@ -37,19 +37,25 @@ POSSESSIVE = {"1y": "1s", "2y": "2s", "1m": "1p", "2m": "2p", "3": "3"}
 NEGATIVE = {"t": "true", "f": "false", "b": "both"}
 COMPARISON = {"c": "comparative", "s": "superlative"}
 PARTICIPLE = {"v": "present_active", "a": "present_passive", "u": "past_active", "t": "past_passive", "m": "agent", "e": "negation"}
-#: Attributes with a closed list of values.
+# fixed values: attributes with a closed list of values
 VALUES = {
-    "CLASS": list(dict.fromkeys(CLASS.values())),
-    "NUMBER": list(NUMBER.values()),
-    "PERSON": list(PERSON.values()),
-    "MOOD": list(MOOD.values()),
-    "TENSE": list(TENSE.values()),
-    "COMPARISON": ["positive", *COMPARISON.values()],
+    "CLASS": (
+        "nimisana laatusana nimisana_laatusana teonsana seikkasana asemosana suhdesana huudahdussana sidesana etuliite lukusana lyhenne kieltosana"
+        " etunimi sukunimi paikannimi nimi"
+    ).split(),
+    "NUMBER": ["singular", "plural"],
+    "PERSON": ["1", "2", "3", "4"],
+    "MOOD": "indicative conditional potential imperative A-infinitive E-infinitive MA-infinitive MINEN-infinitive MAINEN-infinitive".split(),
+    "TENSE": ["present_simple", "past_imperfective"],
+    "COMPARISON": ["positive", "comparative", "superlative"],
     "NEGATIVE": ["false", "true", "both"],
-    "PARTICIPLE": list(PARTICIPLE.values()),
-    "POSSESSIVE": list(POSSESSIVE.values()),
-    "SIJAMUOTO": list(SIJAMUOTO.values()),
-    "FOCUS": list(FOCUS.values()),
+    "PARTICIPLE": "present_active present_passive past_active past_passive agent negation".split(),
+    "POSSESSIVE": ["1s", "2s", "1p", "2p", "3"],
+    "SIJAMUOTO": (
+        "nimento omanto osanto olento tulento kohdanto sisaolento sisaeronto sisatulento ulkoolento ulkoeronto ulkotulento vajanto seuranto keinonto"
+        " kerrontosti"
+    ).split(),
+    "FOCUS": ["läs", "kAAn", "kin", "hAn", "pA", "s"],
     "KYSYMYSLIITE": ["true"],
 }
 

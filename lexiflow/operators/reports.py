@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import sentence_array, word_tokens
-from .words import AnalyzerMaker, hyphenated, no_analyzer, per_distinct, syllables
+from ..functions.python import arrow
+from .tokens import python_sentences, python_tokens
+from .words import AnalyzerMaker, analyses, hyphenated, per_distinct, syllables
+
+# fixed value: syllables of the base form from which a word is long
+LONG_BASE = 4
+
 
-#: Characters from which a word is long.
-LONG_WORD = 6
+def _profiles(texts: pa.Array) -> pa.Array:
+    out = []
+    for t in texts.to_pylist():
+        parts = python_tokens(t or "")
+        words = Counter(w for k, w in parts if k == "WORD")
+        out.append(
+            {
+                "sentences": sum(k != "POSSIBLE" for k, *_ in python_sentences(t or "", parts=parts)),
+                "punctuation": sum(k == "PUNCTUATION" for k, _ in parts),
+                "words": [{"word": w, "n": n} for w, n in words.items()],
+            }
+        )
+    word = pa.struct([("word", pa.string()), ("n", pa.int64())])
+    return pa.array(out, pa.struct([("sentences", pa.int64()), ("punctuation", pa.int64()), ("words", pa.list_(word))]))
+
+
+def text_profile(text: Column) -> Column:
+    """Sentences (of sure or final boundaries), punctuation tokens, and words with
+    their counts, from one pass over a text; a null text has none."""
+    return arrow(_profiles, "struct<sentences:bigint,punctuation:bigint,words:array<struct<word:string,n:bigint>>>")(text)
 
 
 def scores(sentences: Column, words: Column, syllable_count: Column, known: Column, long_known: Column) -> list[Column]:
@@ -25,32 +51,34 @@ def scores(sentences: Column, words: Column, syllable_count: Column, known: Colu
 
 def readability(df: DataFrame, keys: list[str], text_col: str = "text", analyzer: AnalyzerMaker | None = None) -> DataFrame:
     """One row per group of ``keys``: n_sentences, n_words, n_syllables,
-    n_letters, n_known, n_long and the three scores.
+    n_letters (characters of words), n_characters (with punctuation), n_known,
+    n_long (words whose base form has LONG_BASE syllables) and the three scores.
 
-    Sentences are those of sure or final boundaries. Words are hyphenated once
-    per distinct word. Without an analyzer every word counts as known.
+    Words are hyphenated once per distinct word. Without an analyzer every word
+    counts as known, and as its own base form.
     """
-    counted = df.select(*keys, F.size(F.filter(sentence_array(F.col(text_col)), lambda s: s["sentence_type"] != "POSSIBLE")).alias("s"))
-    per_sentence = counted.groupBy(*keys).agg(F.sum("s").alias("n_sentences"))
-    words = word_tokens(df, text_col, keys)
-    # words are counted before the join, so it moves distinct words only
-    words = words.groupBy(*keys, "word").agg(F.count("*").alias("n"))
-    words = per_distinct(words, "word", "__p", lambda w: hyphenated(w, analyzer or no_analyzer))
+    rows = df.select(*keys, text_profile(F.col(text_col)).alias("__t"))
+    texts = rows.groupBy(*keys).agg(F.sum("__t.sentences").alias("n_sentences"), F.sum("__t.punctuation").alias("__q"))
+    words = rows.select(*keys, F.explode("__t.words").alias("__w")).groupBy(*keys, F.col("__w.word").alias("word")).agg(F.sum("__w.n").alias("n"))
+    distinct = words.select("word").distinct()
     if analyzer is None:
-        words = words.withColumn("__known", F.lit(True))
+        known = per_distinct(distinct, "word", "__p", hyphenated).select("word", syllables(F.col("__p")).alias("__s"), syllables(F.col("__p")).alias("__b"))
     else:
-        from .words import analyses
-
-        words = per_distinct(words, "word", "__a", lambda w: analyses(w, analyzer)).withColumn("__known", F.size("__a") > 0)
-    syl = syllables(F.col("__p"))
-    agg = words.groupBy(*keys).agg(
+        has = F.filter(F.col("__a"), lambda a: F.element_at(a, "BASEFORM").isNotNull())
+        made = per_distinct(distinct, "word", "__p", lambda w: F.struct(hyphenated(w, analyzer).alias("p"), analyses(w, analyzer).alias("a")))
+        made = made.select("word", F.col("__p.p").alias("__p"), F.col("__p.a").alias("__a")).select("word", "__p", F.element_at(F.get(has, 0), "BASEFORM").alias("__base"))
+        made = per_distinct(made, "__base", "__r", lambda w: hyphenated(w, analyzer))
+        known = made.select("word", syllables(F.col("__p")).alias("__s"), syllables(F.col("__r")).alias("__b"))
+    agg = words.join(known, "word").groupBy(*keys).agg(
         F.sum("n").alias("n_words"),
-        F.sum(syl * F.col("n")).alias("n_syllables"),
+        F.sum(F.col("__s") * F.col("n")).alias("n_syllables"),
         F.sum(F.length("word") * F.col("n")).alias("n_letters"),
-        F.sum(F.when(F.col("__known"), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(F.col("__known") & (syl >= LONG_WORD), F.col("n")).otherwise(0)).alias("n_long"),
+        F.sum(F.when(F.col("__b").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
+        F.sum(F.when(F.col("__b") >= LONG_BASE, F.col("n")).otherwise(0)).alias("n_long"),
     )
-    out = per_sentence.join(agg, keys, "left").na.fill(0, ["n_words", "n_syllables", "n_letters", "n_known", "n_long"])
+    counts = ["n_words", "n_syllables", "n_letters", "n_known", "n_long"]
+    out = texts.join(agg, keys, "left").na.fill(0, counts)
+    out = out.select(*keys, "n_sentences", *counts[:3], (F.col("n_letters") + F.col("__q")).alias("n_characters"), *counts[3:])
     return out.select("*", *scores(F.col("n_sentences"), F.col("n_words"), F.col("n_syllables"), F.col("n_known"), F.col("n_long")))
 
 

@@ -166,13 +166,16 @@ def _dotted(word: str, known: frozenset[str]) -> bool:
     return all(c in ".-0123456789" for c in word) or f"{word}." in known
 
 
-def python_sentences(text: str, known: frozenset[str] = frozenset()) -> list[tuple[str, int, int]]:
-    """(type, start, length); the rest of a text is of type NONE."""
+def python_sentences(text: str, known: frozenset[str] = frozenset(), parts: list[tuple[str, str]] | None = None) -> list[tuple[str, int, int]]:
+    """(type, start, length); the rest of a text is of type NONE.
+
+    ``known``: abbreviations that keep their dot; ``parts``: the text's tokens, if at hand.
+    """
     out: list[tuple[str, int, int]] = []
     begin = at = 0
     ended = quoted = soft = False
     before = ("", "")
-    parts = python_tokens(text)
+    parts = python_tokens(text) if parts is None else parts
     for i, (kind, tok) in enumerate(parts):
         if ended and not quoted:
             if kind != "WHITESPACE":

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .functions import chars
 from .functions.python import prepare
 from .operators import features, grammar, inflect, lexicon, local_checks, morphology, reports, spelling, tokens, words
@@ -92,21 +93,55 @@ def case_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("lang", chars.detect_case(F.col("word")).alias("word_case")).agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"))
 
 
-@query(
-    f"""SELECT word, upper(word[1]) || lower(word[2:]) AS titled, upper(word) AS uppered, lower(word) AS lowered
-    FROM (SELECT DISTINCT word FROM ({_RUNS})) WHERE word NOT SIMILAR TO '.*[ßŉǰΐΰևẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ].*'"""
-)
+def _sql_replace(expr: str, pairs) -> str:
+    for a, b in pairs:
+        expr = f"replace({expr}, '{a.replace(chr(39), 2 * chr(39))}', '{b.replace(chr(39), 2 * chr(39))}')"
+    return expr
+
+
+#: Letters that several characters stand for in capitals, from Unicode's own table.
+_SPECIAL = [(chr(c), chr(c).upper()) for c in (0xDF, 0x149, 0x1F0, 0x390, 0x3B0, 0x587, *range(0x1E96, 0x1E9B), *range(0xFB00, 0xFB07))]
+
+
+def _sql_upper(expr: str) -> str:
+    return f"upper({_sql_replace(expr, _SPECIAL)})"
+
+
+@query(f"SELECT word, {_sql_upper('word[1]')}[1] || lower(word[2:]) AS titled, {_sql_upper('word')} AS uppered, lower(word) AS lowered FROM (SELECT DISTINCT word FROM ({_RUNS}))")
 def case_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words in other cases (without those of letters that two characters stand for in capitals)."""
-    w = lexicon.letter_runs(_documents(spark, sf_dir), keep=[]).distinct().where("not word rlike '[ßŉǰΐΰևẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ]'")
+    """Words in other cases; a letter of several capitals gives the first of them at the start."""
+    w = lexicon.letter_runs(_documents(spark, sf_dir), keep=[]).distinct()
     c = F.col("word")
     return w.select("word", *(chars.set_case(c, F.lit(k)).alias(n) for k, n in (("FIRST_UPPER", "titled"), ("ALL_UPPER", "uppered"), ("ALL_LOWER", "lowered"))))
 
 
-def _sql_replace(expr: str, pairs) -> str:
-    for a, b in pairs:
-        expr = f"replace({expr}, '{a.replace(chr(39), 2 * chr(39))}', '{b.replace(chr(39), 2 * chr(39))}')"
-    return expr
+@query(
+    f"""SELECT c, n, CASE WHEN regexp_matches(c, '[{chars.LETTER}]') THEN 'LETTER' WHEN regexp_matches(c, '[{chars.SPACE}]') THEN 'WHITESPACE'
+     WHEN regexp_matches(c, '[{_sql_class(chars.PUNCT)}]') THEN 'PUNCTUATION' WHEN regexp_matches(c, '[0-9]') THEN 'DIGIT' ELSE 'UNKNOWN' END AS kind,
+     {_sql_upper("c")}[1] AS simple_upper, lower(c)[1] AS simple_lower, {_sql_upper("c")}[1] <> c AS lower_case, lower(c)[1] <> c AS upper_case,
+     regexp_matches(c, '[aeiouyäöAEIOUYÄÖ]') AS vowel, regexp_matches(lower(c), '[bcdfghjklmnpqrstvwxzšž]') AS consonant, c IN ('"', '»', '”') AS quote_mark
+    FROM (SELECT unnest(string_split(text, '')) AS c, count(*) AS n FROM (SELECT text FROM documents UNION ALL SELECT html FROM pages) GROUP BY 1)"""
+)
+def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every character of texts and pages with its class, cases and predicates."""
+    both = _documents(spark, sf_dir).select("text").union(spread(table(spark, sf_dir, "pages").select("html")))
+    c = F.col("c")
+    n = both.select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n"))
+    return n.select(
+        "c", "n", chars.char_type(c).alias("kind"), chars.simple_upper(c).alias("simple_upper"), chars.simple_lower(c).alias("simple_lower"), chars.is_lower(c).alias("lower_case"),
+        chars.is_upper(c).alias("upper_case"), chars.is_vowel(c).alias("vowel"), chars.is_consonant(c).alias("consonant"), chars.is_quote(c).alias("quote_mark"),
+    )
+
+
+@query(
+    f"""SELECT lang, count(*) AS n, count(*) FILTER (lower(a) = lower(b) AND length(a) = length(b)) AS n_equal FROM
+    (SELECT lang, w[i] AS a, w[i + 1] AS b FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM (SELECT lang, regexp_extract_all(text, '{RUN}') AS w FROM documents))) GROUP BY lang"""
+)
+def equal_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring words that are equal but for their case."""
+    w = _documents(spark, sf_dir).select("lang", F.regexp_extract_all("text", F.lit(RUN), F.lit(0)).alias("w")).where("size(w) > 1")
+    pairs = w.select("lang", F.inline(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))))
+    return pairs.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(chars.equals_ignore_case(F.col("a"), F.col("b"))).alias("n_equal"))
 
 
 @query(
@@ -114,11 +149,12 @@ def _sql_replace(expr: str, pairs) -> str:
     + _sql_replace("text", [*chars.compositions(), *chars._SPELLED.items()])
     + ") AS digest, length("
     + _sql_replace("text", [*chars.compositions(), *chars._SPELLED.items()])
-    + ") AS n_chars FROM documents"
+    + ") AS n_chars, length(replace(text, chr(173), '')) AS n_hard FROM documents"
 )
 def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = chars.normalize(F.col("text"))
-    return _documents(spark, sf_dir).select("doc_id", F.md5(n.cast("binary")).alias("digest"), F.length(n).cast("bigint").alias("n_chars"))
+    hard = F.length(chars.strip_soft_hyphens(F.col("text"))).cast("bigint")
+    return _documents(spark, sf_dir).select("doc_id", F.md5(n.cast("binary")).alias("digest"), F.length(n).cast("bigint").alias("n_chars"), hard.alias("n_hard"))
 
 
 @query(_FREQ)
@@ -164,7 +200,10 @@ def nonwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- tokens, sentences, paragraphs -------------------------------------------------
 
 
-@query()
+_TOKENS = oracle.tokens("text")
+
+
+@query(f"SELECT lang, {oracle.kind('t')} AS token_type, count(*) AS n, sum(length(t))::BIGINT AS n_chars FROM (SELECT lang, unnest({_TOKENS}) AS t FROM documents) GROUP BY ALL")
 def token_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each type by language."""
     rows = tokens.tokens(_documents(spark, sf_dir), keep=["lang"], positions=False)
@@ -180,7 +219,10 @@ def token_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), covered.alias("covered"), (F.array_join("t", "") == F.col("text")).alias("same"))
 
 
-@query()
+@query(
+    f"""SELECT t AS word, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS t FROM (SELECT text FROM documents UNION ALL SELECT url FROM pages))
+    WHERE {oracle.kind("t")} = 'WORD' AND (contains(t, '@') OR regexp_matches(t, '^https?://')) GROUP BY 1"""
+)
 def url_email_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word tokens that are URLs or e-mail addresses, in texts and page addresses."""
     both = _documents(spark, sf_dir).select("text").union(table(spark, sf_dir, "pages").select("url"))
@@ -188,12 +230,27 @@ def url_email_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.where(F.col("word").contains("@") | F.col("word").rlike("^https?://")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH s AS ({oracle.sentences(f"SELECT lang, length(text) AS n, {_TOKENS} AS toks FROM documents WHERE length(text) > 0", "lang, n")})
+    SELECT lang, k AS sentence_type, sum(c)::BIGINT AS n, sum(l)::BIGINT AS n_chars FROM (SELECT lang, 'PROBABLE' AS k, a.np AS c, a.cp AS l FROM s UNION ALL SELECT lang, 'POSSIBLE', a.ns, a.cs FROM s
+     UNION ALL SELECT lang, 'NONE', 1, n - a.b FROM s) GROUP BY ALL HAVING sum(c) > 0"""
+)
 def sentence_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _documents(spark, sf_dir).select("lang", F.explode(tokens.sentence_array(F.col("text"))).alias("s"))
     return rows.groupBy("lang", "s.sentence_type").agg(F.count("*").alias("n"), F.sum("s.sentence_len").alias("n_chars"))
 
 
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, t, i, {oracle.kind("t")} AS k FROM (SELECT conv_id, turn, unnest({_TOKENS}) AS t, generate_subscripts({_TOKENS}, 1) AS i FROM conversations)),
+    p AS (SELECT *, sum(length(t)) OVER (PARTITION BY conv_id, turn ORDER BY i) AS z FROM t)
+    SELECT k || ' [' || (z - length(t))::INT || '..' || z::INT || '] "' || replace(replace(replace(t, chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '"' AS value, count(*) AS n FROM p GROUP BY 1"""
+)
+def token_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token lines of conversations, counted."""
+    rows = tokens.tokens(spread(table(spark, sf_dir, "conversations").select("text")))
+    return sinks.token_lines(rows).groupBy("value").agg(F.count("*").alias("n"))
+
+
 @query(
     """SELECT doc_id, (i - 1)::INTEGER AS par_idx, (sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(l) - 1)::INTEGER AS start,
     md5(regexp_replace(l, '\\r$', '')) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
@@ -207,14 +264,26 @@ def paragraph_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- grammar -------------------------------------------------------------------
 
 
-@query()
+_FINDINGS = oracle.findings(oracle.paragraph_tokens("documents", "lang"), "lang")
+
+
+@query(
+    f"""WITH p AS ({oracle.paragraph_tokens("documents", "lang")}), t AS (SELECT lang, par, t, i, {oracle.kind("t")} AS k FROM (SELECT lang, par, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM p)),
+    n AS (SELECT *, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2, lead(k, 1) OVER w AS k1, lead(k, 2) OVER w AS k2 FROM t WINDOW w AS (PARTITION BY par ORDER BY i))
+    SELECT lang, c AS error_code, count(*) AS n FROM (SELECT lang, 2 AS c FROM n WHERE k = 'WHITESPACE' AND length(t) > 1 UNION ALL SELECT lang, 3 FROM n WHERE k = 'WHITESPACE' AND length(t) = 1 AND t1 = ','
+     UNION ALL SELECT lang, 4 FROM n WHERE t = ',' AND t1 = ',' UNION ALL SELECT lang, 8 FROM n WHERE k = 'WORD' AND k1 = 'WHITESPACE' AND k2 = 'WORD' AND lower(t) = lower(t2)
+     AND NOT regexp_matches(t, '^[0-9]') AND t NOT IN ('ollut', 'olleet', 'sillä')) GROUP BY ALL"""
+)
 def local_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """White space, commas and repeated words, JVM only."""
     rows = local_checks.local_findings(_documents(spark, sf_dir), keep=["lang"])
     return rows.groupBy("lang", "error_code").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH d(error_code, name, description) AS (VALUES {", ".join(str(tuple(x.replace("'", "’") if isinstance(x, str) else x for x in c[:3])) for c in grammar.CODES)})
+    SELECT lang, error_code, n, name, description FROM (SELECT lang, error_code, count(*) AS n FROM ({_FINDINGS}) GROUP BY ALL) JOIN d USING (error_code)"""
+)
 def grammar_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All checks that need no lexicon, with their descriptions."""
     rows = grammar.grammar_errors(_documents(spark, sf_dir), keep=["lang"])
@@ -222,6 +291,13 @@ def grammar_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(F.broadcast(grammar.descriptions(spark)), "error_code", "left")  # 18 rows
 
 
+@query(f"WITH p AS (SELECT page_id AS doc_id, 'html' AS lang, html AS text FROM pages) SELECT error_code, count(*) AS n FROM ({oracle.findings(oracle.paragraph_tokens('p', 'lang'), 'lang')}) GROUP BY ALL")
+def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same checks on page sources, which have punctuation of all kinds."""
+    rows = grammar.grammar_errors(spread(table(spark, sf_dir, "pages").select("html")), "html", keep=[])
+    return rows.groupBy("error_code").agg(F.count("*").alias("n"))
+
+
 @query(
     f"""SELECT lang, count(*) AS n_paragraphs, count(*) FILTER (NOT regexp_matches(p, '[{_sql_class(chars.PUNCT)}]$')) AS n_unfinished
     FROM (SELECT lang, regexp_replace(unnest(string_split(text, chr(10))), '\\r$', '') AS p FROM documents) WHERE p <> '' GROUP BY lang"""
@@ -267,7 +343,7 @@ def spell_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(ok, "word").groupBy("lang").agg(F.sum("c").alias("n_words"), F.sum(F.when(F.col("ok"), F.col("c")).otherwise(0)).alias("n_known"))
 
 
-@query(f"WITH {_LEX} SELECT word, freq FROM freq ANTI JOIN lex ON word = surface")
+@query(f"SELECT word, freq FROM ({_FREQ}) WHERE freq < {LEAST}")
 def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     freq = _counted(spark, sf_dir)
     return lexicon.unknown_words(freq, lexicon.corpus_lexicon(freq, LEAST))
@@ -352,8 +428,9 @@ def suggest_vowel_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_LEX}, c AS (SELECT word, i, word[1 : i] AS a, word[i + 1 :] AS b FROM (SELECT word, unnest(range(2, length(word) - 1)) AS i FROM unk WHERE length(word) >= 4))
-    SELECT word, a || ' ' || b AS candidate, x.freq + y.freq AS freq FROM c JOIN lex x ON a = x.surface JOIN lex y ON b = y.surface"""
+    f"""WITH f AS MATERIALIZED ({_FREQ}), c AS (SELECT word, word[1 : i] AS a, word[i + 1 :] AS b FROM (SELECT word, unnest(range(2, length(word) - 1)) AS i FROM f WHERE freq < {LEAST} AND length(word) >= 4)),
+    one AS MATERIALIZED (SELECT c.word, a, b, f.freq AS fa FROM c JOIN f ON a = f.word WHERE f.freq >= {LEAST})
+    SELECT one.word, a || ' ' || b AS candidate, fa + f.freq AS freq FROM one JOIN f ON b = f.word WHERE f.freq >= {LEAST}"""
 )
 def suggest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unknown words that are two known words: two lexicon joins."""
@@ -391,16 +468,39 @@ def anagram_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- hyphenation and reports ---------------------------------------------------------
 
 
-@query()
+_INSERTED = "array_to_string(list_transform(range(1, length(word) + 1), lambda i: CASE pattern[i] WHEN '-' THEN '-' || word[i] WHEN '=' THEN CASE WHEN word[i] = '-' THEN '-' ELSE '-' END ELSE word[i] END), '')"
+_SYLLABLES = "length(replace(pattern, ' ', '')) + 1"
+_WORD_TOKENS = f"SELECT DISTINCT t AS word FROM (SELECT unnest({_TOKENS}) AS t FROM documents) WHERE {oracle.kind('t')} = 'WORD'"
+
+
+@query(f"SELECT word, pattern, {_INSERTED} AS hyphenated, ({_SYLLABLES})::INT AS n_syllables FROM ({oracle.hyphenated(f'SELECT DISTINCT word FROM ({_RUNS})')})")
 def hyphenated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct word with its breaks and syllables, by the rules for unknown words."""
     w = lexicon.letter_runs(_documents(spark, sf_dir), keep=[]).distinct().withColumn("pattern", words.hyphenated(F.col("word")))
     return w.select("word", "pattern", words.insert_hyphens(F.col("word"), F.col("pattern")).alias("hyphenated"), words.syllables(F.col("pattern")).alias("n_syllables"))
 
 
-@query()
+@query(
+    f"""WITH d AS MATERIALIZED (SELECT doc_id, {_TOKENS} AS toks FROM documents), p AS MATERIALIZED ({oracle.hyphenated(_WORD_TOKENS)}),
+    s AS (SELECT doc_id, CASE WHEN len(toks) > 0 THEN a.np + 1 ELSE 0 END AS s FROM ({oracle.sentences("SELECT doc_id, toks FROM d", "doc_id")})),
+    t AS (SELECT doc_id, t, {oracle.kind("t")} AS k FROM (SELECT doc_id, unnest(toks) AS t FROM d)),
+    w AS (SELECT doc_id, count(*) FILTER (k = 'WORD') AS w, coalesce(sum({_SYLLABLES}) FILTER (k = 'WORD'), 0)::BIGINT AS y, coalesce(sum(length(t)) FILTER (k = 'WORD'), 0)::BIGINT AS l,
+       count(*) FILTER (k = 'PUNCTUATION') AS q, count(*) FILTER (k = 'WORD' AND {_SYLLABLES} >= {reports.LONG_BASE}) AS g FROM t LEFT JOIN p ON t = word GROUP BY doc_id),
+    r AS (SELECT doc_id, s::BIGINT AS s, coalesce(w, 0) AS w, coalesce(y, 0) AS y, coalesce(l, 0) AS l, coalesce(q, 0) AS q, coalesce(g, 0) AS g FROM s LEFT JOIN w USING (doc_id))
+    SELECT doc_id, s AS n_sentences, w AS n_words, y AS n_syllables, l AS n_letters, l + q AS n_characters, w AS n_known, g AS n_long,
+     round(CASE WHEN s > 0 AND w > 0 THEN 206.823 - 1.015 * w / s - 84.6 * y / w ELSE 0 END, 6)::DOUBLE AS reading_ease, round(CASE WHEN s > 0 AND w > 0 THEN 0.39 * w / s + 11.8 * y / w - 15.59 ELSE 0 END, 6)::DOUBLE AS grade_level,
+     round(CASE WHEN s > 0 AND w > 0 THEN 2.7 + 30.0 * g / w ELSE 0 END, 6)::DOUBLE AS wiio_index FROM r"""
+)
 def readability_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.readability(_documents(spark, sf_dir), ["doc_id"])
+    out = reports.readability(_documents(spark, sf_dir), ["doc_id"])
+    return out.select(*(F.round(c, 6).alias(c) if c in ("reading_ease", "grade_level", "wiio_index") else c for c in out.columns))
+
+
+@query(f"SELECT ({_SYLLABLES})::INT AS n_syllables, count(*) AS freq FROM ({oracle.hyphenated(f'SELECT DISTINCT lower(word) AS word FROM ({_RUNS})')}) GROUP BY 1")
+def syllable_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct words by their syllables."""
+    w = lexicon.letter_runs(_documents(spark, sf_dir), keep=[]).select(F.lower("word").alias("baseform")).distinct()
+    return reports.base_form_syllables(w, [])
 
 
 _SCORES_SQL = f"""SELECT lang, source, count(*) AS n_documents, sum(n_words)::BIGINT AS n_words, sum(n_letters)::BIGINT AS n_letters, avg(n_words) AS words_per_document
@@ -559,7 +659,7 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.corpus_words(plain).groupBy("word").agg(F.count("*").alias("freq"))
 
 
-@query(f"WITH {_LEX} SELECT CASE WHEN surface IS NULL THEN 'W: ' ELSE 'C: ' END || word AS value FROM freq LEFT JOIN lex ON word = surface")
+@query(f"SELECT CASE WHEN freq < {LEAST} THEN 'W: ' ELSE 'C: ' END || word AS value FROM ({_FREQ})")
 def spell_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     freq = _counted(spark, sf_dir)
     return sinks.spell_lines(lexicon.spell(freq.select("word"), lexicon.corpus_lexicon(freq, LEAST)))

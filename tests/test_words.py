@@ -423,7 +423,7 @@ def test_line_tools(capsys, monkeypatch):
 
     from lexiflow import cli
 
-    for tool, expected in (("hyphenate", "ta-lo"), ("spell", "W: talo"), ("tokenize", 'WORD "talo"'), ("baseform", "unknown 1"), ("readability", "words 1"), ("grammar", "Terminating")):
+    for tool, expected in (("hyphenate", "ta-lo"), ("spell", "W: talo"), ("tokenize", 'WORD [0..4] "talo"'), ("baseform", "unknown 1"), ("readability", "words 1"), ("grammar", "Punctuation is missing")):
         monkeypatch.setattr("sys.stdin", io.StringIO("talo\n"))
         cli.main([tool])
         assert expected in capsys.readouterr().out
