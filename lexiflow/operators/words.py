@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.python import arrow
-from ..sources.vfst import Transducer, corrections
+from ..sources.vfst import Transducer, corrections, probability
 from .spelling import Analyzer, HyphenOptions, Speller, SpellOptions, hyphen_pattern, suggest, suggest_as_written, up
 
 AnalyzerMaker = Callable[[], Analyzer]
@@ -99,6 +99,17 @@ def corrected(word: Column, errors: bytes, lexicon: bytes, most: int = 5) -> Col
     return arrow(run, "array<string>")(word)
 
 
+def weighted_corrections(word: Column, errors: bytes, lexicon: bytes, most: int = 5) -> Column:
+    """As :func:`corrected`, with every correction's probability."""
+    row = pa.struct([("word", pa.string()), ("probability", pa.float64())])
+
+    def run(words: pa.Array) -> pa.Array:
+        made = [_transducer(errors), _transducer(lexicon)]
+        return pa.array([None if w is None else [{"word": x, "probability": probability(n)} for x, n in corrections(w, *made, most)] for w in words.to_pylist()], pa.list_(row))
+
+    return arrow(run, "array<struct<word:string,probability:double>>")(word)
+
+
 def accepted(word: Column, lexicon: bytes) -> Column:
     """Verdict by a lexicon that accepts words as written: 0 right, 1 with a capital, 3 not."""
 

@@ -8,7 +8,7 @@ them; tests and the driver hold the queries against them.
 from __future__ import annotations
 
 from .functions import chars
-from .operators import spelling
+from .operators import inflect, spelling
 
 _LD = chars.LETTER + chars.DIGIT
 #: Marks put into a text: after a hyphen that ends a word, and for a dot before white space or the end.
@@ -210,3 +210,40 @@ def paragraph_tokens(table: str, keys: str) -> str:
     """Rows (keys, par, toks) of the lines of a table's texts that aren't empty."""
     lines = f"SELECT {keys}, doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS l, regexp_replace(unnest(string_split(text, chr(10))), '\\r$', '') AS p FROM {table}"
     return f"SELECT {keys}, doc_id::VARCHAR || ' ' || l AS par, {tokens('p')} AS toks FROM ({lines}) WHERE p <> ''"
+
+
+def gradation(word: str, grade: str) -> tuple[str, str]:
+    """(strong, weak) of a stem expression in a class expression; null where no rule fits."""
+    c = inflect._C
+    closed = f"length({word}) >= 3 AND regexp_matches({word}, '(?i)[^{c}][{c}]$')"
+    strong, weak = [f"WHEN {grade} = '-' THEN {word}"], [f"WHEN {grade} = '-' THEN {word}"]
+    for a, b in inflect._CLOSED:
+        end = f"{a}([^{c}][{c}])$"
+        strong.append(f"WHEN {closed} AND regexp_matches({word}, '{end}') THEN regexp_replace({word}, '{end}', '{b}\\1')")
+        weak.append(f"WHEN {closed} AND regexp_matches({word}, '{end}') THEN {word}")
+    for rules, own, other in ((inflect._TO_WEAK, strong, weak), (inflect._TO_STRONG, weak, strong)):
+        for name, pairs in rules.items():
+            for a, b in pairs:
+                fits = f"WHEN {grade} = '{name}' AND length({word}) >= {inflect._SHORTEST[name]} AND regexp_matches({word}, '{a}$') THEN"
+                by = b.replace("\\$", "\0").replace("$", "\\").replace("\0", "$")
+                own.append(f"{fits} {word}")
+                other.append(f"{fits} regexp_replace({word}, '{a}$', '{by}')")
+    return f"CASE {' '.join(strong)} END", f"CASE {' '.join(weak)} END"
+
+
+def gradation_letter(word: str, grade: str) -> str:
+    c = inflect._C
+    out = [f"WHEN {grade} = '-' THEN ''"]
+    out += [f"WHEN regexp_matches({word}, '{end}[^{c}][{c}]$') THEN '{letter}'" for end, letter in inflect._LETTER_CLOSED]
+    out += [f"WHEN {grade} = '{name}' AND regexp_matches({word}, '{end}$') THEN '{letter}'" for name, rules in inflect._LETTERS.items() for end, letter in rules]
+    return f"CASE {' '.join(out)} WHEN {grade} = 'av6' THEN 'D' ELSE '' END"
+
+
+def vowel_type(w: str) -> str:
+    """BACK, FRONT or BOTH endings of a lower-case word expression without marks."""
+
+    def last(letters: str) -> str:
+        return f"CASE WHEN regexp_matches({w}, '[{letters}]') THEN length(regexp_extract({w}, '(?s)^(.*)[{letters}]', 1)) ELSE -1 END"
+
+    b, f, y = last("aoåu"), last("äö"), last("y")
+    return f"CASE WHEN {b} > -1 AND greatest({f}, {y}) = -1 THEN 'BACK' WHEN {b} = -1 THEN 'FRONT' WHEN {y} < greatest({b}, {f}) THEN CASE WHEN {b} > {f} THEN 'BACK' ELSE 'FRONT' END ELSE 'BOTH' END"

@@ -16,7 +16,7 @@ from . import oracle
 from .functions import chars
 from .functions.python import prepare
 from .operators import features, grammar, inflect, lexicon, local_checks, morphology, reports, spelling, tokens, words
-from .plans.storage import spread, written
+from .plans.storage import new_path, spread, written
 from .sources import sinks, texts, vfst, wordlists
 from .streaming import words as streams
 
@@ -330,6 +330,23 @@ def autocorrect_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(F.broadcast(p), F.col("g") == F.col("incorrect")).groupBy("doc_id", "incorrect", "correct").agg(F.count("*").alias("n"))
 
 
+_WRONG = {"the the": "the", "is is the": "is the", "of of": "of", "in to": "into"}
+_ONE_CAPITAL = "upper(g[1]) || g[2:]"
+
+
+@query(
+    f"""WITH p(g, r) AS (VALUES {", ".join(str(x) for x in _WRONG.items())}), e AS (SELECT g, r FROM p UNION ALL SELECT {_ONE_CAPITAL}, upper(r[1]) || r[2:] FROM p),
+    s AS ({oracle.sentences(oracle.paragraph_tokens("documents", "lang"), "lang, par")}),
+    t AS (SELECT lang, par, unnest(toks) AS t, generate_subscripts(toks, 1) AS i, unnest(list_transform(range(1, len(toks) + 1), lambda i: len(list_filter(a.cuts, lambda c: c <= i)))) AS snt FROM s),
+    n AS (SELECT lang, par, i, t, string_agg(t, '') OVER (PARTITION BY par, snt ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS two, string_agg(t, '') OVER (PARTITION BY par, snt ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS three FROM t)
+    SELECT lang, r AS correct, count(*) AS n FROM (SELECT lang, par, i, max_by(r, length(g)) AS r FROM n JOIN e ON g = two OR g = three WHERE {oracle.kind("t")} = 'WORD' GROUP BY ALL) GROUP BY ALL"""
+)
+def autocorrect_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrong phrases that the grammar check finds by its replacement table."""
+    rows = grammar.grammar_errors(_documents(spark, sf_dir), keep=["lang"], table=_WRONG).where("error_code = 1")
+    return rows.groupBy("lang", F.col("suggestions")[0].alias("correct")).agg(F.count("*").alias("n"))
+
+
 # ---- lexicon, spelling, suggestions -------------------------------------------------
 
 
@@ -349,6 +366,32 @@ def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.unknown_words(freq, lexicon.corpus_lexicon(freq, LEAST))
 
 
+#: Words with a dot at times; names are words that the documents mostly write with a capital.
+_PIECES = f"SELECT unnest(regexp_extract_all(text, '[{chars.LETTER}]+[.]?')) AS word FROM documents"
+_NAMES = f"SELECT lower(word) AS surface, CASE WHEN 2 * count(*) FILTER (lower(word[1]) <> word[1]) > count(*) THEN 'i' ELSE 'p' END AS first FROM ({_RUNS}) GROUP BY 1 HAVING count(*) >= {LEAST}"
+
+
+@query(
+    f"""WITH n AS ({_NAMES}), w AS (SELECT word, {_sql_replace("word", chars._SPELLED.items())} AS w, count(*) AS c FROM ({_PIECES}) GROUP BY 1),
+    c AS (SELECT *, {_CASE_SQL.replace("word", "w")} AS k FROM w), q AS (SELECT *, CASE WHEN k IN ('COMPLEX', 'NO_LETTERS') THEN lower(w[1]) || w[2:] ELSE lower(w) END AS q FROM c),
+    p AS (SELECT word, w, k, c, q, unnest(list_distinct([q, regexp_replace(q, '[.]$', '')])) AS x FROM q),
+    v AS (SELECT word, min(CASE WHEN lower(x[2:]) <> x[2:] THEN 2 WHEN first = 'i' AND {_sql_upper("x[1]")}[1] <> x[1] THEN 1 ELSE 0 END) AS v FROM p JOIN n ON lower(x) = surface GROUP BY 1),
+    r AS (SELECT k, c, coalesce(v, 3) AS v, lower(w[1])[1] <> w[1] AS capital FROM q LEFT JOIN v USING (word))
+    SELECT k AS word_case, CASE WHEN k IN ('COMPLEX', 'NO_LETTERS') THEN v = 0 OR (v = 1 AND capital) WHEN k = 'ALL_LOWER' THEN v = 0 WHEN k = 'FIRST_UPPER' THEN v < 2 ELSE v < 3 END AS ok,
+     count(*) AS n_distinct, sum(c)::BIGINT AS n FROM r GROUP BY ALL"""
+)
+def spell_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of words as written, with final dots, by a lexicon of names and common words."""
+    docs = _documents(spark, sf_dir)
+    runs = lexicon.letter_runs(docs, keep=[]).groupBy("word").agg(F.count("*").alias("c"))
+    names = runs.groupBy(F.lower("word").alias("surface")).agg(F.sum("c").alias("n"), F.sum(F.when(chars.is_upper(F.substring("word", 1, 1)), F.col("c")).otherwise(0)).alias("u")).where(F.col("n") >= LEAST)
+    first = F.when(2 * F.col("u") > F.col("n"), "=i").otherwise("=p")
+    lex = names.select("surface", F.concat(first, F.repeat(F.lit("p"), F.length("surface") - 1)).alias("structure"))
+    w = docs.select(F.explode(F.regexp_extract_all("text", F.lit(f"[{chars.LETTER}]+[.]?"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    got = lexicon.spell(w, lex, options=spelling.SpellOptions(ignore_dot=True))
+    return got.groupBy(chars.detect_case(chars.normalize(F.col("word"))).alias("word_case"), "ok").agg(F.count("*").alias("n_distinct"), F.sum("c").alias("n"))
+
+
 @query(
     f"""SELECT word, CASE WHEN list_max(list_transform(string_split(word, ''), lambda c, i: CASE WHEN lower(c) <> c AND i > 1 THEN 2 ELSE 0 END)) = 2 THEN 2
     WHEN lower(word[1]) <> word[1] THEN 0 ELSE 1 END AS verdict FROM (SELECT DISTINCT word FROM ({_RUNS}))"""
@@ -576,46 +619,169 @@ def weight_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- automaton, morphology, inflection -----------------------------------------------
 
-#: A small tagged lexicon in AT&T form: nouns of four stems, a verb and a name.
-ATT = """0\t1\t@0@\t[Ln]
-0\t30\t@0@\t[Lep]
-0\t40\t@0@\t[Lt]
-1\t2\tt\tt
-1\t6\tr\tr
-2\t3\th\th
-3\t4\te\te
-4\t5\t@0@\t[Sn]
-5\t20\t@0@\t[Ny]
-6\t7\te\te
-7\t5\t@0@\t[Sn]
-7\t8\ts\ts
-8\t5\t@0@\t[Sg]
-30\t31\ti\t[Xp]in[X]i
-31\t32\tn\tn
-32\t5\t@0@\t[Sn]
-40\t41\ti\t[Xp]is[X]i
-41\t42\ts\ts
-42\t43\t@0@\t[Tt]
-43\t44\t@0@\t[Ap]
-44\t20\t@0@\t[P3]
-20
-"""
+#: The words that part names are made of: a small lexicon of bounded size.
+_PART_WORDS = "anvil blue bolt cold gear gizmo hot large new old plate red ring rod small widget".split()
+#: Endings, the tags before them, and what they say.
+_ENDINGS = [
+    ("", "[Sn][Ny]", {"SIJAMUOTO": "nimento", "NUMBER": "singular"}),
+    ("s", "[Sg][Ny]", {"SIJAMUOTO": "omanto", "NUMBER": "singular"}),
+    ("ta", "[Sp][Nm]", {"SIJAMUOTO": "osanto", "NUMBER": "plural"}),
+    ("kin", "[Sn][Ny][Fkin]", {"SIJAMUOTO": "nimento", "NUMBER": "singular", "FOCUS": "kin"}),
+    ("ni", "[Sn][Ny][O1y]", {"SIJAMUOTO": "nimento", "NUMBER": "singular", "POSSESSIVE": "1s"}),
+    ("ko", "[Sn][Ny][Fko]", {"SIJAMUOTO": "nimento", "NUMBER": "singular", "KYSYMYSLIITE": "true"}),
+]
 
 
-@query()
+def _part_lexicon() -> str:
+    """The words, their endings and their compounds in AT&T form, and a verb and a place name."""
+    arcs, state = [], [100]
+
+    def path(at: int, chars: str, tag: str, end: int) -> None:
+        """Characters from a state to another one, a tag before them."""
+        steps = [("@0@", tag), *((c, c) for c in chars)]
+        for i, (x, y) in enumerate(steps):
+            to = end if i + 1 == len(steps) else (state.__setitem__(0, state[0] + 1) or state[0])
+            arcs.append((at, to, x, y))
+            at = to
+
+    for n, w in enumerate(_PART_WORDS):
+        path(0, w, f"[Ln][Xp]{w}[X][Xs]{n}[X]", 1)
+    for chars, tags, _ in _ENDINGS:
+        path(1, chars, tags, 2)
+    path(1, "", "[Sn][Ny][Bh][Bc]", 0)
+    path(1, "", "[Sn][Ny]", 3)
+    path(3, "-", "", 4)
+    path(4, "", "[Bh][Bc]", 0)
+    path(0, "is", "[Lt][Xp]is[X]", 5)
+    path(5, "", "[Tt][Ap][P3][Ef]", 2)
+    path(0, "in", "[Lep][Xp]In[X]", 6)
+    path(6, "", "[Sn][Ny]", 2)
+    return "".join(f"{a}\t{b}\t{x}\t{y or '@0@'}\n" for a, b, x, y in arcs) + "2\n"
+
+
+def _part_analyses(rows: DataFrame, col: str) -> DataFrame:
+    made = morphology.automaton_analyzer(vfst.compile_att(_part_lexicon()))
+    return rows.withColumn("a", F.explode(words.analyses(F.col(col), made)))
+
+
+def _attributes(*names: str):
+    return [F.element_at("a", k).alias(k.lower()) for k in names]
+
+
+_ENDING_ROWS = ", ".join("(" + ", ".join(f"'{x}'" if x is not None else "NULL" for x in (e, *(v.get(k) for k in ("SIJAMUOTO", "NUMBER", "FOCUS", "POSSESSIVE", "KYSYMYSLIITE")))) + ")" for e, _, v in _ENDINGS)
+_FORMS_SQL = f"""SELECT word || e AS form, word, e, sijamuoto, number, focus, possessive, kysymysliite
+ FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part), (VALUES {_ENDING_ROWS}) t(e, sijamuoto, number, focus, possessive, kysymysliite)"""
+_WORD_NUMBERS = ", ".join(f"('{w}', {i})" for i, w in enumerate(_PART_WORDS))
+
+
+def _part_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    return w.select("word", F.explode(F.array(*(F.lit(e) for e, *_ in _ENDINGS))).alias("e")).select("word", F.concat("word", "e").alias("form"))
+
+
+@query(
+    f"""SELECT form, word AS baseform, 'nimisana' AS class, sijamuoto, number, focus, possessive, kysymysliite, '=' || repeat('p', length(form)) AS structure,
+    '+' || word || '(' || word || ')' AS wordbases, '+' || word || '(w' || n || ')' AS wordids FROM ({_FORMS_SQL}) JOIN (VALUES {_WORD_NUMBERS}) w(w, n) ON word = w"""
+)
+def word_form_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inflected part-name words analysed by a compiled finite-state lexicon."""
+    names = ("BASEFORM", "CLASS", "SIJAMUOTO", "NUMBER", "FOCUS", "POSSESSIVE", "KYSYMYSLIITE", "STRUCTURE", "WORDBASES", "WORDIDS")
+    return _part_analyses(_part_forms(spark, sf_dir), "form").select("form", *_attributes(*names))
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS a, string_split(p_name, ' ')[1] AS b, h FROM part, (VALUES (''), ('-')) t(h) WHERE p_name LIKE '% %')
+    SELECT a || h || b AS form, a || h || b AS baseform, '=' || repeat('p', length(a)) || h || '=' || repeat('p', length(b)) AS structure,
+     '+' || a || '(' || a || ')' || CASE WHEN h = '-' THEN '+-' ELSE '' END || '+' || b || '(' || b || ')' AS wordbases
+    FROM c WHERE (h = '-') = (a[-1] = b[1] AND contains('{chars.VOWEL}', b[1]))"""
+)
+def compound_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compounds of part names (noun first), with and without a hyphen: one of the two is valid."""
+    w = F.split("p_name", " ")
+    c = table(spark, sf_dir, "part").where("p_name like '% %'").select(w[1].alias("x"), w[0].alias("y")).distinct()
+    c = c.select(F.explode(F.array(F.concat("x", "y"), F.concat("x", F.lit("-"), "y"))).alias("form"))
+    return _part_analyses(c, "form").select("form", *_attributes("BASEFORM", "STRUCTURE", "WORDBASES"))
+
+
+@query(
+    f"""SELECT word, count(*) AS n, 'nimisana' AS class, NULL::VARCHAR AS mood, '=' || repeat('p', length(word)) AS structure FROM ({_FREQ.replace("count(*) AS freq", "NULL AS f")}) JOIN (VALUES {_WORD_NUMBERS}) w(w, i) ON word = w GROUP BY ALL
+    UNION ALL SELECT word, count(*), CASE word WHEN 'is' THEN 'teonsana' ELSE 'paikannimi' END, CASE word WHEN 'is' THEN 'indicative' END, CASE word WHEN 'is' THEN '=pp' ELSE '=ip' END
+     FROM ({_FREQ.replace("count(*) AS freq", "NULL AS f")}) WHERE word IN ('is', 'in') GROUP BY ALL"""
+)
 def automaton_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Analyses of every distinct word by a finite-state lexicon."""
-    made = morphology.automaton_analyzer(vfst.compile_att(ATT))
+    """Analyses of every distinct word of the documents that the finite-state lexicon accepts as it is."""
     w = lexicon.letter_runs(_documents(spark, sf_dir), keep=[]).select(F.lower("word").alias("word")).distinct()
-    return w.select("word", F.explode(words.analyses(F.col("word"), made)).alias("a")).select("word", *(F.col("a")[k].alias(k.lower()) for k in ("BASEFORM", "CLASS", "SIJAMUOTO", "MOOD", "STRUCTURE")))
+    w = w.where(F.col("word").isin(*_PART_WORDS, "is", "in"))
+    return _part_analyses(w, "word").groupBy("word", *_attributes("CLASS", "MOOD", "STRUCTURE")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""SELECT form, 'Case' AS feature, CASE sijamuoto WHEN 'nimento' THEN 'Nom' WHEN 'omanto' THEN 'Gen' ELSE 'Par' END AS value FROM ({_FORMS_SQL})
+    UNION ALL SELECT form, 'Number', CASE number WHEN 'singular' THEN 'Sing' ELSE 'Plur' END FROM ({_FORMS_SQL})
+    UNION ALL SELECT form, 'Clitic', CASE WHEN focus = 'kin' THEN 'Kin' ELSE 'Ko' END FROM ({_FORMS_SQL}) WHERE focus IS NOT NULL OR kysymysliite IS NOT NULL
+    UNION ALL SELECT form, 'Person[psor]', '1' FROM ({_FORMS_SQL}) WHERE possessive IS NOT NULL UNION ALL SELECT form, 'Number[psor]', 'Sing' FROM ({_FORMS_SQL}) WHERE possessive IS NOT NULL"""
+)
 def treebank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = morphology.automaton_analyzer(vfst.compile_att(ATT))
-    w = lexicon.letter_runs(_documents(spark, sf_dir), keep=[]).select(F.lower("word").alias("form")).distinct()
-    rows = w.select("form", F.explode(words.analyses(F.col("form"), made)).alias("a"))
-    return rows.select("form", F.to_json(features.features(F.col("a"))).alias("feats"))
+    rows = _part_analyses(_part_forms(spark, sf_dir), "form")
+    return rows.select("form", F.explode(features.features(F.col("a"))).alias("feature", "value"))
+
+
+@query(
+    f"""SELECT form, word AS lemma, CASE WHEN sijamuoto = 'osanto' THEN 'Case' END AS differing FROM ({_FORMS_SQL}) WHERE sijamuoto = 'osanto'
+    UNION ALL SELECT form, 'x' || word, NULL FROM ({_FORMS_SQL}) WHERE sijamuoto = 'omanto'"""
+)
+def treebank_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A treebank written and read as CoNLL-U against the analyses: its genitives
+    have another lemma, and its partitives are called essives."""
+    forms = _part_forms(spark, sf_dir).distinct()
+    genitive, partitive = F.col("form") == F.concat("word", F.lit("s")), F.col("form") == F.concat("word", F.lit("ta"))
+    lemma = F.when(genitive, F.concat(F.lit("x"), F.col("word"))).otherwise(F.col("word"))
+    feats = F.when(genitive, "Case=Gen").when(partitive, "Case=Ess|Number=Plur").otherwise("_")
+    line = F.concat_ws("\t", F.lit("1"), "form", lemma, F.lit("NOUN"), F.lit("_"), feats, F.lit("0"), F.lit("root"), F.lit("_"), F.lit("_"))
+    path = new_path(spark, "treebank")
+    forms.select(F.concat(F.lit("# text\n"), line, F.lit("\n")).alias("value")).write.text(path)
+    made = morphology.automaton_analyzer(vfst.compile_att(_part_lexicon()))
+    bank = texts.conllu(spark, path)
+    analysed = bank.select("form").distinct().select("form", words.analyses(F.col("form"), made).alias("analyses"))
+    found = features.treebank_differences(bank, analysed)
+    return found.select("form", "lemma", F.get(F.map_keys("differing"), 0).alias("differing"))
+
+
+#: An error model of one substitution, its weight in it, and the lexicon's own weights.
+_SLIPS = [("o", "a", 0.5), ("i", "e", 0.25), ("m", "n", 0.125), ("b", "d", 0.2)]
+
+
+def _weighted_models() -> tuple[bytes, bytes]:
+    letters = sorted({c for w in _PART_WORDS for c in w})
+    errors = [f"{s}\t{s}\t{c}\t{c}\t1.0" for s in (0, 1) for c in letters] + [f"0\t1\t{a}\t{b}\t{p}" for a, b, p in _SLIPS]
+    arcs, state = [], 1
+    for w in _PART_WORDS:
+        at = 0
+        for c in w:
+            arcs.append(f"{at}\t{state}\t{c}\t{c}\t1.0")
+            at, state = state, state + 1
+        arcs.append(f"{at}\t9999\t@0@\t@0@\t{1 / (1 + len(w))}")
+    return vfst.compile_att("\n".join([*errors, "0\t1.0", "1\t1.0"]), True), vfst.compile_att("\n".join([*arcs, "9999\t1.0"]), True)
+
+
+@query(
+    f"""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part), s(a, b, p) AS (VALUES {", ".join(str(x) for x in _SLIPS)}),
+    l(word, p) AS (VALUES {", ".join(f"('{w}', 1.0 / {1 + len(w)})" for w in _PART_WORDS)}),
+    wrong AS (SELECT DISTINCT word[1 : i - 1] || a || word[i + 1 :] AS typed FROM (SELECT word, a, b, unnest(range(1, length(word) + 1)) AS i FROM w, s) WHERE word[i] = b),
+    c AS (SELECT typed, typed AS candidate, 0 AS cost FROM wrong UNION ALL SELECT typed, typed[1 : i - 1] || b || typed[i + 1 :], round(-100 * ln(p))
+      FROM (SELECT typed, a, b, p, unnest(range(1, length(typed) + 1)) AS i FROM wrong, s) WHERE typed[i] = a),
+    k AS (SELECT typed, candidate, min(cost + round(-100 * ln(l.p)))::INT AS cost FROM c JOIN l ON candidate = word GROUP BY ALL)
+    SELECT typed, list(candidate ORDER BY cost, candidate)[1] AS best, count(*) AS n, round(exp(-0.01 * min(cost)), 9) AS probability FROM k GROUP BY typed"""
+)
+def weighted_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part-name words with a letter mistyped, corrected by weighted automata."""
+    errors, known = _weighted_models()
+    w = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    slips = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b, _ in _SLIPS))
+    typed = w.select("word", F.explode(slips).alias("s"), F.length("word").alias("n")).select("word", "s", F.explode(F.sequence(F.lit(1), "n")).alias("i")).where("substring(word, i, 1) = s.b")
+    typed = typed.select(F.expr("concat(substring(word, 1, i - 1), s.a, substring(word, i + 1))").alias("typed")).distinct()
+    found = typed.withColumn("c", words.weighted_corrections(F.col("typed"), errors, known)).where(F.size("c") > 0)
+    return found.select("typed", F.col("c")[0]["word"].alias("best"), F.size("c").cast("bigint").alias("n"), F.round(F.col("c")[0]["probability"], 9).alias("probability"))
 
 
 _AFFIXES = """class: 1
@@ -632,13 +798,39 @@ end: class
 """
 
 
-@query()
+_STRONG, _WEAK = oracle.gradation("word", "'av1'")
+
+
+@query(
+    f"""WITH w AS (SELECT word, {oracle.vowel_type("word")} AS v, {_STRONG} AS strong, {_WEAK} AS weak FROM ({_FREQ}) WHERE regexp_matches(word, '[aeiouy]$')),
+    r(form, grade, strip, affix) AS (VALUES ('nominatiivi', 's', '', ''), ('genetiivi', 'w', '', 'n'), ('partitiivi', 's', '', 'a'), {", ".join(f"('illatiivi', 's', '{c}', '{c}{c}n')" for c in "aeiouy")}),
+    b AS (SELECT word, form, v, strip, affix, CASE grade WHEN 's' THEN strong ELSE weak END AS base FROM w, r WHERE strong IS NOT NULL),
+    m AS (SELECT word, form, CASE WHEN v IN ('BACK', 'BOTH') AND suffix(base, strip) THEN base[1 : length(base) - length(strip)] || affix END AS x,
+      CASE WHEN v IN ('FRONT', 'BOTH') AND suffix(base, translate(strip, 'aou', 'äöy')) THEN base[1 : length(base) - length(strip)] || translate(affix, 'aou', 'äöy') END AS y FROM b)
+    SELECT word, form, unnest(list_filter(CASE WHEN x = y THEN [x] ELSE [x, y] END, lambda z: z IS NOT NULL)) AS inflected FROM m"""
+)
 def inflected_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms of all words that end in a vowel, as an inflection class would have them."""
     w = _frequencies(spark, sf_dir).where(F.col("word").rlike("[aeiouy]$")).select("word", F.lit("valo-av1").alias("infclass"))
     return inflect.inflect(w, wordlists.inflection_rules(spark, _AFFIXES)).select("word", "form", "inflected")
 
 
+_GRADES = ("-", "av1", "av2", "av3", "av4", "av5", "av6")
+
+
+@query(
+    f"""WITH w AS (SELECT DISTINCT lower(word) AS w FROM ({_RUNS})), x AS (SELECT w, g FROM w, (VALUES {", ".join(f"('{g}')" for g in _GRADES)}) t(g)),
+    y AS (SELECT w, g, {oracle.gradation("w", "g")[0]} AS strong, {oracle.gradation("w", "g")[1]} AS weak, {oracle.gradation_letter("w", "g")} AS letter FROM x)
+    SELECT g AS grade, letter, right(strong, 3) AS strong_end, right(weak, 3) AS weak_end, count(*) AS n, count(*) FILTER (strong <> weak) AS n_changing FROM y WHERE strong IS NOT NULL GROUP BY ALL"""
+)
+def gradation_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strong and weak stems of all words in every gradation class, counted by their ends."""
+    w = lexicon.letter_runs(_documents(spark, sf_dir), keep=[]).select(F.lower("word").alias("w")).distinct()
+    x = w.select("w", F.explode(F.array(*map(F.lit, _GRADES))).alias("g")).withColumn("s", inflect.gradation(F.col("w"), F.col("g"))).where("s is not null")
+    ends = [F.expr(f"right(s.{c}, 3)").alias(f"{c}_end") for c in ("strong", "weak")]
+    return x.groupBy(F.col("g").alias("grade"), inflect.gradation_letter(F.col("w"), F.col("g")).alias("letter"), *ends).agg(F.count("*").alias("n"), F.count_if(F.col("s.strong") != F.col("s.weak")).alias("n_changing"))
+
+
 @query()
 def suggested_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked corrections by all generators and their budget, for every distinct word of the documents."""
@@ -652,7 +844,13 @@ def suggested_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sources, sinks, streams ---------------------------------------------------------
 
 
-@query()
+@query(
+    r"""WITH p AS (SELECT unnest(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', ' ', 'g'), '(?s)<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+')) AS w FROM pages),
+    c AS (SELECT regexp_replace(w, '^[^\p{L}\-]+', '') AS w FROM p WHERE regexp_matches(w, '\p{L}')),
+    e AS (SELECT regexp_extract(w, '^(.*[\p{L}\-])([^\p{L}\-]*)$', 1) AS x, regexp_extract(w, '^(.*[\p{L}\-])([^\p{L}\-]*)$', 2) AS s FROM c)
+    SELECT word, count(*) AS freq FROM (SELECT x || CASE WHEN s LIKE '.%' AND x[-1] <> '-' THEN CASE WHEN length(s) > 1 AND s[2] <> '.' THEN s[1:2] ELSE '.' END ELSE '' END AS word FROM e)
+    WHERE NOT regexp_matches(word, '[|\[\]/{}]') GROUP BY 1"""
+)
 def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word list of page texts without their markup."""
     plain = table(spark, sf_dir, "pages").select(F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style).*?</\\1>", " "), "<[^>]*>", " ").alias("text"))
@@ -665,6 +863,73 @@ def spell_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.spell_lines(lexicon.spell(freq.select("word"), lexicon.corpus_lexicon(freq, LEAST)))
 
 
+def _lines_of(df: DataFrame, spark: SparkSession, name: str) -> str:
+    """A column of lines as text files in the shared folder."""
+    path = new_path(spark, name)
+    df.write.text(path)
+    return path
+
+
+@query(f"SELECT word, count(*) AS n FROM (SELECT regexp_replace(unnest(string_split(replace(text, chr(13), chr(10)), chr(10))), '^[{chars.SPACE}]+|[{chars.SPACE}]+$', '', 'g') AS word FROM documents) WHERE word <> '' GROUP BY 1")
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as text files and read as trimmed lines."""
+    path = _lines_of(_documents(spark, sf_dir).select("text"), spark, "lines")
+    return texts.word_lines(spark, path).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""SELECT doc_id, (i - 1)::INT AS par_idx, md5(replace(p, chr(10), ' ')) AS digest FROM (SELECT doc_id, unnest(r) AS p, generate_subscripts(r, 1) AS i FROM
+    (SELECT doc_id, regexp_split_to_array(text, '\n[{chars.SPACE}]*\n') AS r FROM documents)) WHERE regexp_replace(replace(p, chr(10), ' '), '^[{chars.SPACE}]+|[{chars.SPACE}]+$', '', 'g') <> ''"""
+)
+def blank_line_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = texts.paragraphs_of_lines(_documents(spark, sf_dir).select("doc_id", "text"), blank_lines=True)
+    return rows.select("doc_id", "par_idx", F.md5(F.col("paragraph").cast("binary")).alias("digest"))
+
+
+def _xml_of(df: DataFrame, spark: SparkSession, name: str) -> str:
+    path = new_path(spark, name)
+    sinks.write_xml(df, path)
+    return path
+
+
+@query("SELECT 'p' || p_partkey AS id, string_split(p_name, ' ')[1] AS first_form, len(string_split(p_name, ' '))::INT AS n_forms, lower(p_type) AS class, 'valo-av' || (p_size % 6 + 1) AS infclass FROM part")
+def word_database_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as an XML word database and read back."""
+    forms = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.concat(F.lit("<form>"), w, F.lit("</form>"))), "")
+    line = F.concat(
+        F.lit("<word id=\"p"), F.col("p_partkey").cast("string"), F.lit("\"><forms>"), forms, F.lit("</forms><classes><wclass>"), F.lower("p_type"),
+        F.lit("</wclass></classes><inflection><infclass type=\"modern\">valo-av"), (F.col("p_size") % 6 + 1).cast("string"), F.lit("</infclass></inflection></word>"),
+    )
+    rows = wordlists.word_database(spark, _xml_of(table(spark, sf_dir, "part").select(line), spark, "words"))
+    return rows.select("id", F.col("forms")[0].alias("first_form"), F.size("forms").alias("n_forms"), F.col("classes")[0].alias("class"), F.col("inflections")[0]["_VALUE"].alias("infclass"))
+
+
+@query("SELECT p_partkey::VARCHAR || ' ' || p_name AS incorrect, p_name AS correct FROM part UNION ALL SELECT n_name, 'x' || n_name FROM nation")
+def replacement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replacement list written as XML and read back, its marks of word parts dropped."""
+    a = table(spark, sf_dir, "part").select(F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_name").alias("x"), F.replace("p_name", F.lit(" "), F.lit("= =")).alias("y"))
+    b = table(spark, sf_dir, "nation").select(F.col("n_name").alias("x"), F.concat(F.lit("=x"), "n_name").alias("y"))
+    both = a.union(b).select(F.concat(F.lit("<replacement><incorrect>"), "x", F.lit("</incorrect><correct>"), "y", F.lit("</correct></replacement>")))
+    return wordlists.replacements(spark, _xml_of(both, spark, "replacements"))
+
+
+@query("SELECT trim(regexp_replace(unnest(string_split(text, chr(10))), '[<>&\x00-\x1F]', ' ', 'g')) AS text, count(*) AS n FROM conversations GROUP BY 1 HAVING length(trim(any_value(text))) >= 0 AND text <> ''")
+def element_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of conversations as text elements of XML files, read back."""
+    t = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "\n")).alias("t")).select(F.trim(F.regexp_replace("t", "[<>&\\x00-\\x1F]", " ")).alias("t"))
+    path = _xml_of(t.where("t <> ''").select(F.concat(F.lit("<page><text>"), "t", F.lit("</text></page>"))), spark, "pages")
+    return texts.element_texts(spark, path).groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('nominatiivi', 's', '', '', '', true), ('genetiivi', 'w', '', 'n', '', true), ('partitiivi', 's', '', 'a', '', true)) t(form, grade, strip, affix, condition, characteristic)
+    UNION ALL SELECT 'illatiivi', 's', c, c || c || 'n', c, true FROM (SELECT unnest(string_split('aeiouy', '')) AS c)"""
+)
+def affix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An affix table's rules, letter classes written out."""
+    return wordlists.inflection_rules(spark, _AFFIXES).select("form", "grade", "strip", "affix", "condition", "characteristic")
+
+
 @query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.windowed_counts(table(spark, sf_dir, "events"), keys=["event_type"])

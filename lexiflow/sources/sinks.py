@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.python import prepare
+
 
 def spell_lines(df: DataFrame, word: str = "word", ok: str = "ok", suggestions: str | None = None) -> DataFrame:
     """``C: word`` or ``W: word``, the latter followed by ``S: suggestion`` lines."""
@@ -36,3 +39,16 @@ def grammar_lines(text: Column, start: Column, length: Column, suggestions: Colu
     """A finding with the piece of text it is about and what could stand there."""
     piece = F.substring(text, start + 1, length)
     return F.concat(F.lit("["), piece, F.lit("] "), description, F.when(F.size(suggestions) > 0, F.concat(F.lit(" -> "), F.array_join(suggestions, " / "))).otherwise(""))
+
+
+def write_xml(elements: DataFrame, path: str, root: str = "root") -> None:
+    """A string column of elements as XML files, one root element a file."""
+
+    def whole(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([f"<{root}>"])], names=["value"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([f"</{root}>"])], names=["value"])
+
+    prepare(elements.sparkSession)
+    elements.mapInArrow(whole, "value string").write.text(path)

@@ -329,6 +329,39 @@ def test_gradation_and_vowels(spark):
         assert r["x"] == r["v"], r
 
 
+def test_no_sentence_or_token_is_left_unchecked():
+    many = " ".join(f"Talo  {i}." for i in range(260))
+    found = [e for e in grammar.paragraph_errors(many) if e[0] == 2]
+    assert len(found) == 260
+    assert len([e for e in grammar.paragraph_errors(many, options=grammar.BOUNDED) if e[0] == 2]) == 200
+    long = " ".join(["talo"] * 600) + "."
+    assert len([e for e in grammar.paragraph_errors(long) if e[0] == 8]) == 599
+    assert len([e for e in grammar.paragraph_errors(long, options=grammar.BOUNDED) if e[0] == 8]) == 249
+
+
+def test_descriptions_and_closed_values(spark):
+    both = {lang: {r["error_code"]: r["description"] for r in grammar.descriptions(spark, lang).collect()} for lang in ("fi", "fi-x-standard", "en", "sv")}
+    assert both["fi"] == both["fi-x-standard"] and both["en"] == both["sv"]
+    assert both["fi"][2] == "Poista ylimääräinen väli." and both["en"][18] == "A comma may be missing, or there may be an extra verb."
+    assert len(both["fi"]) == 18 and all(both["fi"][c] != both["en"][c] for c in both["fi"])
+    assert morphology.VALUES["FOCUS"] == ["läs", "kAAn", "kin", "hAn", "pA", "s"]
+    assert len(morphology.VALUES["SIJAMUOTO"]) == 16 and morphology.VALUES["MOOD"][-1] == "MAINEN-infinitive"
+
+
+def test_readability_by_base_forms(spark):
+    known = {"taloissa": "talo", "autoista": "autotallirakennus", "on": "olla"}
+    made = morphology.table_analyzer({w: [{"BASEFORM": b, "STRUCTURE": "=" + "p" * len(w)}] for w, b in known.items()})
+    df = spark.createDataFrame([(1, "Taloissa on xyz, autoista. On!")], "id int, text string")
+    (r,) = reports.readability(df, ["id"], analyzer=made).collect()
+    assert (r["n_sentences"], r["n_words"], r["n_known"], r["n_long"]) == (2, 5, 4, 1)
+    assert r["n_characters"] == r["n_letters"] + 3 == 26
+    syllables = 3 + 1 + 1 + 3 + 1
+    assert r["n_syllables"] == syllables
+    assert r["wiio_index"] == pytest.approx(2.7 + 30 / 4)
+    assert r["reading_ease"] == pytest.approx(206.823 - 1.015 * 5 / 2 - 84.6 * syllables / 5)
+    assert r["grade_level"] == pytest.approx(0.39 * 5 / 2 + 11.8 * syllables / 5 - 15.59)
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(1, "Talo on iso. Auto on uusi."), (2, ""), (3, None)], "id int, text string")
     got = {r["id"]: r for r in reports.readability(df, ["id"]).collect()}
