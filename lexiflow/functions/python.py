@@ -1,8 +1,11 @@
-"""Arrow functions whose workers find this package where the driver has it."""
+"""Arrow functions whose workers can import this package."""
 
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -10,12 +13,19 @@ from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession | None = None) -> None:
+    """Workers of this machine take the driver's path, executors elsewhere an archive that they fetch."""
     spark = spark or SparkSession.active()
-    root = str(Path(__file__).resolve().parents[2])
+    root = Path(__file__).resolve().parents[2]
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in known:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    if str(root) not in known:
+        env["PYTHONPATH"] = os.pathsep.join([str(root), *filter(None, known)])
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            packed = Path(tempfile.mkdtemp(), "lexiflow.zip")
+            with zipfile.ZipFile(packed, "w") as out:
+                for f in sorted((root / "lexiflow").rglob("*.py")):
+                    out.write(f, f.relative_to(root))
+            spark.sparkContext.addPyFile(str(packed))
 
 
 def arrow(function, kind: str):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chars import SOFT_HYPHEN
 from ..functions.python import arrow
+from ..sources.vfst import Transducer
 from .spelling import Analysis, Analyzer, low, up
 from .tokens import paragraphs, python_sentences, python_tokens
 
@@ -282,30 +283,42 @@ def last_conjunction(s: list[Word]) -> list[Error]:
     return []
 
 
-def autocorrections(s: list[Word], table: dict[str, str]) -> list[Error]:
-    """Known wrong phrases that begin at a word and end at a token's end; a
-    phrase also matches with a capital first letter."""
+def autocorrections(s: list[Word], table: dict[str, str] | Transducer) -> list[Error]:
+    """Known wrong phrases that begin at a word and end at a token's end, the
+    longest first; a phrase also matches with a capital first letter. The
+    phrases are a table, or an automaton from wrong to right ones."""
     out: list[Error] = []
     if not table or not s:
         return out
-    most = max(map(len, table))
     text, base = "".join(w.text for w in s), s[0].pos
     ends = {w.end - base for w in s}
+    found = _from_automaton if isinstance(table, Transducer) else _from_table
     for w in s:
         if w.kind != "WORD":
             continue
         a = w.pos - base
-        for z in sorted((e for e in ends if a < e <= a + most), reverse=True):
-            piece = text[a:z]
-            right = table.get(piece)
-            if right is None and low(piece[0]) != piece[0] and (right := table.get(low(piece[0]) + piece[1:])):
-                right = up(right[0]) + right[1:]
-            if right:
-                out.append((1, w.pos, z - a, [right]))
-                break
+        z, right = found(table, text, a, ends)
+        if not z and low(text[a]) != text[a]:
+            z, right = found(table, text[:a] + low(text[a]) + text[a + 1 :], a, ends)
+            right = up(right[:1]) + right[1:]
+        if z:
+            out.append((1, w.pos, z - a, [right]))
     return out
 
 
+def _from_table(table: dict[str, str], text: str, a: int, ends: set[int]) -> tuple[int, str]:
+    most = max(map(len, table))
+    for z in sorted((e for e in ends if a < e <= a + most), reverse=True):
+        if right := table.get(text[a:z]):
+            return z, right
+    return 0, ""
+
+
+def _from_automaton(phrases: Transducer, text: str, a: int, ends: set[int]) -> tuple[int, str]:
+    hits = [(a + n, right) for right, _, n in phrases.lookup(text[a:], prefixes=True) if n and a + n in ends]
+    return max(hits, key=lambda x: x[0], default=(0, ""))
+
+
 # ---- capitals and parentheses of a paragraph -----------------------------------
 
 
@@ -446,7 +459,7 @@ def end_punctuation(p: Paragraph, o: GrammarOptions) -> list[Error]:
     return [(9, last.pos, len(last.text), [])]
 
 
-def paragraph_errors(text: str, analyze: Analyzer | None = None, options: GrammarOptions | None = None, table: dict[str, str] | None = None) -> list[Error]:
+def paragraph_errors(text: str, analyze: Analyzer | None = None, options: GrammarOptions | None = None, table: dict[str, str] | Transducer | None = None) -> list[Error]:
     """All findings (code, start, length, suggestions), by start and then check order."""
     o, out = options or GrammarOptions(), []
     p = read_paragraph(text, analyze, o)
@@ -459,19 +472,21 @@ def paragraph_errors(text: str, analyze: Analyzer | None = None, options: Gramma
 _KIND = "array<struct<error_code:int,start_pos:int,error_len:int,suggestions:array<string>>>"
 
 
-def error_array(text: Column, analyzer: Callable[[], Analyzer] | None = None, options: GrammarOptions | None = None, table: dict[str, str] | None = None) -> Column:
-    """Array of findings of a paragraph column; ``analyzer`` makes the worker's analyzer."""
+def error_array(text: Column, analyzer: Callable[[], Analyzer] | None = None, options: GrammarOptions | None = None, table: dict[str, str] | bytes | None = None) -> Column:
+    """Array of findings of a paragraph column; ``analyzer`` makes the worker's
+    analyzer, ``table`` holds wrong phrases (a dictionary, or a VFST file's bytes)."""
 
     def run(texts: pa.Array) -> pa.Array:
+        known = Transducer(table) if isinstance(table, bytes) else table
         kind = pa.list_(pa.struct([("error_code", pa.int32()), ("start_pos", pa.int32()), ("error_len", pa.int32()), ("suggestions", pa.list_(pa.string()))]))
         analyze = analyzer() if analyzer else None
         names = ("error_code", "start_pos", "error_len", "suggestions")
-        return pa.array([None if t is None else [dict(zip(names, e, strict=True)) for e in paragraph_errors(t, analyze, options, table)] for t in texts.to_pylist()], kind)
+        return pa.array([None if t is None else [dict(zip(names, e, strict=True)) for e in paragraph_errors(t, analyze, options, known)] for t in texts.to_pylist()], kind)
 
     return arrow(run, _KIND)(text)
 
 
-def grammar_errors(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, analyzer=None, options: GrammarOptions | None = None, table: dict[str, str] | None = None) -> DataFrame:
+def grammar_errors(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, analyzer=None, options: GrammarOptions | None = None, table: dict[str, str] | bytes | None = None) -> DataFrame:
     """One row per finding in the paragraphs (lines) of a text: kept columns,
     par_idx, start_pos (in the whole text), error_code, error_len, suggestions.
 

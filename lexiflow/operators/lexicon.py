@@ -179,6 +179,39 @@ def hyphen_insertions(words: DataFrame) -> DataFrame:
     return rows.where("instr(substring(word, i - 1, 4), '-') = 0").select("word", F.lit(4).alias("gen_idx"), F.col("i").alias("seq"), made.alias("candidate"))
 
 
+def _run(i: str) -> str:
+    """Length of the run of one character that ends at a place."""
+    return f"({i} - length(rtrim(substring(word, {i}, 1), substring(word, 1, {i}))))"
+
+
+def doublings(words: DataFrame) -> DataFrame:
+    """A character twice that isn't yet (the last one of a run of an odd number); a generator with the hyphens."""
+    rows = _positions(words.where(F.length("word") >= 4), F.lit(1), F.length("word"))
+    alone = F.expr(f"substring(word, i, 1) not in ('-', \"'\") and substring(word, i, 1) <> substring(word, i + 1, 1) and {_run('i')} % 2 = 1")
+    made = F.expr("concat(substring(word, 1, i), substring(word, i))")
+    return rows.where(alone).select("word", F.lit(4).alias("gen_idx"), (F.col("i") + 1000).alias("seq"), made.alias("candidate"))
+
+
+def double_replacements(words: DataFrame, pairs: list[tuple[str, str]], gen_idx: int = 6) -> DataFrame:
+    """Both of two equal neighbours for two others."""
+    known = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
+    rows = _positions(words.where(F.length("word") > 1), F.lit(1), F.length("word") - 1)
+    rows = rows.where(F.expr(f"substring(word, i, 1) = substring(word, i + 1, 1) and {_run('i')} % 2 = 1"))
+    rows = rows.select("word", "i", F.posexplode(known).alias("k", "p")).where("substring(word, i, 1) = p.a")
+    made = F.expr("concat(substring(word, 1, i - 1), p.b, p.b, substring(word, i + 2))")
+    return rows.select("word", F.lit(gen_idx).alias("gen_idx"), (F.col("i") * 1000 + F.col("k")).alias("seq"), made.alias("candidate"))
+
+
+def two_replacements(words: DataFrame, pairs: list[tuple[str, str]], gen_idx: int = 15) -> DataFrame:
+    """One character for another, and then one at the same place or behind it."""
+    first = replacements(words, pairs, gen_idx)
+    known = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
+    rows = first.select("word", "seq", "candidate", (F.col("seq") % 1000).alias("i"), F.posexplode(known).alias("k", "p")).where("instr(substring(candidate, i), p.a) > 0")
+    rows = rows.select("word", "seq", "candidate", "k", "p", F.explode(F.sequence(F.col("i"), F.length("candidate"))).alias("j")).where("substring(candidate, j, 1) = p.a")
+    made = F.expr("concat(substring(candidate, 1, j - 1), p.b, substring(candidate, j + 1))")
+    return rows.select("word", F.lit(gen_idx).alias("gen_idx"), (F.col("seq").cast("bigint") * 1000000 + F.col("k") * 1000 + F.col("j")).alias("seq"), made.alias("candidate"))
+
+
 def repeat_deletions(words: DataFrame) -> DataFrame:
     """One of two equal neighbouring pairs of characters less."""
     rows = _positions(words.where(F.length("word") >= 6), F.lit(1), F.length("word") - 3)

@@ -7,6 +7,8 @@ run of over LONG_RUN characters take the same pattern in Python instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -158,15 +160,19 @@ def python_tokens(text: str) -> list[tuple[str, str]]:
     return [("WORD" if t[0] in "-\u2010\u2011" and len(t) > 1 else _kind(t[0]), t) for t in _FIND[0](text)]
 
 
-def _dotted(word: str, known: frozenset[str]) -> bool:
+#: Abbreviations with their dots, or a test of a word with its dot (a speller).
+Known = frozenset[str] | Callable[[str], bool]
+
+
+def _dotted(word: str, known: Known) -> bool:
     """Whether a dot after this word is part of it: initials, ordinals and
-    dates, and abbreviations that a lexicon knows (given with their dot)."""
+    dates, and words that a lexicon knows with their dot."""
     if len(word) == 1 and word != word.lower()[:1]:
         return True
-    return all(c in ".-0123456789" for c in word) or f"{word}." in known
+    return all(c in ".-0123456789" for c in word) or (known(f"{word}.") if callable(known) else f"{word}." in known)
 
 
-def python_sentences(text: str, known: frozenset[str] = frozenset(), parts: list[tuple[str, str]] | None = None) -> list[tuple[str, int, int]]:
+def python_sentences(text: str, known: Known = frozenset(), parts: list[tuple[str, str]] | None = None) -> list[tuple[str, int, int]]:
     """(type, start, length); the rest of a text is of type NONE.
 
     ``known``: abbreviations that keep their dot; ``parts``: the text's tokens, if at hand.
@@ -212,24 +218,29 @@ def _mark(tok, before, parts, i, ended, soft, quoted, first, known) -> tuple[boo
 _SENTENCES = "array<struct<sentence_type:string,start:int,sentence_len:int>>"
 
 
-def sentence_array(text: Column, abbreviations: frozenset[str] = frozenset()) -> Column:
-    """Array of (sentence_type, start, sentence_len); lengths sum to the text's."""
+def sentence_array(text: Column, abbreviations: frozenset[str] = frozenset(), speller: Callable[[], Callable[[str], bool]] | None = None) -> Column:
+    """Array of (sentence_type, start, sentence_len); lengths sum to the text's.
+
+    ``speller`` makes a worker's test of words: a dot belongs to a word that is
+    right with it.
+    """
 
     def run(texts: pa.Array) -> pa.Array:
+        known = speller() if speller else abbreviations
         kind = pa.list_(pa.struct([("sentence_type", pa.string()), ("start", pa.int32()), ("sentence_len", pa.int32())]))
-        return pa.array([None if t is None else [{"sentence_type": k, "start": s, "sentence_len": n} for k, s, n in python_sentences(t, abbreviations)] for t in texts.to_pylist()], kind)
+        return pa.array([None if t is None else [{"sentence_type": k, "start": s, "sentence_len": n} for k, s, n in python_sentences(t, known)] for t in texts.to_pylist()], kind)
 
     return arrow(run, _SENTENCES)(text)
 
 
-def sentences(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, abbreviations: frozenset[str] = frozenset()) -> DataFrame:
+def sentences(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, abbreviations: frozenset[str] = frozenset(), speller=None) -> DataFrame:
     """One row per sentence: kept columns, sentence_idx, sentence_type, start, sentence_len, sentence.
 
     PROBABLE and POSSIBLE say how sure the boundary behind a sentence is; the
     text's rest is NONE. Trailing white space belongs to a sentence.
     """
     keep = [c for c in (keep if keep is not None else df.columns) if c != text_col]
-    rows = df.select(*keep, text_col, F.posexplode(sentence_array(F.col(text_col), abbreviations)).alias("sentence_idx", "__s"))
+    rows = df.select(*keep, text_col, F.posexplode(sentence_array(F.col(text_col), abbreviations, speller)).alias("sentence_idx", "__s"))
     return rows.select(*keep, "sentence_idx", "__s.*", F.substring(F.col(text_col), F.col("__s.start") + 1, F.col("__s.sentence_len")).alias("sentence"))
 
 

@@ -18,6 +18,7 @@ from ..operators import grammar, reports, spelling, tokens, words
 from ..operators.grammar import GrammarOptions
 from ..operators.morphology import VALUES
 from ..operators.spelling import HyphenOptions, Speller, SpellOptions
+from ..sources import dictionaries
 
 VERSION = "0.1"
 
@@ -81,6 +82,11 @@ class Linguist:
     def sentences(self, text: str) -> list[tuple[str, str]]:
         return [(k, text[a : a + n]) for k, a, n in tokens.python_sentences(text)]
 
+    @staticmethod
+    def languages(spark: SparkSession, paths: list[str], needs: str | None = None) -> list[str]:
+        """Languages of the dictionaries in a search path."""
+        return dictionaries.languages(spark, paths, needs)
+
     @staticmethod
     def attribute_values(name: str) -> list[str] | None:
         return VALUES.get(name)

@@ -2,35 +2,31 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
+import re
 import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: list[str] = []
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where it is set.
-
-    Only a session without that setting (tests, local mode) gets a local
-    folder, which goes when the process ends.
-    """
+    """``spark.checkpoint.dir``; only where driver and executors are one process
+    (tests, local mode) may it be unset: a folder on this machine is used then."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="lexiflow-"))
-            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-        found = Path(_OWN[0]).as_uri()
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = Path(tempfile.gettempdir(), "lexiflow-checkpoints").as_uri()
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 def delete(spark: SparkSession, path: str) -> None:

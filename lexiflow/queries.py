@@ -453,6 +453,33 @@ def suggest_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir, lambda u: lexicon.replacements(u, _PAIRS))
 
 
+_DOUBLE = """SELECT word, i + 1000 AS seq, word[1 : i] || word[i :] AS candidate FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM unk WHERE length(word) >= 4)
+ WHERE word[i] NOT IN ('-', '''') AND word[i] <> word[i + 1] AND (i - length(rtrim(word[1 : i], word[i]))) % 2 = 1"""
+_FEW = _PAIRS[:8]
+_FEW_ROWS = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(_FEW))
+_BOTH = f"""SELECT word, i * 1000 + k AS seq, word[1 : i - 1] || b || b || word[i + 2 :] AS candidate FROM (SELECT word, unnest(range(1, length(word))) AS i FROM unk WHERE length(word) > 1),
+ (VALUES {", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(_PAIRS))}) p(k, a, b) WHERE word[i] = a AND word[i + 1] = a AND (i - length(rtrim(word[1 : i], word[i]))) % 2 = 1"""
+_TWICE = f"""SELECT word, seq * 1000000 + k * 1000 + j AS seq, c[1 : j - 1] || b || c[j + 1 :] AS candidate FROM
+ (SELECT word, seq, c, q.k, q.a, q.b, unnest(range(i, length(c) + 1)) AS j FROM (SELECT word, k * 1000 + i AS seq, i, word[1 : i - 1] || b || word[i + 1 :] AS c
+   FROM (SELECT word, k, a, b, unnest(range(1, length(word) + 1)) AS i FROM unk, (VALUES {_FEW_ROWS}) p(k, a, b)) WHERE word[i] = a), (VALUES {_FEW_ROWS}) q(k, a, b)) WHERE c[j] = a"""
+
+
+@query(_candidate_sql(_DOUBLE))
+def suggest_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir, lexicon.doublings)
+
+
+@query(_candidate_sql(_BOTH))
+def suggest_double_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir, lambda u: lexicon.double_replacements(u, _PAIRS))
+
+
+@query(_candidate_sql(_TWICE))
+def suggest_two_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replacements by the first pairs of the table."""
+    return _candidates(spark, sf_dir, lambda u: lexicon.two_replacements(u, _FEW))
+
+
 @query(_candidate_sql(_REPEAT))
 def suggest_repeat_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir, lexicon.repeat_deletions)

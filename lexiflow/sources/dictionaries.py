@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +13,54 @@ from ..operators.morphology import automaton_analyzer
 from ..operators.spelling import Analyzer
 from .vfst import Transducer, read_transducer
 
+AnalyzerMaker = Callable[[], Analyzer]
 #: Format versions that can be read, newest first.
 VERSIONS = ("5",)
 LEXICON, AUTOCORRECTION, ERRORS = "mor.vfst", "autocorr.vfst", "err.vfst"
 
 
+#: The environment variable with a folder of dictionaries, and the folder below one.
+VARIABLE, FOLDER = "LEXIFLOW_DICTIONARIES", f"{VERSIONS[0]}/mor-standard"
+
+
+def search_path(explicit: str | None = None, environment: Mapping[str, str] | None = None, system: Sequence[str] = ("/etc", "/usr/lib", "/usr/share")) -> list[str]:
+    """Folders that may hold a dictionary, best first: the one given, that of the
+    environment variable and its standard folder, the home folder's, the
+    system's, and the current one."""
+    env = os.environ if environment is None else environment
+    out = [explicit] if explicit else []
+    if own := env.get(VARIABLE):
+        out += [own, f"{own}/{FOLDER}"]
+    if home := env.get("HOME"):
+        out.append(f"{home}/.lexiflow/{FOLDER}")
+    return [*out, *(f"{s}/lexiflow/{FOLDER}" for s in system), os.getcwd()]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def load(spark: SparkSession, paths: Sequence[str]) -> tuple[AnalyzerMaker, bytes | None]:
+    """The analyzer of the first folder with a lexicon, and its automaton of wrong
+    phrases (for the grammar check's ``table``) if it has one."""
+    for p in paths:
+        if _exists(spark, f"{p}/{LEXICON}"):
+            phrases = read_transducer(spark, f"{p}/{AUTOCORRECTION}") if _exists(spark, f"{p}/{AUTOCORRECTION}") else None
+            return automaton_analyzer(read_transducer(spark, f"{p}/{LEXICON}")), phrases
+    raise FileNotFoundError(f"no {LEXICON} in any of {', '.join(paths)}")
+
+
+def languages(spark: SparkSession, paths: list[str], needs: str | None = None) -> list[str]:
+    """Languages of the dictionaries found; with ``needs`` (spelling, hyphenation
+    or grammar) those whose backend can do it."""
+    rows = catalog(spark, paths).where("rank = 1")
+    if needs:
+        able = {"spelling": ["finnishVfst", "vfst"], "hyphenation": ["finnishVfst"], "grammar": ["finnishVfst"]}[needs]
+        rows = rows.where(F.col("backend").isin(*able))
+    return sorted(r["language"] for r in rows.select("language").distinct().collect())
+
+
 def catalog(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, language, script, variant, description, backend, properties) of the
     dictionaries found, in search order; of equal languages and variants the

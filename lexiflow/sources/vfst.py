@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import struct
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -44,6 +44,7 @@ class Transducer:
         self.normal = next((i for i, s in enumerate(self.symbols) if i and not s.startswith("@")), count)
         self.final = 0xFFFFFFFF if self.weighted else 0xFFFF
         self.flags = {i: s.strip("@").split(".") for i, s in enumerate(self.symbols[: self.normal]) if i}
+        self.taken = 0
 
     @cached_property
     def ordinal(self) -> dict[str, int]:
@@ -68,6 +69,19 @@ class Transducer:
             known[state] = out
         return known[state]
 
+    def _fitting(self, state: int, code: int | None) -> list[tuple[int, int, int, int]]:
+        """Arcs that a character may take: final cells, empty ones and flags, then its own, in file order."""
+        table = self.__dict__.setdefault("_table", {})
+        found = table.get(state)
+        if found is None:
+            free = [a for a in self._arcs(state) if a[0] == self.final or a[0] < self.normal]
+            own: dict[int, list] = {}
+            for a in self._arcs(state):
+                if a[0] != self.final and a[0] >= self.normal:
+                    own.setdefault(a[0], list(free)).append(a)
+            found = table[state] = (free, own)
+        return found[0] if code is None else found[1].get(code, found[0])
+
     def _pass(self, flag: list[str], values: dict[str, str]) -> dict[str, str] | None:
         """The flag values after a diacritic, or None where it blocks."""
         op, feature, value = flag[0], flag[1], flag[2] if len(flag) > 2 else None
@@ -82,20 +96,25 @@ class Transducer:
             return None if (now is not None if value is None else now == value) else values
         return None
 
-    def lookup(self, word: str, prefixes: bool = False) -> Iterator[tuple[str, int, int]]:
+    def lookup(self, word: str, prefixes: bool = False, viable: Callable[[str], bool] | None = None) -> Iterator[tuple[str, int, int]]:
         """(output, weight, characters read) of every path, depth first in file
-        order; with ``prefixes`` paths may end before the word does. The search
-        gives up after STEPS transitions without an output."""
+        order; with ``prefixes`` paths may end before the word does. Where
+        ``viable`` refuses an output so far, the search goes back behind it.
+        It gives up after STEPS transitions without an output; ``taken`` counts
+        the transitions of all searches.
+        """
         codes = [self.ordinal.get(c, -1) for c in word]
-        stack = [(0, 0, "", 0, {}, iter(self._arcs(0)))] if len(self.cells) else []
+        code = lambda at: codes[at] if at < len(codes) else None
+        stack = [(0, "", 0, {}, iter(self._fitting(0, code(0))))] if len(self.cells) else []
         steps = 0
         while stack:
-            state, at, out, weight, values, arcs = stack[-1]
+            at, out, weight, values, arcs = stack[-1]
             arc = next(arcs, None)
             if arc is None:
                 stack.pop()
                 continue
             steps += 1
+            self.taken += 1
             if steps > STEPS:
                 return
             sym, told, target, cost = arc
@@ -104,17 +123,20 @@ class Transducer:
                     steps = 0
                     yield out, weight + cost, at
                 continue
+            after, step = values, 1
             if sym < self.normal:
-                after = values if sym == 0 else self._pass(self.flags[sym], values)
+                after, step = values if sym == 0 else self._pass(self.flags[sym], values), 0
                 if after is None:
                     continue
-                step = 0
-            elif at < len(codes) and sym == codes[at]:
-                after, step = values, 1
-            else:
-                continue
             more = self.symbols[told] if told >= self.normal else ""
-            stack.append((target, at + step, out + more, weight + cost, after, iter(self._arcs(target))))
+            if more and viable is not None and not viable(out + more):
+                continue
+            stack.append((at + step, out + more, weight + cost, after, iter(self._fitting(target, code(at + step)))))
+
+    def first_not_reached(self, word: str) -> int:
+        """The place of the first character that no path reads; the word's length if all are read."""
+        reach = Reach(self)
+        return next((i for i in range(len(word)) if not reach.of(word[: i + 1])), len(word))
 
     def accepts(self, word: str) -> bool:
         return next(self.lookup(word), None) is not None
@@ -134,12 +156,57 @@ def probability(weight: int) -> float:
     return math.exp(-0.01 * weight)
 
 
+class Reach:
+    """States of a lexicon behind every prefix asked for, with their flags and least weights."""
+
+    def __init__(self, t: Transducer):
+        self.t = t
+        self.memory: dict[str, dict[tuple, int]] = {"": self._closed({(0, ()): 0})} if len(t.cells) else {"": {}}
+
+    def _closed(self, states: dict[tuple, int]) -> dict[tuple, int]:
+        """With what empty transitions and flags lead to."""
+        t, todo = self.t, list(states.items())
+        while todo:
+            (state, flags), weight = todo.pop()
+            for sym, _, target, cost in t._fitting(state, None):
+                if sym == t.final:
+                    continue
+                after = dict(flags) if sym == 0 else t._pass(t.flags[sym], dict(flags))
+                if after is None:
+                    continue
+                key = target, tuple(sorted(after.items()))
+                if weight + cost < states.get(key, 1 << 60):
+                    states[key] = weight + cost
+                    todo.append((key, weight + cost))
+        return states
+
+    def of(self, text: str) -> dict[tuple, int]:
+        found = self.memory.get(text)
+        if found is None:
+            code, then = self.t.ordinal.get(text[-1], -1), {}
+            for (state, flags), weight in self.of(text[:-1]).items():
+                for sym, _, target, cost in self.t._fitting(state, code):
+                    if sym == code:
+                        key = target, flags
+                        then[key] = min(then.get(key, 1 << 60), weight + cost)
+            found = self.memory[text] = self._closed(then)
+        return found
+
+    def weight(self, text: str) -> int | None:
+        """The least weight of the text as a word of the lexicon."""
+        ends = (w + cost for (state, _), w in self.of(text).items() for sym, _, _, cost in self.t._fitting(state, None) if sym == self.t.final)
+        return min(ends, default=None)
+
+
 def corrections(word: str, errors: Transducer, lexicon: Transducer, most: int = 5) -> list[tuple[str, int]]:
     """Words of the lexicon that the error model makes of ``word``, with the
-    smallest sum of both weights, ascending; the search is their composition."""
+    smallest sum of both weights, ascending. The two are composed: the error
+    model's search goes back as soon as no word of the lexicon begins like its
+    output."""
     best: dict[str, int] = {}
-    for text, cost, _ in errors.lookup(word):
-        own = min((w for _, w, _ in lexicon.lookup(text)), default=None)
+    reach = Reach(lexicon)
+    for text, cost, _ in errors.lookup(word, viable=lambda out: bool(reach.of(out))):
+        own = reach.weight(text)
         if own is not None and cost + own < best.get(text, 1 << 60):
             best[text] = cost + own
     return sorted(best.items(), key=lambda x: x[1])[:most]

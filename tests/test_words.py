@@ -138,7 +138,7 @@ def test_replacement_tables_are_pairs():
 
 
 def test_native_candidates_equal_the_generators(spark):
-    given = ["talo", "aitta", "ää", "x", "papapa", "koira-aita", "yötä"]
+    given = ["talo", "aitta", "ää", "x", "papapa", "koira-aita", "yötä", "aaab", "kaappii", "oo'oo"]
     w = spark.createDataFrame([(x,) for x in given], "word string")
     for native, plain in (
         (lexicon.deletions, spelling.deleted),
@@ -147,6 +147,9 @@ def test_native_candidates_equal_the_generators(spark):
         (lambda d: lexicon.replacements(d, spelling.table(spelling.REPLACEMENTS[2])), lambda x: spelling.replaced(x, spelling.table(spelling.REPLACEMENTS[2]))),
         (lexicon.vowel_changes, spelling.vowel_changes),
         (lexicon.repeat_deletions, spelling.repeats_deleted),
+        (lambda d: lexicon.hyphen_insertions(d).union(lexicon.doublings(d)), spelling.hyphen_inserted),
+        (lambda d: lexicon.double_replacements(d, spelling.table(spelling.REPLACEMENTS[1])), lambda x: spelling.doubles_replaced(x, spelling.table(spelling.REPLACEMENTS[1]))),
+        (lambda d: lexicon.two_replacements(d, spelling.table(spelling.REPLACEMENTS[1])), lambda x: spelling.replaced_twice(x, spelling.table(spelling.REPLACEMENTS[1]))),
     ):
         got: dict[str, list] = {}
         for r in native(w).orderBy("word", "seq").collect():
@@ -286,6 +289,49 @@ def test_error_model_composition():
     assert [w for w, _ in vfst.corrections("ket", errors, lexicon_)] == ["kot", "kat"]
 
 
+def test_composition_goes_back_where_no_word_begins_so():
+    """The same corrections as of all outputs, at a small part of the transitions."""
+    letters = "abcdefghij"
+    errors = vfst.compile_att("".join(f"0\t0\t{a}\t{b}\t{1 if a == b else 0.5}\n" for a in letters for b in letters) + "0\n", True)
+    words_ = ["abcdef", "abcdeg", "jihgfe"]
+    lines = "".join(f"{0 if j == 0 else 100 * i + j}\t{100 * i + j + 1}\t{c}\t{c}\t1\n" for i, w in enumerate(words_) for j, c in enumerate(w))
+    known = vfst.compile_att(lines + "".join(f"{100 * i + 6}\n" for i in range(3)), True)
+    one, lexicon_ = vfst.Transducer(errors), vfst.Transducer(known)
+    got = vfst.corrections("abcdef", one, lexicon_)
+    assert sorted(w for w, _ in got) == sorted(words_) and got[0] == ("abcdef", 0)
+    assert one.taken < 400  # all outputs are a million
+    assert lexicon_.first_not_reached("abcxef") == 3 and lexicon_.first_not_reached("abcdeg") == 6 and lexicon_.first_not_reached("x") == 0
+    fan = vfst.Transducer(vfst.compile_att("".join(f"0\t1\t{chr(97 + i)}\tx\n" for i in range(26)) + "1\n"))
+    assert fan.accepts("z") and fan.taken < 4  # arcs of other characters aren't walked
+
+
+def test_sentences_ask_a_speller(spark):
+    from lexiflow.operators import tokens
+
+    text = "Se on esim. talo. Toinen."
+    kinds = [k for k, *_ in tokens.python_sentences(text, lambda w: w == "esim.")]
+    assert kinds == ["POSSIBLE", "PROBABLE", "NONE"] and [k for k, *_ in tokens.python_sentences(text)] == ["PROBABLE", "PROBABLE", "NONE"]
+    df = spark.createDataFrame([(text,)], "text string")
+    got = tokens.sentences(df, speller=lambda: lambda w: w == "esim.").collect()
+    assert [r["sentence_type"] for r in got] == kinds
+
+
+def test_wrong_phrases_from_an_automaton(spark):
+    def phrase(i, a, b):
+        at = [0, *range(1000 * i, 1000 * i + len(a) - 1), 1]
+        shown = lambda c: {" ": "@_SPACE_@", "": "@0@"}.get(c, c)
+        return "".join(f"{x}\t{y}\t{shown(c)}\t{shown(b[j : j + 1])}\n" for j, (x, y, c) in enumerate(zip(at, at[1:], a, strict=False)))
+
+    data = vfst.compile_att(phrase(1, "joten kuten", "jotenkuten") + phrase(2, "joten kuten ei", "jotenkuten") + "1\n")
+    table = {"joten kuten": "jotenkuten", "joten kuten ei": "jotenkuten"}
+    for text in ("Se on joten kuten hyvä.", "Joten kuten ei.", "Se joten kutenkin on."):
+        want = grammar.paragraph_errors(text, table=table)
+        assert grammar.paragraph_errors(text, table=vfst.Transducer(data)) == want
+    df = spark.createDataFrame([("Se on joten kuten hyvä.",)], "text string")
+    (r,) = grammar.grammar_errors(df, table=data).where("error_code = 1").collect()
+    assert (r["start_pos"], r["error_len"], r["suggestions"]) == (6, 11, ["jotenkuten"])
+
+
 @pytest.mark.parametrize(
     ("output", "n", "expected"),
     [
@@ -436,6 +482,26 @@ def test_dictionary_catalog(spark, tmp_path):
     assert D.analyzer_of(spark, D.find(spark, paths, "fi"))()("kat")
 
 
+def test_dictionaries_of_the_search_path(spark, tmp_path):
+    from lexiflow.sources import dictionaries as D
+
+    home = tmp_path / "home"
+    (home / ".lexiflow" / D.FOLDER).mkdir(parents=True)
+    paths = D.search_path("given", {D.VARIABLE: "own", "HOME": str(home)})
+    assert paths[:4] == ["given", "own", f"own/{D.FOLDER}", f"{home}/.lexiflow/{D.FOLDER}"] and len(paths) == 8
+    with pytest.raises(FileNotFoundError):
+        D.load(spark, paths[2:4])
+    (home / ".lexiflow" / D.FOLDER / D.LEXICON).write_bytes(vfst.compile_att(ATT))
+    made, phrases = D.load(spark, paths[2:4])
+    assert made()("x") == [] and phrases is None
+    (home / ".lexiflow" / D.FOLDER / D.AUTOCORRECTION).write_bytes(vfst.compile_att(ATT))
+    assert D.load(spark, paths[2:4])[1]
+    d = tmp_path / "all" / "5" / "a"
+    d.mkdir(parents=True)
+    (d / "index.txt").write_text("Language-Code: fi\nMorphology-Backend: null\n")
+    assert D.languages(spark, [str(tmp_path / "all")]) == ["fi"] and D.languages(spark, [str(tmp_path / "all")], "spelling") == []
+
+
 def test_weighted_words_and_dimensions(spark):
     t = vfst.compile_att(ATT, True)
     df = spark.createDataFrame([("kat",), ("ket",), (None,)], "w string")
