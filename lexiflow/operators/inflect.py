@@ -140,11 +140,12 @@ def inflect(words: DataFrame, rules: DataFrame) -> DataFrame:
     """
     w = words.select("word", "infclass", F.regexp_extract("infclass", "^([^-]*)", 1).alias("__class"), F.expr("coalesce(nullif(regexp_extract(infclass, '-(.*)$', 1), ''), '-')").alias("__av"))
     kind = F.when(F.col("__av") == "-", "-").when(F.col("__av").isin("av1", "av3", "av5"), "sw").when(F.col("__av").isin("av2", "av4", "av6"), "ws")
-    w = w.withColumn("__kind", kind).withColumn("__v", vowel_type(F.col("word")))
+    # both once per word, before the rules multiply the rows
+    w = w.withColumn("__kind", kind).withColumn("__v", vowel_type(F.col("word"))).withColumn("__w", gradation(F.col("word"), F.col("__av")))
     fits = (w["__class"] == rules["rule_class"]) & ((w["__kind"] == "-") | (w["__kind"] == rules["gradation"]))
     j = w.join(rules, fits).where(F.rlike(F.col("word"), F.col("pattern")))
     stem = F.when(F.col("rmsfx") == "", F.col("word")).otherwise(F.expr("substring(word, 1, length(word) - length(rmsfx))"))
-    j = j.withColumn("__g", gradation(stem, F.col("__av"))).where("__g is not null")
+    j = j.withColumn("__g", F.when(F.col("rmsfx") == "", F.col("__w")).otherwise(gradation(stem, F.col("__av")))).where("__g is not null")
     base = F.when(F.col("grade") == "s", F.col("__g.strong")).otherwise(F.col("__g.weak"))
     j = j.withColumn("__b", base).withColumn("__s", F.expr("replace(replace(substring(__b, 1, length(__b) - length(strip)), '=', ''), '|', '')"))
     back = F.when(F.col("__v").isin("BACK", "BOTH") & F.expr("endswith(__b, condition)"), conditional_apostrophe(F.concat("__s", "affix")))

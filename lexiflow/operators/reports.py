@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.python import arrow
+from ..plans.storage import written
 from .tokens import python_sentences, python_tokens
 from .words import AnalyzerMaker, analyses, hyphenated, per_distinct, syllables
 
@@ -57,10 +58,11 @@ def readability(df: DataFrame, keys: list[str], text_col: str = "text", analyzer
     Words are hyphenated once per distinct word. Without an analyzer every word
     counts as known, and as its own base form.
     """
-    rows = df.select(*keys, text_profile(F.col(text_col)).alias("__t"))
+    # one pass over the texts; its rows are used for sentences, for words and for distinct words
+    rows, _ = written(df.select(*keys, text_profile(F.col(text_col)).alias("__t")), "profiles")
     texts = rows.groupBy(*keys).agg(F.sum("__t.sentences").alias("n_sentences"), F.sum("__t.punctuation").alias("__q"))
     words = rows.select(*keys, F.explode("__t.words").alias("__w")).groupBy(*keys, F.col("__w.word").alias("word")).agg(F.sum("__w.n").alias("n"))
-    distinct = words.select("word").distinct()
+    distinct = rows.select(F.explode("__t.words.word").alias("word")).distinct()
     if analyzer is None:
         known = per_distinct(distinct, "word", "__p", hyphenated).select("word", syllables(F.col("__p")).alias("__s"), syllables(F.col("__p")).alias("__b"))
     else:

@@ -130,6 +130,27 @@ def tokens(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     return cut.select(*keep, "token_idx", token_type(text, code).alias("token_type"), text.alias("text"), F.length(text).alias("token_len"), *extra)
 
 
+def type_counts(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Rows (kept columns, token_type, n, n_chars): a text's tokens of each type.
+
+    Tokens are counted inside their array: at most four rows a text leave it, not one a token.
+    """
+    keep = [c for c in (keep if keep is not None else df.columns) if c != text_col]
+
+    def typed(t: Column) -> Column:
+        code = F.ascii(t)
+        plain = F.when(code.between(0x61, 0x7A) | code.between(0x41, 0x5A), "WORD").when(code == 0x20, "WHITESPACE")
+        return F.struct(plain.otherwise(token_type(t, code)).alias("k"), F.length(t).alias("n"))
+
+    def counted(kind: str) -> Column:
+        own = F.filter("__z", lambda x: x["k"] == kind)
+        return F.struct(F.lit(kind).alias("token_type"), F.size(own).cast("bigint").alias("n"), F.aggregate(own, F.lit(0).cast("bigint"), lambda s, x: s + x["n"]).alias("n_chars"))
+
+    cut = df.select(*keep, F.transform(split_tokens(F.col(text_col)), typed).alias("__z"))
+    kinds = F.array(*map(counted, ("WORD", "WHITESPACE", "PUNCTUATION", "UNKNOWN")))
+    return cut.select(*keep, F.inline(kinds)).where("n > 0")
+
+
 def word_tokens(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Rows (kept columns, word) of the word tokens."""
     keep = [c for c in (keep if keep is not None else df.columns) if c != text_col]

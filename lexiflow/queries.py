@@ -206,8 +206,8 @@ _TOKENS = oracle.tokens("text")
 @query(f"SELECT lang, {oracle.kind('t')} AS token_type, count(*) AS n, sum(length(t))::BIGINT AS n_chars FROM (SELECT lang, unnest({_TOKENS}) AS t FROM documents) GROUP BY ALL")
 def token_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each type by language."""
-    rows = tokens.tokens(_documents(spark, sf_dir), keep=["lang"], positions=False)
-    return rows.groupBy("lang", "token_type").agg(F.count("*").alias("n"), F.sum("token_len").alias("n_chars"))
+    rows = tokens.type_counts(_documents(spark, sf_dir), keep=["lang"])
+    return rows.groupBy("lang", "token_type").agg(F.sum("n").alias("n"), F.sum("n_chars").alias("n_chars"))
 
 
 @query("SELECT doc_id, length(text)::BIGINT AS n_chars, length(text)::BIGINT AS covered, true AS same FROM documents WHERE length(text) > 0")
@@ -353,10 +353,10 @@ def autocorrect_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_LEX} SELECT lang, count(*) AS n_words, count(*) FILTER (surface IS NOT NULL) AS n_known FROM ({_RUNS}) r LEFT JOIN lex ON lower(r.word) = surface GROUP BY lang")
 def spell_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that are correct by a lexicon of the corpus's repeated words."""
-    docs = _documents(spark, sf_dir)
-    lex = lexicon.corpus_lexicon(_counted(spark, sf_dir), LEAST)
-    counted = lexicon.letter_runs(docs, keep=["lang"]).groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("c"))
-    ok = lexicon.spell(counted.select("word").distinct(), lex)
+    # texts are read once: frequencies follow from the counts by language
+    counted, _ = written(lexicon.letter_runs(_documents(spark, sf_dir), keep=["lang"]).groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("c")), "words")
+    freq, _ = written(counted.groupBy("word").agg(F.sum("c").alias("freq")), "frequencies")
+    ok = lexicon.spell(freq.select("word"), lexicon.corpus_lexicon(freq, LEAST))
     return counted.join(ok, "word").groupBy("lang").agg(F.sum("c").alias("n_words"), F.sum(F.when(F.col("ok"), F.col("c")).otherwise(0)).alias("n_known"))
 
 
