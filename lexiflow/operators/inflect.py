@@ -116,7 +116,7 @@ def to_front(text: Column) -> Column:
 
 def conditional_apostrophe(word: Column) -> Column:
     """A ``$`` between equal vowels becomes an apostrophe (a and ä only if doubled before), else nothing."""
-    return F.when(word.rlike(r".([iouyö])\$\1") | word.rlike(r"([iouyö])\$\1") | word.rlike(r"([aä])\1\$\1"), F.replace(word, F.lit("$"), F.lit("'"))).otherwise(
+    return F.when(~word.contains("$"), word).when(word.rlike(r".([iouyö])\$\1") | word.rlike(r"([iouyö])\$\1") | word.rlike(r"([aä])\1\$\1"), F.replace(word, F.lit("$"), F.lit("'"))).otherwise(
         F.replace(word, F.lit("$"), F.lit(""))
     )
 
