@@ -4,8 +4,14 @@ Every batch of documents is a shard. Its words become numbers of the benchmark
 vocabulary (0: not in it, which ends every match), and the suffixes that can
 start a match are sorted: a suffix array, sparse because a suffix whose run of
 benchmark words is too short matches nothing. Every benchmark suffix is binary
-searched in it; equal neighbours are its verbatim occurrences, extended word by
-word to the longest match.
+searched in it; equal neighbours are its verbatim occurrences. How far these go
+on is read off their neighbours in the benchmark's own suffix array.
+
+The benchmark is read once, in blocks of bounded size, and every block is
+broadcast. A worker holds one block at a time and searches it in the shard at
+hand, so documents are read once, whatever the benchmark's size. A block's
+arrays take 9 bytes a word in memory and its vocabulary about 150 a distinct
+word: with BLOCK 4 MB, 20 MB for prose and 120 MB if no word is repeated.
 """
 
 from __future__ import annotations
@@ -13,19 +19,21 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import WORD_BYTES, stable, unused, written
+from .shared import WORD_BYTES, unused
 
 WINDOW = 10
-#: Suffixes are ordered by this many words; matches are extended past it.
+#: Suffixes of documents are ordered by this many words.
 DEPTH = 32
-#: UTF-8 bytes of benchmark text that one pass broadcasts at most.
-BLOCK = 32 << 20
+#: UTF-8 bytes of benchmark text in a block.
+BLOCK = 4 << 20
 #: Bytes of document text in a shard.
 SHARD = 8 << 20
 
@@ -34,34 +42,91 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(WORD_BYTES).split()
 
 
+def suffix_order(ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of an array in the order of what follows them, by doubled ranks;
+    ``most`` words decide at most (0 ends an item and comes first)."""
+    rank, k = ids.astype(np.int64), 1
+    order = np.argsort(rank, kind="stable")
+    while k < most:
+        behind = np.zeros(len(ids), np.int64)
+        behind[: len(ids) - k] = rank[k:] + 1
+        order = np.lexsort((behind, rank))
+        new = np.concatenate(([True], (rank[order[1:]] != rank[order[:-1]]) | (behind[order[1:]] != behind[order[:-1]])))
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.cumsum(new)
+        if new.all():
+            break
+        k *= 2
+    return order
+
+
 class Suffixes:
-    """The benchmark side: vocabulary, and every suffix with its item."""
+    """A block of the benchmark: vocabulary, and its suffixes in order.
+
+    ``ids`` are the items' words, a 0 behind each item; ``order`` the starts of
+    windows, those with equal windows together: ``heads`` are where a new
+    window begins there, ``sizes`` the windows' words.
+    """
 
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
-        self.window = window
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        self.items: list[tuple[int | None, np.ndarray]] = []
-        need: dict[int, int] = {}
-        #: what to look for: window -> suffixes (item, start) that begin with it
-        self.starts: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.names: list = []
+        rows = []
         for item, text in items:
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)], np.uint32)
-            if not len(ids):
-                continue
-            size = min(window, len(ids))
-            at = len(self.items)
-            self.items.append((item, ids))
-            raw = ids.astype(">u4").tobytes()
-            for i in range(len(ids) - size + 1):
-                self.starts[raw[4 * i : 4 * (i + size)]].append((at, i))
-                need[int(ids[i])] = min(need.get(int(ids[i]), size), size)
+            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
+            if ids:
+                rows.append(np.array([*ids, 0], np.uint32))
+                self.names.append(item)
+        self.ids = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
+        lengths = np.array([len(r) - 1 for r in rows], np.int64)
+        self.first = (np.cumsum(lengths + 1) - lengths - 1).astype(np.int64)
+        self.end = self.first + lengths
+        owner = np.repeat(np.arange(len(rows)), lengths + 1)
+        order = suffix_order(self.ids, int(lengths.max(initial=0)) + 1)
+        size = np.minimum(window, lengths)[owner] if rows else np.zeros(0, np.int64)
+        order = order[order + size[order] <= self.end[owner[order]]]
+        self.order, size, owner = order.astype(np.uint32), size[order], owner[order]
+        # a window is new where its size or any of its words differs from the one before
+        new = np.ones(len(order), bool)
+        if len(order):
+            new[1:] = size[1:] != size[:-1]
+            for j in range(window):
+                a, b = order[1:], order[:-1]
+                inside = (j < size[1:]) & ~new[1:]
+                new[1:][inside] |= self.ids[a[inside] + j] != self.ids[b[inside] + j]
+        self.heads = np.append(np.flatnonzero(new), len(order)).astype(np.uint32)
+        self.sizes = size[self.heads[:-1]].astype(np.uint8 if window < 256 else np.int64)
         self.need = np.full(len(self.vocab) + 1, 1 << 30, np.int64)
-        for w, n in need.items():
-            self.need[w] = n
+        np.minimum.at(self.need, self.ids[order], size)
         self.depth = max(window, DEPTH)
 
+    def owners(self, lo: int, hi: int) -> np.ndarray:
+        """Items (numbers) of a range of suffixes."""
+        return np.unique(np.searchsorted(self.first, self.order[lo:hi], "right") - 1)
+
+    def longest(self, raw: bytes, lo: int, hi: int, run: bytes) -> tuple[int, int]:
+        """The most words that a run shares with a suffix of a range, and that one's place.
+
+        The nearest suffixes before and behind the run's place in the order share most.
+        """
+        order, first, end = self.order, self.first, self.end
+
+        def key(i: int) -> bytes:
+            s = int(order[i])
+            z = min(int(end[np.searchsorted(first, s, "right") - 1]), s + len(run) // 4)
+            return raw[4 * s : 4 * z]
+
+        at, best = bisect_left(range(hi), run, lo, key=key), (0, lo)
+        for i in (at - 1, at):
+            if lo <= i < hi:
+                other = key(i)
+                n = min(len(other), len(run)) // 4
+                differs = np.flatnonzero(np.frombuffer(other[: 4 * n], np.uint32) != np.frombuffer(run[: 4 * n], np.uint32))
+                best = max(best, (int(differs[0]) if len(differs) else n, i), key=lambda x: (x[0], -x[1]))
+        return best
+
     def shard(self, texts: list[str | None]) -> list[dict]:
-        """Per text: n_words, spans hit, item ids, and the longest match."""
+        """Per text: n_words, spans hit, item numbers, and the longest match."""
         get = self.vocab.get
         words = [words_of(t) for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
@@ -81,36 +146,31 @@ class Suffixes:
         at, end = maybe[keep].tolist(), end[keep].tolist()
         if not at:
             return out
-        raw, depth = ids.astype(">u4").tobytes(), self.depth
-        order = sorted(zip((raw[4 * a : 4 * min(e, a + depth)] for a, e in zip(at, end, strict=True)), at, strict=True))
-        keys = [k for k, _ in order]
-        array = [a for _, a in order]
+        raw, depth, own = ids.astype(">u4").tobytes(), self.depth, self.ids.astype(">u4").tobytes()
+        order = sorted(zip((raw[4 * a : 4 * min(e, a + depth)] for a, e in zip(at, end, strict=True)), at, end, strict=True))
+        keys = [k for k, _, _ in order]
+        array, ends = [a for _, a, _ in order], [e for _, _, e in order]
         del order
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for head, owners in self.starts.items():
+        for lo_b, hi_b, size in zip(self.heads[:-1].tolist(), self.heads[1:].tolist(), self.sizes.tolist(), strict=True):
+            s = int(self.order[lo_b])
+            head = own[4 * s : 4 * (s + size)]
             lo = bisect_left(keys, head)
             if lo == len(keys) or not keys[lo].startswith(head):
                 continue
             hi = bisect_left(keys, head + b"\xff\xff\xff\xff", lo)
-            size = len(head) // 4
+            found = set(self.owners(lo_b, hi_b).tolist())
             where = array[lo:hi]
             docs = (np.searchsorted(first, where, "right") - 1).tolist()
-            names = {self.items[i][0] for i, _ in owners}
-            for a, d in zip(where, docs, strict=True):
-                own = a - int(first[d])
-                hits[d].append((own, own + size))
-                out[d]["items"] |= names
-            # extend only where the word before doesn't match too: others are inner parts of a longer match
-            for i, s in owners:
-                item = self.items[i][1]
-                for a, d in zip(where, docs, strict=True):
-                    if a and s and ids[a - 1] == item[s - 1] and out[d]["longest"] >= len(item) - s:
-                        continue
-                    most = min(len(item) - s, len(ids) - a)
-                    differs = np.flatnonzero(ids[a : a + most] != item[s : s + most])
-                    n = int(differs[0]) if len(differs) else most
-                    if n > out[d]["longest"]:
-                        out[d].update(longest=n, longest_item=self.items[i][0], longest_at=a - int(first[d]))
+            for a, e, d in zip(where, ends[lo:hi], docs, strict=True):
+                place, mine = a - int(first[d]), out[d]
+                hits[d].append((place, place + size))
+                mine["items"] |= found
+                # only a run longer than the longest match so far can hold a longer one
+                if e - a > mine["longest"]:
+                    n, i = self.longest(own, lo_b, hi_b, raw[4 * a : 4 * e])
+                    if n > mine["longest"]:
+                        mine.update(longest=n, longest_item=int(np.searchsorted(self.first, self.order[i], "right")) - 1, longest_at=place)
         for d, spans in hits.items():
             out[d]["spans"] = merge(spans)
         return out
@@ -127,37 +187,56 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_FOUND = "n_words bigint, spans array<struct<a:bigint,z:bigint>>, items array<bigint>, longest bigint, longest_item bigint, longest_at bigint"
-_TYPE = pa.struct(
-    [
-        ("n_words", pa.int64()),
-        ("spans", pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))),
-        ("items", pa.list_(pa.int64())),
-        ("longest", pa.int64()),
-        ("longest_item", pa.int64()),
-        ("longest_at", pa.int64()),
-    ]
-)
+def _type(item) -> tuple[str, pa.DataType]:
+    """Spark's and Arrow's type of findings, for items with ids of a Spark type."""
+    name, kind = item.simpleString(), to_arrow_type(item)
+    spark = f"struct<n_words:bigint,spans:array<struct<a:bigint,z:bigint>>,items:array<{name}>,longest:bigint,longest_item:{name},longest_at:bigint>"
+    span = pa.struct([("a", pa.int64()), ("z", pa.int64())])
+    return spark, pa.struct([("n_words", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(kind)), ("longest", pa.int64()), ("longest_item", kind), ("longest_at", pa.int64())])
+
+
+def _shards(texts: list[str | None]) -> Iterator[list[str | None]]:
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t or "")
+        if held >= SHARD:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
 
 
-def _search(block):
-    """Column function: texts to what a block of the benchmark finds in them."""
+def _search(blocks: list, item):
+    """Column function: texts to what all blocks of the benchmark find in them."""
+    spark_type, arrow_type = _type(item)
 
-    @F.arrow_udf(f"struct<{_FOUND.replace(' bigint', ':bigint').replace(' array', ':array')}>")
+    @F.arrow_udf(spark_type)
     def found(texts: pa.Array) -> pa.Array:
-        side = block.value
-        rows, part, held = [], [], 0
-        for t in texts:
-            part.append(t.as_py())
-            held += len(part[-1] or "")
-            if held >= SHARD:
-                rows += side.shard(part)
-                part, held = [], 0
-        rows += side.shard(part)
+        rows: list[dict] = []
+        for block in blocks:
+            side, at = block.value, 0
+            for part in _shards(texts.to_pylist()):
+                for r in side.shard(part):
+                    names = {side.names[i] for i in r["items"]}
+                    if r["longest"]:
+                        r["longest_item"] = side.names[r["longest_item"]]
+                    if at == len(rows):
+                        rows.append(r | {"items": names})
+                    else:
+                        old = rows[at]
+                        old["spans"] += r["spans"]
+                        old["items"] |= names
+                        if r["longest"] > old["longest"]:
+                            old.update(longest=r["longest"], longest_item=r["longest_item"], longest_at=r["longest_at"])
+                    at += 1
+            if len(blocks) > 1:
+                # a worker keeps one block at a time; the file of a broadcast stays with the executor
+                vars(block).pop("_value", None)
         for r in rows:
-            r["spans"] = [{"a": a, "z": z} for a, z in r["spans"]]
+            r["spans"] = [{"a": a, "z": z} for a, z in merge(r["spans"])]
             r["items"] = sorted(x for x in r["items"] if x is not None)
-        return pa.array(rows, _TYPE)
+        return pa.array(rows, arrow_type)
 
     return found.asNondeterministic()
 
@@ -166,48 +245,38 @@ def _summed(spans: pa.Array, items: pa.Array) -> pa.Array:
     out = []
     for s, i in zip(spans.to_pylist(), items.to_pylist(), strict=True):
         names = sorted({str(x) for x in i})
-        hit = sum(z - a for a, z in merge([(x["a"], x["z"]) for x in s]))
+        hit = sum(x["z"] - x["a"] for x in s)
         out.append({"n_hit": hit, "n_items": len(names), "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest()})
     return pa.array(out, pa.struct([("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string())]))
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> list[DataFrame]:
-    """The benchmark in parts of about ``block`` bytes of text at most each."""
-    items = benchmark.select(F.col(id_col).cast("bigint").alias("item"), F.col(text_col).cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-int(total) // block) or 1
-    if n == 1:
-        return [items]
-    n *= 2
-    return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)]
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> Iterator[list[tuple[object, str | None]]]:
+    """The benchmark's items in lists of about ``block`` bytes of text (one longer
+    item is a list of its own); the driver holds one list at a time."""
+    part, held = [], 0
+    for r in benchmark.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("text")).toLocalIterator():
+        size = len((r["text"] or "").encode()) + 16
+        if part and held + size > block:
+            yield part
+            part, held = [], 0
+        part.append((r["item"], r["text"]))
+        held += size
+    if part:
+        yield part
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block: int = BLOCK) -> tuple[DataFrame, str]:
     """``docs`` with a struct column of what the benchmark finds; the column's name.
 
     Its fields: n_words, spans (hit words, merged), items, longest (words of
-    the longest verbatim match), longest_item, longest_at. A benchmark of at
-    most ``block`` bytes is broadcast once and documents aren't shuffled; a
-    larger one is searched in parts of that size, whose findings are merged
-    per row.
+    the longest verbatim match), longest_item, longest_at. Documents are read
+    once and not shuffled.
     """
-    spark, name = docs.sparkSession, unused(docs, "found")
-    parts = blocks(benchmark, block=block)
-    sides = (spark.sparkContext.broadcast(Suffixes([(r["item"], r["text"]) for r in p.toLocalIterator()], window)) for p in parts)
-    if len(parts) == 1:
-        return docs.withColumn(name, _search(next(sides))(F.col(text_col))), name
-    docs = stable(docs)
-    uid = unused(docs, "uid")
-    rows = docs.withColumn(uid, F.monotonically_increasing_id())
-    every = None
-    for side in sides:
-        one = rows.select(uid, _search(side)(F.col(text_col)).alias("f")).select(uid, "f.*")
-        one, _ = written(one, "found")
-        every = one if every is None else every.unionByName(one)
-    best = F.max(F.struct("longest", F.col("longest_item"), F.col("longest_at")))
-    merged = every.groupBy(uid).agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), best.alias("b"))
-    merged = merged.select(uid, F.struct("n_words", "spans", "items", "b.longest", "b.longest_item", "b.longest_at").alias(name))
-    return rows.join(merged, uid).drop(uid), name
+    name = unused(docs, "found")
+    context = docs.sparkSession.sparkContext
+    sides = [context.broadcast(Suffixes(part, window)) for part in blocks(benchmark, block=block)]
+    sides = sides or [context.broadcast(Suffixes([], window))]
+    return docs.withColumn(name, _search(sides, benchmark.schema["item_id"].dataType)(F.col(text_col))), name
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -217,8 +286,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A window is ``window`` consecutive words of an item; a shorter item is one
     window, an item without words none. Null or empty texts have no words, on
     either side. An item with a null id counts its hits but has no name in the
-    list of items; rows with the same item id are one item. An empty benchmark
-    hits nothing; repeated documents repeat.
+    list of items; rows with the same item id are one item; ids may be of any
+    type. An empty benchmark hits nothing; repeated documents repeat; of equally
+    long matches the first of the smallest window in the benchmark's order is
+    given; texts of any length are searched whole.
     """
     found, f = matches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, "text", window, block)
     summed = F.arrow_udf(_summed, "struct<n_hit:bigint,n_items:bigint,items_sha256:string>")

@@ -442,6 +442,68 @@ def test_longest_match_and_clean_rows(spark):
     assert decontam.contamination(d.limit(0), b).count() == 0
 
 
+def _random_words(rng, n: int, vocab: int) -> str:
+    return " ".join(f"w{rng.randrange(vocab)}" for _ in range(n))
+
+
+@pytest.mark.parametrize(("shard", "window"), [(decontam.SHARD, 10), (200, 3)])
+def test_random_texts_and_longest_matches(spark, monkeypatch, shard, window):
+    """Spans, items and longest matches against all places, over shards and blocks."""
+    rng = random.Random(shard)
+    items = [(f"i{k}", _random_words(rng, rng.randrange(1, 25), 6)) for k in range(40)]
+    items += [("long", _random_words(rng, 300, 6)), ("long2", items[3][1] + " " + items[3][1]), ("same", items[3][1])]
+    texts = [_random_words(rng, rng.randrange(0, 60), 6) for _ in range(40)] + [items[40][1] + " zz " + items[40][1][:400], None]
+    monkeypatch.setattr(decontam, "SHARD", shard)
+    side = decontam.Suffixes(items, window)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id string, text string")
+    got = {r["doc_id"]: r for r in decontam.contamination(d, b, window=window, block=300).collect()}
+    plain = [r for part in decontam._shards(texts) for r in side.shard(part)]
+    for i, t in enumerate(texts):
+        w, hit, names, best = (t or "").split(), set(), set(), 0
+        for name, x in items:
+            v = x.split()
+            n = min(window, len(v))
+            for s in range(len(v) - n + 1):
+                for a in range(len(w) - n + 1):
+                    if w[a : a + n] == v[s : s + n]:
+                        hit |= set(range(a, a + n))
+                        names.add(name)
+                        m = n
+                        while a + m < len(w) and s + m < len(v) and w[a + m] == v[s + m]:
+                            m += 1
+                        best = max(best, m)
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"], got[i]["longest"]) == (len(w), len(hit), len(names), best)
+        assert got[i]["items_sha256"] == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        assert (sum(z - a for a, z in plain[i]["spans"]), len(plain[i]["items"]), plain[i]["longest"]) == (len(hit), len(names), best)
+        if best:
+            text, at = f" {dict(items)[got[i]['longest_item']]} ", got[i]["longest_at"]
+            assert f" {' '.join(w[at : at + best])} " in text
+
+
+def test_items_that_share_a_window_cost_no_product():
+    import time
+
+    shared_ = "a b c d e f g h i j"
+    took = []
+    for n in (500, 2000):
+        side = decontam.Suffixes([(k, f"x{k} {shared_} y{k}") for k in range(n)])
+        texts = [f"p {shared_} y{k % n} q" for k in range(n)]
+        began = time.perf_counter()
+        rows = side.shard(texts)
+        took.append(time.perf_counter() - began)
+        assert all(len(r["items"]) == n and r["longest"] == 11 and r["longest_item"] == k for k, r in enumerate(rows))
+    assert took[1] < 40 * took[0]  # items are listed per text, so the rows themselves are a product
+
+
+def test_long_and_repeated_texts_of_string_ids(spark):
+    long = "word " * 300_000 + "the quick brown fox jumps over the lazy dog again and again today"
+    d = spark.createDataFrame([("b", long), ("b", long), ("a", None)], "doc_id string, text string")
+    b = spark.createDataFrame(BENCH, "item_id bigint, text string")
+    rows = decontam.contamination(d, b).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["longest"]) for r in rows) == [("a", 0, 0, 0), ("b", 300_013, 13, 13), ("b", 300_013, 13, 13)]
+
+
 # ---- 7: licenses -------------------------------------------------------------------------
 
 
