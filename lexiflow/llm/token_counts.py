@@ -4,7 +4,9 @@ A document keeps its pre-tokens (characters and ids of each) in blocks, and a
 segment tree over the blocks' sums. An edit changes pre-tokens only from the
 one before the white space at its start up to where the old and new cuts agree
 again; only this region is encoded, its blocks are replaced, and the sums above them are
-renewed. Special tokens' strings count as ordinary text.
+renewed. Trees are kept: a table of texts and trees is written once, edits are
+applied to it, and the result is such a table again. Special tokens' strings
+count as ordinary text.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, default_path, load, pattern
+from .shared import written
 
 #: Pre-tokens of a block as built; a block of four times as many is built anew.
 BLOCK = 64
@@ -28,6 +31,22 @@ class CountTree:
     def __init__(self, chars: np.ndarray, ids: np.ndarray):
         self._build(chars.tolist(), ids.tolist())
 
+    @classmethod
+    def of_state(cls, sizes: list[int], chars: list[int], ids: list[int], tree_chars: list[int], tree_ids: list[int]) -> CountTree:
+        """A tree as :meth:`state` gave it; no sum is computed anew."""
+        tree, at = cls.__new__(cls), 0
+        tree.blocks = []
+        for n in sizes:
+            tree.blocks.append((chars[at : at + n], ids[at : at + n]))
+            at += n
+        tree.sums = list(zip(tree_chars, tree_ids, strict=True))
+        tree.size = len(tree.sums) // 2
+        return tree
+
+    def state(self) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
+        """Pre-tokens of each block, characters and ids of each pre-token, and the tree's sums."""
+        return [len(c) for c, _ in self.blocks], [x for c, _ in self.blocks for x in c], [x for _, n in self.blocks for x in n], [c for c, _ in self.sums], [n for _, n in self.sums]
+
     def _build(self, chars: list[int], ids: list[int]) -> None:
         self.blocks = [(chars[i : i + BLOCK], ids[i : i + BLOCK]) for i in range(0, len(chars), BLOCK)] or [([], [])]
         self.size = 1 << (len(self.blocks) - 1).bit_length()
@@ -79,8 +98,8 @@ class CountTree:
 class EditedCounts:
     """A text, its tree, and edits on them; ``encoded`` counts pre-tokens encoded."""
 
-    def __init__(self, text: str, chars: np.ndarray, ids: np.ndarray, count):
-        self.text, self.tree, self.count, self.encoded = text, CountTree(chars, ids), count, 0
+    def __init__(self, text: str, tree: CountTree, count):
+        self.text, self.tree, self.count, self.encoded = text, tree, count, 0
 
     def edit(self, at: int, drop: int, put: str) -> None:
         """Replaces ``drop`` characters from ``at`` (both cut to the text) by ``put``."""
@@ -147,48 +166,102 @@ def counter(path: str):
     return count
 
 
-_FIELDS = [("n_tokens_before", pa.int64()), ("n_tokens", pa.int64()), ("n_pretokens", pa.int64()), ("n_encoded", pa.int64()), ("n_chars", pa.int64()), ("text_crc32", pa.int64())]
-_SCHEMA = ", ".join(f"{n} bigint" for n, _ in _FIELDS)
+#: A document's state beside its text: pre-tokens of each block, characters and ids of
+#: each pre-token, and the segment tree's sums, the root at 1.
+_STATE = [("sizes", pa.int32()), ("chars", pa.int32()), ("ids", pa.int32()), ("tree_chars", pa.int64()), ("tree_ids", pa.int64())]
+_STATE_SCHEMA = "sizes array<int>, chars array<int>, ids array<int>, tree_chars array<bigint>, tree_ids array<bigint>"
+_COUNTS = [("n_tokens_before", pa.int64()), ("n_tokens", pa.int64()), ("n_pretokens", pa.int64()), ("n_encoded", pa.int64()), ("n_chars", pa.int64()), ("text_crc32", pa.int64())]
+_COUNTS_SCHEMA = ", ".join(f"{n} bigint" for n, _ in _COUNTS)
+#: Documents made into rows at once.
+_SLICE = 256
 _WORKER: dict[str, tuple] = {}
 
 
-def edited_counts(docs: DataFrame, edits: str = "edits", path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts before and after a row's edits.
+def _tools(path: str) -> tuple:
+    if path not in _WORKER:
+        _WORKER[path] = Encoder(load(path).words, {}, None), counter(path)
+    return _WORKER[path]
+
+
+def _state_columns(trees: list[CountTree]) -> list[pa.Array]:
+    return [pa.array(c, pa.list_(t)) for c, (_, t) in zip(zip(*(t.state() for t in trees), strict=True), _STATE, strict=True)]
+
+
+def count_state(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Every document's text and tree, to be written and edited later: doc_id, text,
+    the state's columns, and the columns ``keep``. A null text counts as empty."""
+    path, keep = path or default_path(), keep or []
+    given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
+
+    def run(batches):
+        enc, _ = _tools(path)
+        for b in batches:
+            for at in range(0, b.num_rows, _SLICE):
+                part = b.slice(at, _SLICE)
+                trees = [CountTree(*x) for x in enc.counts(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *_state_columns(trees)], names=[*part.schema.names, *(n for n, _ in _STATE)])
+
+    return given.mapInArrow(run, f"{own}, {_STATE_SCHEMA}")
+
+
+def edit_state(state: DataFrame, edits: str = "edits", path: str | None = None) -> DataFrame:
+    """Applies each row's edits to a table of :func:`count_state`, which may have been
+    read from a store: doc_id, text and state after the edits, and the counts.
 
     ``edits`` is a column ``array<struct<at:int,drop:int,put:string>>``, applied
     in order, each to the text that the one before it left: from character
     ``at``, ``drop`` characters give way to ``put``. Places beyond the text are
     cut to it, null edits and null arrays change nothing, a null ``put`` is
-    empty, and a null text counts as empty.
+    empty. Only what the edits touch is encoded.
 
-    Rows: doc_id, n_tokens_before, n_tokens (after), n_pretokens (after),
-    n_encoded (pre-tokens encoded for the edits), n_chars and text_crc32 of the
-    text after them. Repeated rows repeat; no rows give none; a long text costs
-    its first count, and from then on what its edits touch.
+    Counts: n_tokens_before, n_tokens (after), n_pretokens (after), n_encoded
+    (pre-tokens encoded for the edits), n_chars and text_crc32 of the text.
     """
     path = path or default_path()
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = state.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        if path not in _WORKER:
-            _WORKER[path] = Encoder(load(path).words, {}, None), counter(path)
-        enc, count = _WORKER[path]
+        _, count = _tools(path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                rows = []
-                for text, (chars, ids), todo in zip(texts, enc.counts(texts), part.column(2).to_pylist(), strict=True):
-                    doc = EditedCounts(text, chars, ids, count)
+            for at in range(0, b.num_rows, _SLICE):
+                part = b.slice(at, _SLICE)
+                docs, rows = [], []
+                for text, todo, *own in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True):
+                    doc = EditedCounts(text, CountTree.of_state(*own), count)
                     before = doc.tree.tokens
                     for e in todo or []:
                         if e is not None:
                             doc.edit(e["at"] or 0, e["drop"] or 0, e["put"] or "")
+                    docs.append(doc)
                     rows.append((before, doc.tree.tokens, sum(len(c) for c, _ in doc.tree.blocks), doc.encoded, len(doc.text), zlib.crc32(doc.text.encode())))
-                cols = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _FIELDS, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", *(n for n, _ in _FIELDS)])
+                counts = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _COUNTS, strict=True)]
+                cols = [part.column(0), pa.array([d.text for d in docs], pa.string()), *_state_columns([d.tree for d in docs]), *counts]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", *(n for n, _ in _STATE), *(n for n, _ in _COUNTS)])
+
+    return state.select("doc_id", "text", edits, *(n for n, _ in _STATE)).mapInArrow(run, f"doc_id {kind}, text string, {_STATE_SCHEMA}, {_COUNTS_SCHEMA}")
+
+
+def edit_table(state: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
+    """:func:`edit_state` by rows (doc_id, seq, at, drop, put): those of a document in
+    the order of seq. Documents without edits stay; edits of no document do nothing."""
+    one = F.struct("seq", F.col("at").cast("int").alias("at"), F.col("drop").cast("int").alias("drop"), "put")
+    lists = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("edits"))
+    lists = lists.select("doc_id", F.transform("edits", lambda e: F.struct(e["at"].alias("at"), e["drop"].alias("drop"), e["put"].alias("put"))).alias("edits"))
+    return edit_state(state.join(lists, "doc_id", "left"), "edits", path)
 
-    return docs.select(id_col, text_col, edits).mapInArrow(run, f"doc_id {kind}, {_SCHEMA}")
+
+def edited_counts(docs: DataFrame, edits: str = "edits", path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the counts of :func:`edit_state`, for a column of edits: all trees are
+    built and written, and the edits applied to what is read back.
+
+    A null text counts as empty, repeated rows repeat, no rows give none, other
+    columns, of any name, aren't read; a long text costs its first count, and
+    from then on what its edits touch.
+    """
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(edits).alias("edits"))
+    state, _ = written(count_state(given, path, keep=["edits"]), "trees")
+    return edit_state(state, "edits", path).select("doc_id", *(n for n, _ in _COUNTS))
 
 
 def sample_edits(text_col: str = "text", id_col: str = "doc_id"):

@@ -696,7 +696,7 @@ def test_edited_counts_equal_full_encoding(spark, library):
 )
 def test_edits_right_after_white_space_and_quotes(text, edit):
     enc = bpe.Encoder(bpe.load(bpe.default_path()).words, {}, None)
-    doc = token_counts.EditedCounts(text, *enc.counts([text])[0], token_counts.counter(bpe.default_path()))
+    doc = token_counts.EditedCounts(text, token_counts.CountTree(*enc.counts([text])[0]), token_counts.counter(bpe.default_path()))
     doc.edit(*edit)
     chars, ids = enc.counts([doc.text])[0]
     assert [c for b, _ in doc.tree.blocks for c in b] == chars.tolist()
@@ -709,16 +709,42 @@ def test_random_edits_among_runs_of_white_space():
     parts = [" ", "\n", "\n\n", "\t", "x", "talo", "'", "r", "e", "l", "9", "!"]
     for _ in range(150):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(300)))
-        doc = token_counts.EditedCounts(text, *enc.counts([text])[0], count)
+        doc = token_counts.EditedCounts(text, token_counts.CountTree(*enc.counts([text])[0]), count)
         for _ in range(8):
             doc.edit(rng.randrange(len(doc.text) + 1), rng.randrange(4), "".join(rng.choice(parts) for _ in range(rng.randrange(4))))
             assert [c for b, _ in doc.tree.blocks for c in b] == enc.counts([doc.text])[0][0].tolist()
 
 
+def test_kept_trees_take_edits_again(spark, library, tmp_path):
+    """State written, edited by a table, written, edited again: as counted from the texts."""
+    rng = random.Random(12)
+    texts = {i: " ".join(rng.choice(["talo", "auto\n\n", "it's", "12", " ", "été"]) for _ in range(rng.randrange(400))) for i in range(12)} | {50: None, 51: "", 52: "word " * 60_000}
+    rows = [(i, t, "x") for i, t in texts.items()] + [(3, texts[3], "again")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, sizes string")
+    token_counts.count_state(docs).write.parquet(str(tmp_path / "s0"))
+    plain = {i: t or "" for i, t in texts.items()}
+    for step in (1, 2):
+        todo = [(rng.choice(list(texts)), k, rng.randrange(500), rng.randrange(6), rng.choice(["", " new", "\n", "don't ", None])) for k in range(40)] + [(999, 0, 0, 0, "x")]
+        edits = spark.createDataFrame(todo, "doc_id bigint, seq int, at int, drop int, put string")
+        for i, _, at, drop, put in todo:
+            if i in plain:
+                at = min(at, len(plain[i]))
+                plain[i] = plain[i][:at] + (put or "") + plain[i][at + drop :]
+        after = token_counts.edit_table(spark.read.parquet(str(tmp_path / f"s{step - 1}")), edits)
+        after.write.parquet(str(tmp_path / f"s{step}"))
+        got = spark.read.parquet(str(tmp_path / f"s{step}")).collect()
+        assert sorted(r["doc_id"] for r in got) == sorted([*texts, 3])
+        for r in got:
+            assert r["text"] == plain[r["doc_id"]]
+            assert r["n_tokens"] == len(library.encode(r["text"], add_special_tokens=False).ids) == r["tree_ids"][1]
+            assert r["tree_chars"][1] == len(r["text"]) and r["n_encoded"] < 200
+    assert token_counts.count_state(docs.limit(0)).count() == 0
+
+
 def test_an_edit_of_a_long_text_encodes_a_few_pre_tokens():
     enc = bpe.Encoder(bpe.load(bpe.default_path()).words, {}, None)
     text = "talo auto koti " * 5000
-    doc = token_counts.EditedCounts(text, *enc.counts([text])[0], token_counts.counter(bpe.default_path()))
+    doc = token_counts.EditedCounts(text, token_counts.CountTree(*enc.counts([text])[0]), token_counts.counter(bpe.default_path()))
     doc.edit(30000, 3, "uusi sana")
     assert doc.encoded < 10
     again = doc.text
