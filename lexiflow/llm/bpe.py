@@ -571,7 +571,10 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
 
 def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with its ids (array of int) in a column, the operator's other output."""
+    """``docs`` with its ids (array of int) in a column, the operator's other output.
+
+    A column named ``into`` is replaced; other columns, and repeated rows, stay.
+    """
     path = path or default_path()
 
     @F.arrow_udf("array<int>")
@@ -583,7 +586,7 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", in
 
 
 def decoded(docs: DataFrame, path: str | None = None, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
-    """The text of an ids column (null: empty)."""
+    """The text of an ids column (null: empty), in a column that replaces one named ``into``."""
     path = path or default_path()
 
     @F.arrow_udf("string")

@@ -144,15 +144,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model from at most ``sample`` labelled rows that aren't held out.
 
     Every language gives the same number of rows at most, those whose hashed id
-    comes first. Only a share of the hash range that follows from a language's
+    comes first; of more than half as many languages as rows the most frequent
+    are learnt. Only a share of the hash range that follows from a language's
     count is ranked, so one that most rows have isn't gathered anywhere.
     Vectors of whole texts, not texts, come to the driver.
     """
     rows = stable(docs).select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     usable = (~held_out("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     narrow = rows.where(usable).select("uid", "lang", F.xxhash64("id").alias("h"))
-    counts = narrow.groupBy("lang").count().limit(sample)
-    langs = counts.collect()  # `sample` rows at most
+    # a language gives two rows at least, so there is room for half as many languages: the largest, ties by name
+    counts = narrow.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max(1, sample // 2))
+    langs = counts.collect()
     if not langs:
         return Model()
     most = max(2, sample // len(langs))
@@ -200,7 +202,9 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     ``lang_pred`` is a language of the training rows, or ``und`` with score 0
     for a null text, a text without letters, and where there was nothing to
     learn from. ``score`` grows with the least margin of the winner. A null id
-    isn't held out. Equal texts get equal answers; no rows give no rows.
+    isn't held out. Equal texts and repeated rows get equal answers; texts of
+    any length are read whole; columns of other names aren't read; no rows give
+    no rows.
     """
     model = model or train(docs, id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

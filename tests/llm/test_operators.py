@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -855,3 +856,96 @@ def test_perfect_hash_is_minimal():
             d[500:510, 8:16] = d[0, 8:16]  # keys that can't be told apart by the hashed bytes
         h = exact_dedup.PerfectHash(d)
         assert sorted(h.slots(d).tolist()) == list(range(n))
+
+
+# ---- all: repeated rows, clashing names, long texts, SQL ---------------------------------
+
+LONG = "kissa istuu matolla ja katsoo ikkunasta ulos " * 60_000
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Two equal rows, a very long text, nulls, and columns with the names that operators use inside."""
+    names = ["uid", "__uid", "__all", "__total", "__seq", "__part", "found", "__found", "fp", "component", "digest", "best", "n", "ids", "lang_pred", "score", "edits", "sizes"]
+    rows = [(1, "talo on iso", "fi"), (1, "talo on iso", "fi"), (2, LONG, "fi"), (3, None, None), (4, "", "en")]
+    return spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], ["doc_id", "text", "lang", *names]).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+def test_clashing_names_repeated_rows_and_long_texts(spark, clashing, library):
+    placed = sharding.byte_shards(sharding.measured(clashing), 3).collect()
+    assert sorted((r["doc_id"], r["size"]) for r in placed) == sorted((i, s + 8) for i, s in ((1, 11), (1, 11), (2, len(LONG)), (3, 0), (4, 0)))
+    kept = sharding.byte_shards(sharding.measured(clashing).withColumn("__all", F.lit(1)).withColumn("__total", F.lit(2)), 3)
+    assert {"__all", "__total"} <= set(kept.columns) and kept.count() == 5
+    path = sharding.write_shards(clashing, sharding.byte_shards(sharding.measured(clashing.dropDuplicates(["doc_id"])), 2))
+    assert spark.read.parquet(path).where("doc_id = 2").first()["text"] == LONG
+    want = len(library.encode(LONG, add_special_tokens=False).ids)
+    got = bpe.encode_decode(clashing).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got)[2] == (2, want) and all(r["exact"] for r in got)
+    both = bpe.decoded(bpe.encoded(clashing))
+    assert set(clashing.columns) | {"decoded"} == set(both.columns) and both.where("doc_id = 2").first()["decoded"] == LONG
+    stored = token_store.read_digests(spark, token_store.write_store(clashing)).orderBy("start").collect()
+    assert [r["doc_id"] for r in stored] == [1, 1, 2, 3, 4] and stored[2]["n_tokens"] == want + 1
+    counted = token_counts.edited_counts(clashing.withColumn("edits", F.array().cast("array<struct<at:int,drop:int,put:string>>"))).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in counted)[2] == (2, want)
+    gone = exact_dedup.exact_duplicates(clashing).collect()
+    assert sorted((r["doc_id"], r["group_size"], r["kept"]) for r in gone) == [(1, 2, False), (1, 2, True), (2, 1, True), (3, 2, False), (4, 2, True)]
+    assert exact_dedup.drop_exact_duplicates(clashing).columns == clashing.columns
+    named = langid.identify(clashing.drop("score", "lang_pred").withColumn("score", F.lit("x"))).collect()
+    assert len({(r["lang_pred"], r["score"]) for r in named if r["doc_id"] == 1}) == 1 and sum(r["lang_pred"] == "und" for r in named) >= 2
+    assert langid.keep_identified(clashing).columns == clashing.columns
+    near = simhash.near_duplicates(clashing).collect()
+    assert sorted((r["id"], r["component"]) for r in near) == [(1, 1), (1, 1), (2, 2), (3, 3), (4, 3)]
+
+
+def test_exact_duplicates_of_string_ids(spark):
+    rows = [("b", "x"), ("a", "X"), (None, "x"), ("c", None), ("d", "")]
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("b", "b", 3, True), ("a", "b", 3, False), (None, "b", 3, False), ("c", "d", 2, False), ("d", "d", 2, True)}
+
+
+@pytest.mark.parametrize("name", ["op2_sharding", "op5_warc", "op6_decontamination", "op10_exact_dedup"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from lexiflow.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLE_SQL[name]).df()
+    cols, key = sorted(want.columns), want.columns[0]
+    assert sorted(got.columns) == cols
+    plain = lambda df: [[None if pd.isna(x) else x for x in r] for r in df[cols].sort_values(key).astype(object).itertuples(index=False)]
+    assert plain(got) == plain(want)
+
+
+def test_queries_without_sql_equal_brute_force(spark, library):
+    """Operators 1, 3, 4, 8 and 9 on the whole smallest table."""
+    from lexiflow.llm import queries as q
+
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    prints = {i: plain_print(r["text"]) for i, r in docs.items()}
+    roots = plain_components(prints, 4)
+    assert {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in q.op1_simhash_near_dedup(spark, SF).collect()} == {i: (prints[i], roots[i]) for i in docs}
+    ids = {i: library.encode(r["text"] or "", add_special_tokens=False).ids for i, r in docs.items()}
+    packed = lambda x: np.array(x, "<u4").tobytes()
+    for r in q.op3_bpe_encode_decode(spark, SF).collect():
+        own = ids[r["doc_id"]]
+        decoded = library.decode(own, skip_special_tokens=False).encode()
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(own), hashlib.sha256(packed(own)).hexdigest(), hashlib.sha256(decoded).hexdigest())
+    start = 0
+    for r in sorted(q.op4_token_store(spark, SF).collect(), key=lambda r: r["doc_id"]):
+        own = [*ids[r["doc_id"]], 2]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(own), zlib.crc32(packed(own)))
+        start += len(own)
+    for r in q.op8_token_counts(spark, SF).collect():
+        text = docs[r["doc_id"]]["text"] or ""
+        n = len(text)
+        for at, drop, put in ((n // 3, 0, " it's été"), (n // 2, 7, ""), (r["doc_id"] * 7919 % (n + 1), 5, "  2024\n\nnew")):
+            text = text[:at] + put + text[at + drop :]
+        assert (r["n_tokens_before"], r["n_tokens"]) == (len(ids[r["doc_id"]]), len(library.encode(text, add_special_tokens=False).ids))
+        assert (r["n_chars"], r["text_crc32"]) == (len(text), zlib.crc32(text.encode()))
+    named = q.op9_language_id(spark, SF).collect()
+    assert {r["doc_id"]: r["held_out"] for r in named} == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in docs}
+    judged = [r for r in named if r["held_out"] and docs[r["doc_id"]]["lang"] and r["lang_pred"] != "und"]
+    assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in judged) >= 0.97 * len(judged) > 20
