@@ -26,72 +26,110 @@ BLOCK = 64
 
 
 class CountTree:
-    """Pre-tokens of one text under a segment tree of (characters, ids)."""
+    """Pre-tokens of one text under a segment tree of (characters, ids).
+
+    Characters and ids of all pre-tokens are flat arrays; a block is a stretch
+    of them, or a list of its own once it was replaced.
+    """
 
     def __init__(self, chars: np.ndarray, ids: np.ndarray):
-        self._build(chars.tolist(), ids.tolist())
+        self._build(chars, ids)
+
+    def _build(self, chars: np.ndarray, ids: np.ndarray) -> None:
+        n = len(chars)
+        self.count = -(-n // BLOCK) or 1
+        self.bounds = np.minimum(np.arange(self.count + 1) * BLOCK, n)
+        self.flat, self.own = (chars, ids), {}
+        self.size = 1 << (self.count - 1).bit_length()
+        self.sums = []
+        for x in self.flat:
+            upto = np.concatenate(([0], np.cumsum(x, dtype=np.int64)))
+            tree = np.zeros(2 * self.size, np.int64)
+            tree[self.size : self.size + self.count] = upto[self.bounds[1:]] - upto[self.bounds[:-1]]
+            width = self.size
+            while width > 1:
+                tree[width // 2 : width] = tree[width : 2 * width : 2] + tree[width + 1 : 2 * width : 2]
+                width //= 2
+            self.sums.append(tree)
 
     @classmethod
-    def of_state(cls, sizes: list[int], chars: list[int], ids: list[int], tree_chars: list[int], tree_ids: list[int]) -> CountTree:
+    def of_state(cls, data: bytes) -> CountTree:
         """A tree as :meth:`state` gave it; no sum is computed anew."""
-        tree, at = cls.__new__(cls), 0
-        tree.blocks = []
-        for n in sizes:
-            tree.blocks.append((chars[at : at + n], ids[at : at + n]))
-            at += n
-        tree.sums = list(zip(tree_chars, tree_ids, strict=True))
-        tree.size = len(tree.sums) // 2
+        tree = cls.__new__(cls)
+        tree.count, n, width = np.frombuffer(data, np.int32, 3).tolist()
+        kind, at = np.dtype(f"u{width}"), 12 + 4 * tree.count
+        tree.bounds = np.concatenate(([0], np.cumsum(np.frombuffer(data, np.int32, tree.count, 12))))
+        tree.flat, tree.own = (np.frombuffer(data, kind, n, at), np.frombuffer(data, kind, n, at + n * width)), {}
+        tree.size = 1 << (tree.count - 1).bit_length()
+        at += 2 * n * width
+        tree.sums = [np.frombuffer(data, np.int64, 2 * tree.size, at + 16 * tree.size * i).copy() for i in (0, 1)]
         return tree
 
-    def state(self) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
-        """Pre-tokens of each block, characters and ids of each pre-token, and the tree's sums."""
-        return [len(c) for c, _ in self.blocks], [x for c, _ in self.blocks for x in c], [x for _, n in self.blocks for x in n], [c for c, _ in self.sums], [n for _, n in self.sums]
-
-    def _build(self, chars: list[int], ids: list[int]) -> None:
-        self.blocks = [(chars[i : i + BLOCK], ids[i : i + BLOCK]) for i in range(0, len(chars), BLOCK)] or [([], [])]
-        self.size = 1 << (len(self.blocks) - 1).bit_length()
-        self.sums = [(0, 0)] * (2 * self.size)
-        self.sums[self.size : self.size + len(self.blocks)] = [(sum(c), sum(n)) for c, n in self.blocks]
-        for i in range(self.size - 1, 0, -1):
-            self._renew(i)
+    def state(self) -> bytes:
+        """Numbers of blocks and pre-tokens, pre-tokens of each block, characters and
+        ids of each pre-token, and the tree's sums, the root at 1."""
+        chars, ids = self._all()
+        width = 2 if max(chars.max(initial=0), ids.max(initial=0)) < 1 << 16 else 4
+        sizes = [len(self.block(i)[0]) if i in self.own else int(self.bounds[i + 1] - self.bounds[i]) for i in range(self.count)]
+        head = np.array([self.count, len(chars), width, *sizes], np.int32)
+        return b"".join(x.tobytes() for x in (head, chars.astype(f"u{width}"), ids.astype(f"u{width}"), *self.sums))
+
+    def _all(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and ids of all pre-tokens, replaced blocks in their places."""
+        if not self.own:
+            return self.flat
+        out, at = ([], []), 0
+        for i in [*sorted(self.own), self.count]:
+            for j in (0, 1):
+                out[j].append(self.flat[j][self.bounds[at] : self.bounds[i]])
+                if i < self.count:
+                    out[j].append(np.array(self.own[i][j], np.int64))
+            at = i + 1
+        return np.concatenate(out[0]).astype(np.int64), np.concatenate(out[1]).astype(np.int64)
+
+    def block(self, i: int) -> tuple[list[int], list[int]]:
+        found = self.own.get(i)
+        return found or tuple(x[self.bounds[i] : self.bounds[i + 1]].tolist() for x in self.flat)
 
-    def _renew(self, i: int) -> None:
-        (a, b), (c, d) = self.sums[2 * i], self.sums[2 * i + 1]
-        self.sums[i] = (a + c, b + d)
+    @property
+    def pretokens(self) -> int:
+        return int(self.bounds[-1]) + sum(len(c) - int(self.bounds[i + 1] - self.bounds[i]) for i, (c, _) in self.own.items())
 
     @property
     def chars(self) -> int:
-        return self.sums[1][0]
+        return int(self.sums[0][1])
 
     @property
     def tokens(self) -> int:
-        return self.sums[1][1]
+        return int(self.sums[1][1])
 
     def find(self, at: int) -> tuple[int, int]:
         """The block with the first pre-token that ends at ``at`` or later, and the block's start."""
-        i, before = 1, 0
+        i, before, sums = 1, 0, self.sums[0]
         while i < self.size:
             i *= 2
-            if before + self.sums[i][0] < at:
-                before += self.sums[i][0]
+            if before + sums[i] < at:
+                before += int(sums[i])
                 i += 1
-        return min(i - self.size, len(self.blocks) - 1), before
+        return min(i - self.size, self.count - 1), before
 
     def replace(self, first: int, last: int, chars: list[int], ids: list[int]) -> None:
         """Puts pre-tokens in place of all those in the blocks first to last."""
         if len(chars) > 4 * BLOCK * (last - first + 1):
-            old = self.blocks[:first] + [(chars, ids)] + self.blocks[last + 1 :]
-            self._build([x for c, _ in old for x in c], [x for _, n in old for x in n])
+            self.own.update({i: ([], []) for i in range(first, last + 1)})
+            self.own[first] = chars, ids
+            self._build(*self._all())
             return
         step = -(-len(chars) // (last - first + 1)) or 1
         for j, i in enumerate(range(first, last + 1)):
-            own = chars[j * step : (j + 1) * step], ids[j * step : (j + 1) * step]
-            self.blocks[i] = own
-            self.sums[self.size + i] = (sum(own[0]), sum(own[1]))
+            self.own[i] = own = chars[j * step : (j + 1) * step], ids[j * step : (j + 1) * step]
+            for tree, x in zip(self.sums, own, strict=True):
+                tree[self.size + i] = sum(x)
         level = {(self.size + i) // 2 for i in range(first, last + 1)}
         while level and 0 not in level:
             for i in level:
-                self._renew(i)
+                for tree in self.sums:
+                    tree[i] = tree[2 * i] + tree[2 * i + 1]
             level = {i // 2 for i in level}
 
 
@@ -115,7 +153,7 @@ class EditedCounts:
         first, start = tree.find(back)
         # pre-tokens of the first block that end before there stay
         kept_c, kept_n = [], []
-        for c, n in zip(*tree.blocks[first], strict=True):
+        for c, n in zip(*tree.block(first), strict=True):
             if start + c >= back:
                 break
             kept_c.append(c)
@@ -123,15 +161,17 @@ class EditedCounts:
             start += c
         # old cuts are walked along with the new ones until both agree
         last, i, old = first, len(kept_c), start
+        here = tree.block(last)
         p, words, match = start, [], pattern().match
         while True:
             while old + shift < p or old < at + drop:
-                if i == len(tree.blocks[last][0]):
-                    if last + 1 == len(tree.blocks):
+                if i == len(here[0]):
+                    if last + 1 == tree.count:
                         break
                     last, i = last + 1, 0
+                    here = tree.block(last)
                     continue
-                old += tree.blocks[last][0][i]
+                old += here[0][i]
                 i += 1
             if p >= resume and old + shift == p:
                 break
@@ -141,10 +181,10 @@ class EditedCounts:
             words.append(m[0])
             p = m.end()
         self.encoded += len(words)
-        tail_c, tail_n = tree.blocks[last][0][i:], tree.blocks[last][1][i:]
+        tail_c, tail_n = here[0][i:], here[1][i:]
         if p >= len(new):
             tail_c, tail_n = [], []
-            last = len(tree.blocks) - 1
+            last = tree.count - 1
         tree.replace(first, last, kept_c + [len(w) for w in words] + tail_c, kept_n + [self.count(w) for w in words] + tail_n)
         self.text = new
 
@@ -166,10 +206,6 @@ def counter(path: str):
     return count
 
 
-#: A document's state beside its text: pre-tokens of each block, characters and ids of
-#: each pre-token, and the segment tree's sums, the root at 1.
-_STATE = [("sizes", pa.int32()), ("chars", pa.int32()), ("ids", pa.int32()), ("tree_chars", pa.int64()), ("tree_ids", pa.int64())]
-_STATE_SCHEMA = "sizes array<int>, chars array<int>, ids array<int>, tree_chars array<bigint>, tree_ids array<bigint>"
 _COUNTS = [("n_tokens_before", pa.int64()), ("n_tokens", pa.int64()), ("n_pretokens", pa.int64()), ("n_encoded", pa.int64()), ("n_chars", pa.int64()), ("text_crc32", pa.int64())]
 _COUNTS_SCHEMA = ", ".join(f"{n} bigint" for n, _ in _COUNTS)
 #: Documents made into rows at once.
@@ -183,13 +219,9 @@ def _tools(path: str) -> tuple:
     return _WORKER[path]
 
 
-def _state_columns(trees: list[CountTree]) -> list[pa.Array]:
-    return [pa.array(c, pa.list_(t)) for c, (_, t) in zip(zip(*(t.state() for t in trees), strict=True), _STATE, strict=True)]
-
-
 def count_state(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every document's text and tree, to be written and edited later: doc_id, text,
-    the state's columns, and the columns ``keep``. A null text counts as empty."""
+    tree (:meth:`CountTree.state`), and the columns ``keep``. A null text counts as empty."""
     path, keep = path or default_path(), keep or []
     given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
@@ -199,15 +231,16 @@ def count_state(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
         for b in batches:
             for at in range(0, b.num_rows, _SLICE):
                 part = b.slice(at, _SLICE)
-                trees = [CountTree(*x) for x in enc.counts(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *_state_columns(trees)], names=[*part.schema.names, *(n for n, _ in _STATE)])
+                trees = pa.array([CountTree(*x).state() for x in enc.counts(part.column(1).to_pylist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, trees], names=[*part.schema.names, "tree"])
 
-    return given.mapInArrow(run, f"{own}, {_STATE_SCHEMA}")
+    return given.mapInArrow(run, f"{own}, tree binary")
 
 
-def edit_state(state: DataFrame, edits: str = "edits", path: str | None = None) -> DataFrame:
+def edit_state(state: DataFrame, edits: str = "edits", path: str | None = None, trees: bool = True) -> DataFrame:
     """Applies each row's edits to a table of :func:`count_state`, which may have been
-    read from a store: doc_id, text and state after the edits, and the counts.
+    read from a store: doc_id, text and tree after the edits (unless ``trees``
+    is false), and the counts.
 
     ``edits`` is a column ``array<struct<at:int,drop:int,put:string>>``, applied
     in order, each to the text that the one before it left: from character
@@ -227,19 +260,20 @@ def edit_state(state: DataFrame, edits: str = "edits", path: str | None = None)
             for at in range(0, b.num_rows, _SLICE):
                 part = b.slice(at, _SLICE)
                 docs, rows = [], []
-                for text, todo, *own in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True):
-                    doc = EditedCounts(text, CountTree.of_state(*own), count)
+                for text, todo, tree in zip(*(part.column(i) for i in (1, 2, 3)), strict=True):
+                    doc = EditedCounts(text.as_py(), CountTree.of_state(tree.as_py()), count)
                     before = doc.tree.tokens
-                    for e in todo or []:
+                    for e in todo.as_py() or []:
                         if e is not None:
                             doc.edit(e["at"] or 0, e["drop"] or 0, e["put"] or "")
-                    docs.append(doc)
-                    rows.append((before, doc.tree.tokens, sum(len(c) for c, _ in doc.tree.blocks), doc.encoded, len(doc.text), zlib.crc32(doc.text.encode())))
+                    rows.append((before, doc.tree.tokens, doc.tree.pretokens, doc.encoded, len(doc.text), zlib.crc32(doc.text.encode())))
+                    if trees:
+                        docs.append((doc.text, doc.tree.state()))
                 counts = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _COUNTS, strict=True)]
-                cols = [part.column(0), pa.array([d.text for d in docs], pa.string()), *_state_columns([d.tree for d in docs]), *counts]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", *(n for n, _ in _STATE), *(n for n, _ in _COUNTS)])
+                after = [pa.array([d[0] for d in docs], pa.string()), pa.array([d[1] for d in docs], pa.binary())] if trees else []
+                yield pa.RecordBatch.from_arrays([part.column(0), *after, *counts], names=["doc_id", *(("text", "tree") if trees else ()), *(n for n, _ in _COUNTS)])
 
-    return state.select("doc_id", "text", edits, *(n for n, _ in _STATE)).mapInArrow(run, f"doc_id {kind}, text string, {_STATE_SCHEMA}, {_COUNTS_SCHEMA}")
+    return state.select("doc_id", "text", edits, "tree").mapInArrow(run, f"doc_id {kind}, {'text string, tree binary, ' if trees else ''}{_COUNTS_SCHEMA}")
 
 
 def edit_table(state: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
@@ -261,7 +295,7 @@ def edited_counts(docs: DataFrame, edits: str = "edits", path: str | None = None
     """
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(edits).alias("edits"))
     state, _ = written(count_state(given, path, keep=["edits"]), "trees")
-    return edit_state(state, "edits", path).select("doc_id", *(n for n, _ in _COUNTS))
+    return edit_state(state, "edits", path, trees=False)
 
 
 def sample_edits(text_col: str = "text", id_col: str = "doc_id"):

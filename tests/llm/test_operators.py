@@ -700,7 +700,7 @@ def test_edits_right_after_white_space_and_quotes(text, edit):
     doc = token_counts.EditedCounts(text, token_counts.CountTree(*enc.counts([text])[0]), token_counts.counter(bpe.default_path()))
     doc.edit(*edit)
     chars, ids = enc.counts([doc.text])[0]
-    assert [c for b, _ in doc.tree.blocks for c in b] == chars.tolist()
+    assert doc.tree._all()[0].tolist() == chars.tolist()
     assert doc.tree.tokens == int(ids.sum())
 
 
@@ -713,7 +713,7 @@ def test_random_edits_among_runs_of_white_space():
         doc = token_counts.EditedCounts(text, token_counts.CountTree(*enc.counts([text])[0]), count)
         for _ in range(8):
             doc.edit(rng.randrange(len(doc.text) + 1), rng.randrange(4), "".join(rng.choice(parts) for _ in range(rng.randrange(4))))
-            assert [c for b, _ in doc.tree.blocks for c in b] == enc.counts([doc.text])[0][0].tolist()
+            assert doc.tree._all()[0].tolist() == enc.counts([doc.text])[0][0].tolist()
 
 
 def test_kept_trees_take_edits_again(spark, library, tmp_path):
@@ -737,8 +737,9 @@ def test_kept_trees_take_edits_again(spark, library, tmp_path):
         assert sorted(r["doc_id"] for r in got) == sorted([*texts, 3])
         for r in got:
             assert r["text"] == plain[r["doc_id"]]
-            assert r["n_tokens"] == len(library.encode(r["text"], add_special_tokens=False).ids) == r["tree_ids"][1]
-            assert r["tree_chars"][1] == len(r["text"]) and r["n_encoded"] < 200
+            assert r["n_tokens"] == len(library.encode(r["text"], add_special_tokens=False).ids)
+            tree = token_counts.CountTree.of_state(r["tree"])
+            assert (tree.chars, tree.tokens, tree.pretokens) == (len(r["text"]), r["n_tokens"], r["n_pretokens"]) and r["n_encoded"] < 200
     assert token_counts.count_state(docs.limit(0)).count() == 0
 
 
