@@ -774,6 +774,58 @@ def treebank_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("form", "lemma", F.get(F.map_keys("differing"), 0).alias("differing"))
 
 
+def _hyphen_lexicon() -> dict[str, list[dict[str, str]]]:
+    """Part words, noun-first compounds, and forms that the rules for hyphens are about."""
+    one = lambda *parts: {"STRUCTURE": "=" + "=".join("p" * len(x) for x in parts), "CLASS": "nimisana"}
+    rows = {w: [one(w)] for w in _PART_WORDS}
+    rows["new"][0]["MALAGA_VAPAA_JALKIOSA"] = "true"
+    for w in _PART_WORDS:
+        rows.update({w + a: [one(w, a)] for a in _PART_WORDS if a != "rod"})
+        rows[w + "rod"] = [one(w, "rod"), one(w + "rod")]
+        rows[w + w[-2:] + "isto"] = [one(w, w[-2:] + "isto")]
+        rows[f"-pre{w}-"] = [{"STRUCTURE": "-" + "p" * (len(w) + 3) + "-"}]
+    return rows
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS n, string_split(p_name, ' ')[1] AS a FROM part WHERE p_name LIKE '% %'), w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)
+    SELECT n || a AS form, true AS strict, true AS lenient FROM p UNION ALL SELECT n || '-' || a, a = 'new', true FROM p UNION ALL SELECT n || chr(173) || a, true, true FROM p
+    UNION ALL SELECT n[1] || chr(173) || n[2:] || a, false, false FROM p UNION ALL SELECT upper(n || a), true, true FROM p UNION ALL SELECT upper(n[1]) || n[2:] || a, true, true FROM p
+    UNION ALL SELECT n || upper(a), false, false FROM p UNION ALL SELECT n || a || '.', false, true FROM p
+    UNION ALL SELECT w || '-' || w[-2:] || 'isto', regexp_matches(w, '[{chars.VOWEL}][{chars.CONSONANT}]$'), true FROM w
+    UNION ALL SELECT w || '-rod', true, true FROM w UNION ALL SELECT 'pre' || w, false, true FROM w UNION ALL SELECT w || 'zz', false, false FROM w"""
+)
+def hyphen_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names joined, with hyphens missing, extra or soft, in several cases and with a dot, by strict and lenient options."""
+    made = morphology.table_analyzer(_hyphen_lexicon())
+    pair = F.split("p_name", " ")
+    p = table(spark, sf_dir, "part").where("p_name like '% %'").select(pair[1].alias("n"), pair[0].alias("a")).distinct()
+    w = table(spark, sf_dir, "part").select(F.explode(pair).alias("w")).distinct()
+    soft = chars.SOFT_HYPHEN
+    joined = [
+        "concat(n, a)", "concat(n, '-', a)", f"concat(n, '{soft}', a)", f"concat(left(n, 1), '{soft}', substring(n, 2), a)", "upper(concat(n, a))",
+        "concat(upper(left(n, 1)), substring(n, 2), a)", "concat(n, upper(a))", "concat(n, a, '.')",
+    ]
+    single = ["concat(w, '-', right(w, 2), 'isto')", "concat(w, '-rod')", "concat('pre', w)", "concat(w, 'zz')"]
+    forms = p.select(F.explode(F.expr(f"array({', '.join(joined)})")).alias("form")).union(w.select(F.explode(F.expr(f"array({', '.join(single)})")).alias("form")))
+    lenient = spelling.SpellOptions(ignore_dot=True, accept_extra_hyphens=True, accept_missing_hyphens=True)
+    return forms.select("form", words.spelled_right(F.col("form"), made).alias("strict"), words.spelled_right(F.col("form"), made, lenient).alias("lenient"))
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS n, string_split(p_name, ' ')[1] AS a FROM part WHERE p_name LIKE '% %'), w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part),
+    h AS ({oracle.hyphenated("SELECT w AS word FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) UNION SELECT w || 'rod' FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)")})
+    SELECT n || a AS form, x.pattern || '-' || y.pattern[2:] AS pattern FROM p JOIN h x ON x.word = n JOIN h y ON y.word = a UNION ALL SELECT w || 'rod', pattern FROM w JOIN h ON word = w || 'rod'"""
+)
+def compound_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breaks of compounds by their readings' boundaries; a reading as one word rules out the one as a compound."""
+    made = morphology.table_analyzer(_hyphen_lexicon())
+    pair = F.split("p_name", " ")
+    p = table(spark, sf_dir, "part").where("p_name like '% %'").select(F.concat(pair[1], pair[0]).alias("form")).distinct()
+    w = table(spark, sf_dir, "part").select(F.explode(pair).alias("w")).distinct().select(F.concat("w", F.lit("rod")).alias("form"))
+    return p.union(w).select("form", words.hyphenated(F.col("form"), made).alias("pattern"))
+
+
 #: An error model of one substitution, its weight in it, and the lexicon's own weights.
 _SLIPS = [("o", "a", 0.5), ("i", "e", 0.25), ("m", "n", 0.125), ("b", "d", 0.2)]
 
