@@ -826,6 +826,50 @@ def compound_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.union(w).select("form", words.hyphenated(F.col("form"), made).alias("pattern"))
 
 
+def _special_lexicon() -> str:
+    """Part words as numerals, places, free suffixes, verbs and organisations, in AT&T form."""
+    arcs, state = [], 100
+    for w in _PART_WORDS:
+        for surface, before, behind in (
+            (f"{w}u", f"[Lu][Xp]{w}u[X]", "[Sn][Ny]"),
+            (f"{w}la", f"[Ln][Ica][Xp]{w}la[X]", "[Sn][Ny]"),
+            (f"{w}sti", f"[Ln][Ivj][Xp]{w}sti[X]", "[Sn][Ny]"),
+            (f"{w}ma", f"[Lt][Ira][Xp]{w}ma[X]", "[Tt][Ap][P3][Ef]"),
+            (f"{w}ta", f"[Ll][Xp]{w}[X]", "[Cc][Sp][Ny]"),
+            (f"{w}org", f"[Ln][Xp]{w}[X]", None),
+        ):
+            steps = [("@0@", before), *((c, c) for c in surface)]
+            if behind is None:
+                steps[-3:-3] = [("@0@", "[Sn][Ny][Bh][Bc][Ln][Ion][Xp]org[X]")]
+            steps.append(("@0@", behind or "[Sn][Ny]"))
+            at = 0
+            for i, (x, y) in enumerate(steps):
+                to = 1 if i + 1 == len(steps) else (state := state + 1)
+                arcs.append(f"{at}\t{to}\t{x}\t{y}")
+                at = to
+    return "\n".join([*arcs, "1"])
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), r AS (
+    SELECT w || 'u' AS form, w || 'u' AS baseform, 'lukusana' AS class, NULL AS comparison, NULL AS geographical, NULL AS free_suffix, NULL AS following, NULL AS structure FROM w
+    UNION ALL SELECT w || 'la', w || 'la', 'nimisana', NULL, 'true', NULL, NULL, NULL FROM w UNION ALL SELECT w || 'sti', w || 'sti', 'nimisana', NULL, NULL, 'true', NULL, NULL FROM w
+    UNION ALL SELECT w || 'ma', w || 'ma', 'teonsana', NULL, NULL, NULL, 'A-infinitive', NULL FROM w UNION ALL SELECT w || 'ta', w, 'laatusana', 'comparative', NULL, NULL, NULL, NULL FROM w
+    UNION ALL SELECT w || 'org', w || 'org', 'nimisana', NULL, NULL, NULL, NULL, '=' || repeat('p', length(w)) || '=ppp' FROM w WHERE w[-1] <> 'o'
+    UNION ALL SELECT w || 'org', upper(w[1]) || w[2:] || 'org', 'nimi', NULL, NULL, NULL, NULL, '=i' || repeat('p', length(w) - 1) || '=ppp' FROM w WHERE w[-1] <> 'o')
+    SELECT form, baseform, class, comparison, geographical, free_suffix, following, coalesce(structure, '=' || repeat('p', length(form))) AS structure FROM r"""
+)
+def special_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numerals, flags of single analyses, comparison, and the second reading of an
+    organisation's name (none where equal vowels would need a hyphen)."""
+    made = morphology.automaton_analyzer(vfst.compile_att(_special_lexicon()))
+    w = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    forms = w.select(F.explode(F.array(*(F.concat("w", F.lit(e)) for e in ("u", "la", "sti", "ma", "ta", "org")))).alias("form"))
+    rows = forms.select("form", F.explode(words.analyses(F.col("form"), made)).alias("a"))
+    names = {"geographical": "POSSIBLE_GEOGRAPHICAL_NAME", "free_suffix": "MALAGA_VAPAA_JALKIOSA", "following": "REQUIRE_FOLLOWING_VERB"}
+    return rows.select("form", *_attributes("BASEFORM", "CLASS", "COMPARISON", "STRUCTURE"), *(F.element_at("a", v).alias(k) for k, v in names.items()))
+
+
 #: An error model of one substitution, its weight in it, and the lexicon's own weights.
 _SLIPS = [("o", "a", 0.5), ("i", "e", 0.25), ("m", "n", 0.125), ("b", "d", 0.2)]
 
