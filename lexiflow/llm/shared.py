@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -76,8 +77,14 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(conf).delete(p, True)
 
 
-#: Tables written inside the ``temporary`` blocks that are open, the innermost last.
-_OPEN: list[list[str]] = []
+#: Tables written inside the ``temporary`` blocks that this thread has open, the innermost last.
+_LOCAL = threading.local()
+
+
+def _open() -> list[list[str]]:
+    if not hasattr(_LOCAL, "blocks"):
+        _LOCAL.blocks = []
+    return _LOCAL.blocks
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -92,8 +99,8 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     df.write.option("compression", "zstd").parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _open():
+        _open()[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -101,17 +108,17 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def temporary(spark: SparkSession) -> Iterator[Callable[..., None]]:
     """Tables written inside are deleted at its end, but for paths given to the
     function that it yields: the block around it owns those."""
-    _OPEN.append([])
+    _open().append([])
     kept: list[str] = []
     try:
         yield lambda *paths: kept.extend(paths)
     finally:
-        mine = _OPEN.pop()
+        mine = _open().pop()
         for path in mine:
             if path not in kept:
                 delete(spark, path)
-        if _OPEN:
-            _OPEN[-1].extend(p for p in mine if p in kept)
+        if _open():
+            _open()[-1].extend(p for p in mine if p in kept)
 
 
 _SCANS = re.compile(r"[\s:+|-]*(Project|Filter|Relation|SubqueryAlias|LogicalRelation|View)\b")
