@@ -12,7 +12,10 @@ from lexiflow import queries
 from lexiflow.operators import lexicon
 
 SF = "/root/testdata/sf0.001"
-BACK = {"insertion": (lexicon.insertions, lexicon.insertion_sources)}
+BACK = {
+    "insertion": (lexicon.insertions, lexicon.insertion_sources),
+    "replacement": (lambda w: lexicon.replacements(w, queries._PAIRS), lambda x: lexicon.replacement_sources(x, queries._PAIRS)),
+}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
