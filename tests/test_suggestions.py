@@ -15,6 +15,7 @@ SF = "/root/testdata/sf0.001"
 BACK = {
     "insertion": (lexicon.insertions, lexicon.insertion_sources),
     "replacement": (lambda w: lexicon.replacements(w, queries._PAIRS), lambda x: lexicon.replacement_sources(x, queries._PAIRS)),
+    "two_replacements": (lambda w: lexicon.two_replacements(w, queries._FEW), lambda x: lexicon.two_replacement_sources(x, queries._FEW)),
     "swap": (lexicon.swaps, lexicon.swap_sources),
 }
 
